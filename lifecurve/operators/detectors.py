@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.operators.ordered import Ordered, join_same
-from lifecurve.operators.ranks import exact_quantiles
+from lifecurve.operators.ranks import attach_quantile, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -122,54 +122,38 @@ def detect_jumps(o: Ordered, cycle: str, retention: str, rule: JumpRule = JumpRu
     )
 
 
-def trimmed_line_at(points: Column, x: Column, keep: int, size: int) -> Column:
-    """Least-trimmed-squares prediction at ``x`` from an array of ``size`` (x, y) structs.
+def _trimmed_line(df: DataFrame, points: Sequence[str], keep: int, name: str) -> DataFrame:
+    """Least-trimmed-squares value at the own row, from neighbours given as (dx, dy) structs.
 
-    All ``keep``-subsets are fitted in closed form inside one expression; the smallest own residual
-    wins and the earliest subset wins ties, because ``array_min`` orders (ssr, subset number).
+    Offsets are relative to the own row, so the prediction is the intercept. Every ``keep``-subset is
+    fitted from sums, with plain arithmetic that stays in small generated code. The smallest own
+    residual wins; on ties the earliest subset.
     """
-    fits = [
-        F.struct(F.lit(number).alias("k"), F.array(*[points[i] for i in subset]).alias("p"))
-        for number, subset in enumerate(combinations(range(size), keep))
-    ]
-
-    def total(p, f):
-        out = f(p[0])
-        for i in range(1, keep):
-            out = out + f(p[i])
-        return out
-
-    def sums(entry):
-        p = entry["p"]
-        return F.struct(
-            entry["k"].alias("k"),
-            p.alias("p"),
-            total(p, lambda q: q["x"].cast("double")).alias("sx"),
-            total(p, lambda q: q["y"]).alias("sy"),
-            total(p, lambda q: q["x"].cast("double") * q["x"]).alias("sxx"),
-            total(p, lambda q: q["x"] * q["y"]).alias("sxy"),
-        )
-
-    def slope(f):
-        den = keep * f["sxx"] - f["sx"] * f["sx"]
-        m = F.coalesce(F.try_divide(keep * f["sxy"] - f["sx"] * f["sy"], den), F.lit(0.0))
-        return F.struct(f["k"].alias("k"), f["p"].alias("p"), f["sx"].alias("sx"), f["sy"].alias("sy"), m.alias("m"))
-
-    def line(f):
-        b = (f["sy"] - f["m"] * f["sx"]) / keep
-        return F.struct(f["k"].alias("k"), f["p"].alias("p"), f["m"].alias("m"), b.alias("b"))
-
-    def scored(f):
-        def miss(q):
-            return q["y"] - (f["m"] * q["x"] + f["b"])
-
-        ssr = total(f["p"], lambda q: miss(q) * miss(q))
-        return F.struct(ssr.alias("ssr"), f["k"].alias("k"), (f["m"] * x + f["b"]).alias("at"))
-
-    staged = F.array(*fits)
-    for step in (sums, slope, line, scored):
-        staged = F.transform(staged, step)
-    return F.array_min(staged)["at"]
+    subsets = list(combinations(range(len(points)), keep))
+    base = [c for c in df.columns if c not in points]
+    known = " AND ".join(f"{p} IS NOT NULL" for p in points)
+    offsets = [f"coalesce({p}.d{a}, 0.0D) AS {p}{a}" for p in points for a in "xy"]
+    products = [f"{p}{a} * {p}{b} AS {p}{a}{b}" for p in points for a, b in ("xx", "xy", "yy")]
+    sums, dens, slopes, misses, picks = [], [], [], [], []
+    for k, subset in enumerate(subsets):
+        for part in ("x", "y", "xx", "xy", "yy"):
+            sums.append(" + ".join(f"{points[i]}{part}" for i in subset) + f" AS _s{k}{part}")
+        dens.append(f"{keep}.0D * _s{k}xx - _s{k}x * _s{k}x AS _d{k}")
+        dens.append(f"{keep}.0D * _s{k}xy - _s{k}x * _s{k}y AS _n{k}")
+        slopes.append(f"if(_d{k} = 0.0D, 0.0D, _n{k} / _d{k}) AS _m{k}")
+        misses.append(f"{keep}.0D * _s{k}yy - _s{k}y * _s{k}y - _m{k} * _n{k} AS _e{k}")
+        picks.append(f"WHEN _e{k} = _least THEN (_s{k}y - _m{k} * _s{k}x) / {keep}.0D")
+    least = f"least({', '.join(f'_e{k}' for k in range(len(subsets)))})" if len(subsets) > 1 else "_e0"
+    return (
+        df.selectExpr(*base, f"{known} AS _known", *offsets)
+        .selectExpr("*", *products)
+        .selectExpr(*base, "_known", *sums)
+        .selectExpr("*", *dens)
+        .selectExpr("*", *slopes)
+        .selectExpr("*", *misses)
+        .selectExpr("*", f"CASE WHEN _known THEN {least} END AS _least")
+        .selectExpr(*base, f"CASE {' '.join(picks)} END AS {name}")
+    )
 
 
 def side_predictions(
@@ -177,49 +161,48 @@ def side_predictions(
 ) -> Ordered:
     """LTS predictions from the ``half`` rows before and after; null when a side is not usable."""
     c, v = F.col(cycle), F.col(value)
-    point = F.when(~F.col(near), F.struct(c.alias("x"), v.alias("y")))
-
-    def side(step):
-        return lambda w: F.array_compact(
-            F.array(*[(F.lag(point, k) if step < 0 else F.lead(point, k)).over(w) for k in ks(step)])
-        )
-
-    def ks(step):
-        return range(rule.half, 0, -1) if step < 0 else range(1, rule.half + 1)
-
-    keep = rule.half - rule.trim
-    o = o.frames(rule.half, rule.half, _pre=side(-1), _post=side(1))
-    full = {s: F.size(s) == rule.half for s in ("_pre", "_post")}
-    return o.add(
-        predict_pre=F.when(full["_pre"], trimmed_line_at(F.col("_pre"), c, keep, rule.half)),
-        predict_post=F.when(full["_post"], trimmed_line_at(F.col("_post"), c, keep, rule.half)),
-    )
+    o = o.add(_pt=F.when(~F.col(near) & v.isNotNull(), F.struct(c.cast("double").alias("x"), v.alias("y"))))
+
+    def reader(step, k):
+        def offset(w):
+            p = (F.lag("_pt", k) if step < 0 else F.lead("_pt", k)).over(w)
+            return F.when(
+                p.isNotNull(), F.struct((p["x"] - c).alias("dx"), (p["y"] - v).alias("dy"))
+            )
+
+        return offset
+
+    for side, step in (("pre", -1), ("post", 1)):
+        ks = range(rule.half, 0, -1) if step < 0 else range(1, rule.half + 1)
+        points = {f"_p{i}": reader(step, k) for i, k in enumerate(ks)}
+        o = o.frames(rule.half if step < 0 else 0, 0 if step < 0 else rule.half, **points)
+        fitted = _trimmed_line(o.df, list(points), rule.half - rule.trim, "_at")
+        fitted = fitted.withColumn(f"predict_{side}", v + F.col("_at")).drop("_at")
+        o = replace(o, df=fitted)
+    # One generated row per row: later filters on the predictions stay above this point instead of
+    # being pushed down, which would repeat the whole fit inside the filter expression.
+    both = ["predict_pre", "predict_post"]
+    kept = [col for col in o.df.columns if col not in ("_pt", *both)]
+    return replace(o, df=o.df.select(*kept, F.inline(F.array(F.struct(*both)))))
 
 
 def tested_residuals(
     o: Ordered, cycle: str, retention: str, near: str = "near", rule: OutlierRule = OutlierRule()
-) -> DataFrame:
+) -> Ordered:
     """Rows the outlier rule tests, with prediction and residual."""
     o = side_predictions(o, cycle, retention, near, rule)
     if rule.skip_last:
-        ahead = lambda w: F.lead(cycle, rule.skip_last).over(w)
-        o = o.frames(0, rule.skip_last, _ahead=ahead).where(F.col("_ahead").isNotNull())
-    gap = F.abs(F.col("predict_pre") - F.col("predict_post"))
-    predicted = F.coalesce((F.col("predict_pre") + F.col("predict_post")) * 0.5, F.col("predict_pre"))
+        o = o.frames(0, rule.skip_last, _ahead=lambda w: F.lead(cycle, rule.skip_last).over(w))
+        o = o.where(F.col("_ahead").isNotNull())
     keep = rule.half - rule.trim
-    return (
-        o.rows()
-        .where(~F.col(near) & F.col("predict_pre").isNotNull())
-        .withColumn("pre_post_gap", gap)
-        .where(F.col("pre_post_gap").isNull() | (F.col("pre_post_gap") <= rule.discontinuity_max))
-        .withColumn("predicted", predicted)
-        .withColumn("residual", F.col(retention) - F.col("predicted"))
-        .withColumn("pre_n", F.lit(keep).cast("long"))
-        .withColumn(
-            "post_n", F.when(F.col("predict_post").isNull(), 0).otherwise(keep).cast("long")
-        )
-        .drop("_pre", "_post", "_ahead", "predict_pre", "predict_post")
+    o = o.where(~F.col(near) & F.col("predict_pre").isNotNull()).add(
+        pre_post_gap=F.abs(F.col("predict_pre") - F.col("predict_post")),
+        predicted=F.coalesce((F.col("predict_pre") + F.col("predict_post")) * 0.5, F.col("predict_pre")),
+        residual=F.col(retention) - F.col("predicted"),
+        pre_n=F.lit(keep).cast("long"),
+        post_n=F.when(F.col("predict_post").isNull(), 0).otherwise(keep).cast("long"),
     )
+    return o.where(F.col("pre_post_gap").isNull() | (F.col("pre_post_gap") <= rule.discontinuity_max))
 
 
 def mad_scale(
@@ -241,28 +224,22 @@ def detect_outliers(
     retention: str,
     near: str = "near",
     rule: OutlierRule = OutlierRule(),
-    *,
-    bound: int | None = None,
 ) -> DataFrame:
     """One row per isolated outlier: prediction, residual and robust z-score."""
-    keys = list(o.keys)
-    tested = tested_residuals(o, cycle, retention, near, rule)
-    scale = mad_scale(
-        tested, keys, "residual", factor=rule.mad_factor, floor=rule.sigma_floor, bound=bound
-    )
-    centred = F.col("residual") - F.col("med")
-    return (
-        join_same(tested, scale, keys)
-        .where(F.abs(centred) > rule.mad_multiplier * F.col("sigma"))
-        .select(
-            *keys,
-            F.col(cycle).alias("outlier_cycle"),
-            F.col(retention).alias("retention"),
-            "predicted",
-            "residual",
-            (centred / F.col("sigma")).alias("z_score"),
-            "pre_post_gap",
-            "pre_n",
-            "post_n",
-        )
+    o = tested_residuals(o, cycle, retention, near, rule)
+    o = attach_quantile(o, "_med", "residual", 0.5).add(_dev=F.abs(F.col("residual") - F.col("_med")))
+    o = attach_quantile(o, "_mad", "_dev", 0.5)
+    sigma = F.greatest(F.col("_mad") * rule.mad_factor, F.lit(rule.sigma_floor))
+    o = o.add(_sigma=sigma, z_score=(F.col("residual") - F.col("_med")) / F.col("_sigma"))
+    o = o.where(F.abs(F.col("residual") - F.col("_med")) > rule.mad_multiplier * F.col("_sigma"))
+    return o.rows().select(
+        *o.keys,
+        F.col(cycle).alias("outlier_cycle"),
+        F.col(retention).alias("retention"),
+        "predicted",
+        "residual",
+        "z_score",
+        "pre_post_gap",
+        "pre_n",
+        "post_n",
     )

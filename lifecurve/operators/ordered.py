@@ -26,7 +26,7 @@ from lifecurve.session import materialize
 
 CHUNK_ROWS_SETTING = "lifecurve.chunkRows"
 DEFAULT_CHUNK_ROWS = 1_000_000
-ALL_KEY = "_all"
+ALL_KEY = "_everything"
 
 
 def chunk_rows(spark: SparkSession) -> int:
@@ -45,6 +45,11 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Plain equi join for entity keys, which are never null: keeps the partitioning on the key."""
+    return left.join(right, list(keys), how)
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows with keys and an order; ``chunk`` is set when keys are split over chunks."""
@@ -112,6 +117,13 @@ class Ordered:
         spread = join_same(self.df.select(*self._parts).distinct(), facts, self.keys)
         return replace(self, df=join_same(self.df, spread, self._parts))
 
+    def join_facts(self, facts: DataFrame) -> "Ordered":
+        """Left join a table that is unique on the keys."""
+        if self.chunk is None:
+            return replace(self, df=join_on(self.df, facts, self.keys, "left"))
+        spread = join_same(self.df.select(*self._parts).distinct(), facts, self.keys, "left")
+        return replace(self, df=join_same(self.df, spread, self._parts))
+
     def frames(self, before: int, after: int, **columns: Callable[[WindowSpec], Column]) -> "Ordered":
         """Window columns whose frames reach at most ``before`` rows back and ``after`` ahead."""
         if self.chunk is None:
@@ -149,6 +161,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(row["top"] or 0), int(row["total"] or 0)
 
 
+def fits(df: DataFrame, keys: Sequence[str], bound: int | None = None) -> bool:
+    """True when every key provably fits one task: by the caller's bound, else by counting."""
+    limit = chunk_rows(df.sparkSession)
+    if bound is not None and bound <= limit:
+        return True
+    return largest_group(df, keys)[0] <= limit
+
+
 def arrange(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bound: int | None = None
 ) -> Ordered:
@@ -156,10 +176,9 @@ def arrange(
     if not keys:
         df, keys = df.withColumn(ALL_KEY, F.lit(1)), [ALL_KEY]
     limit = chunk_rows(df.sparkSession)
-    if bound is None or bound > limit:
-        top, total = largest_group(df, keys)
-    else:
-        top, total = bound, bound
+    if bound is not None and bound <= limit:
+        return Ordered(df, tuple(keys), tuple(order))
+    top, total = largest_group(df, keys)
     if top <= limit:
         return Ordered(df, tuple(keys), tuple(order))
     chunks = max(2, math.ceil(total / limit))

@@ -11,19 +11,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.operators.ordered import Ordered, arrange, join_same
+from lifecurve.operators.ordered import Ordered, arrange, fits, join_same
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, bound: int | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key; nulls are skipped."""
+    """Linear-interpolated quantiles per key; nulls are skipped.
+
+    Keys that provably fit one task use the built-in exact percentile. Otherwise the rows are
+    combined per distinct value and the value that covers the wanted rank is picked.
+    """
+    if fits(df, keys, bound):
+        return (
+            df.where(F.col(value).isNotNull())
+            .groupBy(*keys)
+            .agg(*[F.percentile(F.col(value).cast("double"), float(p)).alias(n) for n, p in probs.items()])
+        )
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    o = arrange(counts, keys, ["_v"], bound=bound).running(_cum=F.col("_n")).attach(_all=F.sum("_n"))
+    o = arrange(counts, keys, ["_v"]).running(_cum=F.col("_n")).attach(_all=F.sum("_n"))
     picks, outs = [], []
     for name, p in probs.items():
         h = (F.col("_all") - 1) * F.lit(float(p))
@@ -39,6 +49,13 @@ def exact_quantiles(
     return o.rows().groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 
+def attach_quantile(o: Ordered, name: str, value: str, prob: float) -> Ordered:
+    """Exact quantile of ``value`` per key on every row."""
+    if o.chunk is None:
+        return o.attach(**{name: F.percentile(F.col(value).cast("double"), float(prob))})
+    return o.join_facts(exact_quantiles(o.df, list(o.keys), value, {name: prob}))
+
+
 def with_scopes(df: DataFrame, cohort: str, scope: str = "scope", overall: str = "all") -> DataFrame:
     """Each row once for the whole and once for its cohort (used on combined rows, not raw ones)."""
     return df.withColumn(

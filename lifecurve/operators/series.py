@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lifecurve.operators.ordered import Ordered, arrange, join_same
+from lifecurve.operators.ordered import Ordered, arrange, join_on
 
 # Fixed values of the fade rule.
 FADE_THRESHOLD = 0.85
@@ -115,12 +115,12 @@ def asof_backward(
     """
     hit = F.col(cycle) <= F.col(target)
     found = (
-        join_same(df.select(entity, cycle, value), targets.select(entity, target), [entity])
+        join_on(df.select(entity, cycle, value), targets.select(entity, target), [entity])
         .where(hit)
         .groupBy(entity)
         .agg(F.max_by(value, cycle).alias("value_at"), F.max(cycle).alias("cycle_at"))
     )
-    return join_same(targets, found, [entity], "left")
+    return join_on(targets, found, [entity], "left")
 
 
 def asof_forward(df: DataFrame, entity: str, cycle: str, value: str, horizons: Sequence[int]) -> DataFrame:
@@ -140,7 +140,7 @@ def running_min_to(df: DataFrame, entity: str, cycle: str, value: str, horizons:
     stops = df.groupBy(entity).agg(
         *[F.min(F.when(F.col(cycle) >= n, F.col(cycle))).alias(f"_stop{n}") for n in horizons]
     )
-    joined = join_same(df.select(entity, cycle, value), stops, [entity])
+    joined = join_on(df.select(entity, cycle, value), stops, [entity])
     return joined.groupBy(entity).agg(
         *[
             F.min(
@@ -165,7 +165,7 @@ def retention_family(
     and at an optional per-entity snapshot ordinal. Entities with a zero first value are dropped."""
     c, v = F.col(cycle), F.col(value)
     if snapshot is not None:
-        df = join_same(df, snapshot.select(entity, snapshot_cycle), [entity], "left")
+        df = join_on(df, snapshot.select(entity, snapshot_cycle), [entity], "left")
     aggs = [
         F.max(c).alias("n_cycles"),
         F.min_by(v, c).alias("first_value"),
@@ -213,7 +213,7 @@ def near_boundary(
     covered = boundaries.select(
         entity, F.explode(F.sequence(F.col(boundary) - tol, F.col(boundary) + tol)).alias(cycle)
     ).distinct()
-    return join_same(df, covered.withColumn("_hit", F.lit(True)), [entity, cycle], "left").select(
+    return join_on(df, covered.withColumn("_hit", F.lit(True)), [entity, cycle], "left").select(
         *df.columns, F.coalesce("_hit", F.lit(False)).alias("near")
     )
 

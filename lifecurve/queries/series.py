@@ -292,7 +292,7 @@ def clean_retentions(t):
     "WITH " + OUTLIER + "SELECT user_id, cycle, round(predicted, 4) AS predicted, round(residual, 4) AS residual, CASE WHEN pq IS NULL THEN 0 ELSE 3 END AS post_n FROM tested",
 )
 def outlier_residuals(t):
-    rows = detectors.tested_residuals(clean_retentions(t), "cycle", "retention", rule=WIDE)
+    rows = detectors.tested_residuals(clean_retentions(t), "cycle", "retention", rule=WIDE).rows()
     return rows.select(
         "user_id", "cycle", F.round("predicted", 4).alias("predicted"), F.round("residual", 4).alias("residual"), "post_n"
     )
@@ -316,7 +316,7 @@ def mad_scale(t):
       WHERE abs(t.residual - s.med) > 4 * greatest(1.4826 * s.mad, 0.005)""",
 )
 def outlier_flags(t):
-    out = detectors.detect_outliers(clean_retentions(t), "cycle", "retention", rule=WIDE, bound=t.rows("events"))
+    out = detectors.detect_outliers(clean_retentions(t), "cycle", "retention", rule=WIDE)
     return out.select(
         "user_id",
         "outlier_cycle",

@@ -17,6 +17,8 @@ def local_session(cores: str = "8", memory: str = "12g", app: str = "lifecurve")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        # Methods above this size are never compiled by the JIT; evaluate them outside the fused stage.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
