@@ -240,3 +240,20 @@ def value_at_ordinals(df: DataFrame, entity: str, cycle: str, values: Mapping[st
             for prefix, v in values.items()
         ]
     )
+
+
+def boundaries_of(lengths: Column) -> Column:
+    """Boundaries from the array of regime lengths of one document; the last regime gives none."""
+    inner = F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0)))
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")
+    )
+
+    def step(acc, n):
+        at = acc["at"] + F.coalesce(n.cast("long"), F.lit(0))
+        return F.struct(
+            at.alias("at"),
+            F.when(n.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(at))).alias("out"),
+        )
+
+    return F.aggregate(inner, start, step)["out"]

@@ -130,7 +130,7 @@ SURV = (
     STATUS
     + """,
 per_user AS (SELECT user_id, CASE WHEN avg(k) >= 50 THEN 'high' ELSE 'low' END AS cohort FROM cyc GROUP BY 1),
-risks AS (SELECT user_id, event_type AS seed, -round(avg(value), 4) AS risk FROM cyc GROUP BY 1, 2),
+risks AS (SELECT user_id, event_type AS seed, -round(avg(value), 9) AS risk FROM cyc GROUP BY 1, 2),
 sv AS (SELECT r.user_id, r.seed, r.risk, p.cohort, s.status = 'faded' AS event,
    CASE WHEN s.status = 'faded' THEN s.last_fade_cycle ELSE s.n_regular END AS time
    FROM risks r JOIN per_user p USING (user_id) JOIN st s USING (user_id))
@@ -144,7 +144,7 @@ def survival_rows(t):
         F.when(F.avg("k") >= 50, "high").otherwise("low").alias("cohort")
     )
     risk = c.groupBy("user_id", F.col("event_type").alias("seed")).agg(
-        risk_positive(F.round(F.avg("value"), 4), "time_high").alias("risk")
+        risk_positive(F.round(F.avg("value"), 9), "time_high").alias("risk")
     )
     event = F.col("status") == "faded"
     truth = fade_status(t).select(

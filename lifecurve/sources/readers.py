@@ -116,6 +116,26 @@ def read_outliers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def snapshot_choice(
+    files: DataFrame, required: Sequence[str], latest: str | None = None, flat: str = ""
+) -> DataFrame:
+    """At most one row: the snapshot to read among the complete ones of a (snapshot, file) table.
+
+    The pointer wins if its snapshot is complete, then the newest name, then the flat layout
+    (rows whose snapshot is ``flat``).
+    """
+    complete = (
+        files.where(F.col("file").isin(*required))
+        .groupBy("snapshot")
+        .agg(F.count_distinct("file").alias("n_files"))
+        .where(F.col("n_files") == len(required))
+    )
+    place = F.when(F.col("snapshot") == flat, 2).otherwise(1)
+    if latest is not None:
+        place = F.when(F.col("snapshot") == latest, 0).otherwise(place)
+    return complete.orderBy(place, F.col("snapshot").desc()).limit(1)
+
+
 def resolve_snapshot(
     files: DataFrame,
     required: Sequence[str],
@@ -123,24 +143,11 @@ def resolve_snapshot(
     latest: str | None = None,
     flat: str = "",
 ) -> str | None:
-    """Which snapshot to read. ``files``: (snapshot, file) rows.
-
-    Order: pinned; the pointer if that snapshot is complete; the newest complete one; the flat layout
-    (rows whose snapshot is ``flat``) if complete; else the pointer as it is.
-    """
+    """Name of the snapshot to read; a pinned one is taken as it is, else the pointer is the fallback."""
     if pinned is not None:
         return pinned
-    complete = (
-        files.where(F.col("file").isin(*required))
-        .groupBy("snapshot")
-        .agg(F.count_distinct("file").alias("n"))
-        .where(F.col("n") == len(required))
-    )
-    choice = complete.orderBy(
-        F.when(F.col("snapshot") == F.lit(latest), 0).when(F.col("snapshot") == flat, 2).otherwise(1),
-        F.col("snapshot").desc(),
-    ).limit(1).collect()
-    return choice[0]["snapshot"] if choice else latest
+    row = snapshot_choice(files, required, latest, flat).first()
+    return row["snapshot"] if row else latest
 
 
 def find_runs(manifests: DataFrame, **wanted) -> DataFrame:
