@@ -117,6 +117,23 @@ class Ordered:
         spread = join_same(self.df.select(*self._parts).distinct(), facts, self.keys)
         return replace(self, df=join_same(self.df, spread, self._parts))
 
+    def carried(self, name: str, value: Column, *, ahead: bool = False) -> "Ordered":
+        """Nearest non-null value at or before this row (``ahead``: at or after it)."""
+        first, last = Window.unboundedPreceding, Window.unboundedFollowing
+        frame = (Window.currentRow, last) if ahead else (first, Window.currentRow)
+        pick = F.first if ahead else F.last
+        local = pick(value, ignorenulls=True).over(self._window().rowsBetween(*frame))
+        if self.chunk is None:
+            return replace(self, df=self.df.withColumn(name, local))
+        at = F.when(value.isNotNull(), F.struct(*self.order))
+        edge = F.min_by(value, at) if ahead else F.max_by(value, at)
+        per_chunk = self.df.groupBy(*self._parts).agg(edge.alias("_edge"))
+        others = (1, last) if ahead else (first, -1)
+        w = Window.partitionBy(*self.keys).orderBy(self.chunk).rowsBetween(*others)
+        carry = per_chunk.select(*self._parts, pick("_edge", ignorenulls=True).over(w).alias("_carry"))
+        df = join_same(self.df, carry, self._parts)
+        return replace(self, df=df.withColumn(name, F.coalesce(local, F.col("_carry"))).drop("_carry"))
+
     def join_facts(self, facts: DataFrame) -> "Ordered":
         """Left join a table that is unique on the keys."""
         if self.chunk is None:
