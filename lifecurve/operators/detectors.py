@@ -79,8 +79,10 @@ def _median_of(values: Column) -> Column:
     return F.when(n % 2 == 1, odd).otherwise(even)
 
 
-def detect_jumps(o: Ordered, cycle: str, retention: str, rule: JumpRule = JumpRule()) -> DataFrame:
-    """One row per candidate: step size, pre-trend, persistence and class."""
+def detect_jumps(
+    o: Ordered, cycle: str, retention: str, rule: JumpRule = JumpRule(), keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per candidate: step size, pre-trend, persistence and class (and the kept columns)."""
     r, c = F.col(retention), F.col(cycle)
     framed = o.frames(
         rule.pre_window,
@@ -118,6 +120,7 @@ def detect_jumps(o: Ordered, cycle: str, retention: str, rule: JumpRule = JumpRu
             .when(F.abs(F.col("_persist")) >= rule.persist_min, "sustained")
             .otherwise("transient")
             .alias("jump_class"),
+            *keep,
         )
     )
 
@@ -225,13 +228,14 @@ def detect_outliers(
     near: str = "near",
     rule: OutlierRule = OutlierRule(),
 ) -> DataFrame:
-    """One row per isolated outlier: prediction, residual and robust z-score."""
+    """One row per isolated outlier: prediction, residual, robust z-score and the entity's outlier count."""
     o = tested_residuals(o, cycle, retention, near, rule)
     o = attach_quantile(o, "_med", "residual", 0.5).add(_dev=F.abs(F.col("residual") - F.col("_med")))
     o = attach_quantile(o, "_mad", "_dev", 0.5)
     sigma = F.greatest(F.col("_mad") * rule.mad_factor, F.lit(rule.sigma_floor))
     o = o.add(_sigma=sigma, z_score=(F.col("residual") - F.col("_med")) / F.col("_sigma"))
     o = o.where(F.abs(F.col("residual") - F.col("_med")) > rule.mad_multiplier * F.col("_sigma"))
+    o = o.attach(n_outliers=F.count(F.lit(1)))
     return o.rows().select(
         *o.keys,
         F.col(cycle).alias("outlier_cycle"),
@@ -242,4 +246,5 @@ def detect_outliers(
         "pre_post_gap",
         "pre_n",
         "post_n",
+        "n_outliers",
     )

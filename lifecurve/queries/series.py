@@ -258,7 +258,7 @@ def lts_sql(side: str, sign: str) -> str:
   {side}_ssr AS (SELECT l.user_id, l.cycle, l.k, any_value(l.m) AS m, any_value(l.b) AS b, sum((p.py - (l.m * p.px + l.b)) ** 2) AS ssr
      FROM {side}_line l JOIN subs s ON s.k = l.k JOIN {side}_pts p ON p.user_id = l.user_id AND p.cycle = l.cycle AND (p.slot = s.a OR p.slot = s.b OR p.slot = s.c)
      GROUP BY 1, 2, 3),
-  {side}_best AS (SELECT user_id, cycle, arg_min(m * cycle + b, ssr) AS at FROM {side}_ssr GROUP BY 1, 2)"""
+  {side}_best AS (SELECT user_id, cycle, arg_min(m * cycle + b, ssr + k * 1e-15) AS at FROM {side}_ssr GROUP BY 1, 2)"""
 
 
 OUTLIER = (
