@@ -147,9 +147,9 @@ class Ordered:
             w = self._window()
             return replace(self, df=self.df.select("*", *[f(w).alias(n) for n, f in columns.items()]))
         size = max(chunk_rows(self.df.sparkSession), before, after, 1)
-        at = self.position("_pos").df
-        home = F.floor((F.col("_pos") - 1) / size).cast("long")
-        inside = (F.col("_pos") - 1) - home * size
+        at = self.position("_frame_pos").df
+        home = F.floor((F.col("_frame_pos") - 1) / size).cast("long")
+        inside = (F.col("_frame_pos") - 1) - home * size
         copies = F.array_compact(
             F.array(
                 home,
@@ -157,12 +157,12 @@ class Ordered:
                 F.when(inside >= size - before, home + 1),
             )
         )
-        spread = at.withColumn("_home", home).withColumn("_frame", F.explode(copies))
-        w = Window.partitionBy(*self.keys, "_frame").orderBy("_pos")
+        spread = at.withColumn("_frame_home", home).withColumn("_frame_no", F.explode(copies))
+        w = Window.partitionBy(*self.keys, "_frame_no").orderBy("_frame_pos")
         out = (
             spread.select("*", *[f(w).alias(n) for n, f in columns.items()])
-            .where(F.col("_frame") == F.col("_home"))
-            .drop("_pos", "_home", "_frame")
+            .where(F.col("_frame_no") == F.col("_frame_home"))
+            .drop("_frame_pos", "_frame_home", "_frame_no")
         )
         return replace(self, df=out)
 
