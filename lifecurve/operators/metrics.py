@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.operators.ordered import fits, join_same
+from lifecurve.operators.ordered import join_same
 from lifecurve.operators.ranks import auc_from_counts, exact_quantiles, with_scopes
 
 
@@ -91,9 +91,7 @@ def regression_metrics(
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         (1 - F.try_divide(sse, sst)).alias("r2"),
     ]
-    if fits(rows, keys, bound):
-        return scoped.groupBy(*at).agg(*means, F.percentile("_abs", 0.5).alias("medae"))
-    medae = exact_quantiles(scoped, at, "_abs", {"medae": 0.5})
+    medae = exact_quantiles(scoped, at, "_abs", {"medae": 0.5}, bound=bound)
     return join_same(scoped.groupBy(*at).agg(*means), medae, at)
 
 

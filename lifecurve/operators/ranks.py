@@ -6,47 +6,77 @@ come from ``ordered``: no unpartitioned window and no list of values in one task
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.operators.ordered import Ordered, arrange, fits, join_same
+from lifecurve.operators.ordered import Ordered, arrange, chunk_rows, join_same, largest_group
+
+
+# Largest key for which the built-in exact percentile, which keeps all values of a key, is used.
+PERCENTILE_ROWS = 100_000
+SKETCH_ACCURACY = 10_000
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, bound: int | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key; nulls are skipped.
+    """Linear-interpolated quantiles per key, exact; nulls are skipped.
 
-    Keys that provably fit one task use the built-in exact percentile. Otherwise the rows are
-    combined per distinct value and the value that covers the wanted rank is picked.
+    Small keys (by bound or by count) use the built-in percentile. Larger ones are bracketed by a
+    mergeable sketch first; only the values inside the bracket are ordered, and the rows below it are
+    counted. A bracket that misses the wanted rank raises instead of giving a wrong value.
     """
-    if fits(df, keys, bound):
-        return (
-            df.where(F.col(value).isNotNull())
-            .groupBy(*keys)
-            .agg(*[F.percentile(F.col(value).cast("double"), float(p)).alias(n) for n, p in probs.items()])
-        )
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    limit = min(PERCENTILE_ROWS, chunk_rows(df.sparkSession))
+    top = bound if bound is not None and bound <= limit else largest_group(rows, keys)[0]
+    if top <= limit:
+        return rows.groupBy(*keys).agg(*[F.percentile("_v", float(p)).alias(n) for n, p in probs.items()])
+
+    margin = 3.0 / SKETCH_ACCURACY
+    edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_all"), F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_edges")
+    )
+    if keys:
+        marked = join_same(rows, sketch, keys)
+    else:
+        marked = rows.crossJoin(F.broadcast(sketch))  # one row
+    v = F.col("_v")
+    cells = []
+    for i, p in enumerate(probs.values()):
+        low, high = F.get("_edges", 2 * i), F.get("_edges", 2 * i + 1)
+        inside = F.lit(True) if p - margin <= 0 else v >= low
+        upto = F.lit(True) if p + margin >= 1 else v <= high
+        cells.append(F.when(upto, F.struct(F.lit(i).alias("i"), F.when(inside, v).alias("at"))))
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        marked.select(*keys, "_all", F.explode(F.array_compact(F.array(*cells))).alias("_c"))
+        .groupBy(*keys, "_c.i", "_c.at")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_all").alias("_all"))
+    )
+    inner = None if bound is None else 10 + math.ceil(bound * 10 / SKETCH_ACCURACY)
+    o = arrange(counts, [*keys, "i"], ["at"], bound=inner).running(_cum=F.col("_n"))
+    wanted = F.lit(None).cast("double")
+    for i, p in enumerate(probs.values()):
+        wanted = F.when(F.col("i") == i, F.lit(float(p))).otherwise(wanted)
+    h = (F.col("_all") - 1) * wanted
+    known = F.col("at").isNotNull()
+    picked = o.rows().groupBy(*keys, "i").agg(
+        F.min(F.when(known & (F.col("_cum") > F.floor(h)), F.col("at"))).alias("_lo"),
+        F.min(F.when(known & (F.col("_cum") > F.ceil(h)), F.col("at"))).alias("_hi"),
+        F.max(h - F.floor(h)).alias("_f"),
+        F.max(F.when(~known, F.col("_cum") > F.floor(h))).alias("_missed"),
+    )
+    ok = F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & ~F.coalesce("_missed", F.lit(False))
+    exact = F.when(ok, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).otherwise(
+        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    )
+    long = picked.select(*keys, "i", exact.alias("_q"))
+    return long.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in enumerate(probs)]
     )
-    o = arrange(counts, keys, ["_v"]).running(_cum=F.col("_n")).attach(_all=F.sum("_n"))
-    picks, outs = [], []
-    for name, p in probs.items():
-        h = (F.col("_all") - 1) * F.lit(float(p))
-        low = F.min(F.when(F.col("_cum") > F.floor(h), F.col("_v")))
-        high = F.min(F.when(F.col("_cum") > F.ceil(h), F.col("_v")))
-        frac = F.max(h - F.floor(h))
-        picks += [low.alias(f"_lo_{name}"), high.alias(f"_hi_{name}"), frac.alias(f"_f_{name}")]
-        outs.append(
-            (
-                F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")
-            ).alias(name)
-        )
-    return o.rows().groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 
 def attach_quantile(o: Ordered, name: str, value: str, prob: float) -> Ordered:

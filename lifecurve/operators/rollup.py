@@ -70,14 +70,17 @@ def simplex(parts: int, levels: int) -> list[tuple[float, ...]]:
     ]
 
 
+def weight_array(grid: Sequence[Sequence[float]]) -> Column:
+    return F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in grid])
+
+
 def blend(df: DataFrame, scores: Sequence[str], grid: Sequence[Sequence[float]]) -> DataFrame:
-    """Each row once per weight vector of a fixed grid: ``w`` (array) and ``blended``."""
-    weights = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in grid])
-    out = df.withColumn("w", F.explode(weights))
+    """Each row once per weight vector of a fixed grid: its number ``w_no`` and ``blended``."""
+    out = df.select("*", F.posexplode(weight_array(grid)).alias("w_no", "_w"))
     total = F.lit(0.0)
     for i, s in enumerate(scores):
-        total = total + F.get(F.col("w"), i) * F.col(s)
-    return out.withColumn("blended", total)
+        total = total + F.get(F.col("_w"), i) * F.col(s)
+    return out.withColumn("blended", total).drop("_w")
 
 
 def blend_summary(

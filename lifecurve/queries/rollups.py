@@ -98,7 +98,8 @@ def align_models(t):
 
 def blend_scores(t, scores, grid):
     mixed = rollup.blend(aligned_models(t), scores, grid).withColumn("blended", F.round("blended", 6))
-    return survival.concordance(mixed, ["cohort", "w"], "time", "event", "blended", bound=t.rows("events"))
+    scored = survival.concordance(mixed, ["cohort", "w_no"], "time", "event", "blended", bound=t.rows("events"))
+    return scored.withColumn("w", F.get(rollup.weight_array(grid), F.col("w_no")))
 
 
 TWO_GRID = [(round(1 - i / 10, 1), i / 10) for i in range(11)]
@@ -155,8 +156,8 @@ FOUR_GRID = rollup.simplex(4, 10)
 )
 def simplex_best(t):
     scored = blend_scores(t, ["z0", "z1", "z2", "z3"], FOUR_GRID)
-    agg = scored.groupBy("w").agg(
-        F.round(F.avg("c_index"), 6).alias("c_mean"), F.round(F.stddev_pop("c_index"), 6).alias("c_std")
+    agg = scored.groupBy("w_no").agg(
+        F.first("w").alias("w"), F.round(F.avg("c_index"), 6).alias("c_mean"), F.round(F.stddev_pop("c_index"), 6).alias("c_std")
     )
     wide = agg.select(*[F.get(F.col("w"), i).alias(f"w_{i}") for i in range(4)], "c_mean", "c_std")
     order = [F.col("c_mean").desc(), *[F.col(f"w_{i}").desc() for i in range(3)]]
