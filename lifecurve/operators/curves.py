@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lifecurve.functions.roles import FIT_CYCLES, FIT_FIELDS
 from lifecurve.functions.scalars import finite, safe_log_abs, safe_ratio, signed_shift
-from lifecurve.operators.ordered import Ordered, arrange, fits, join_on, join_same
+from lifecurve.operators.ordered import Ordered, arrange, fits, join_on, join_same, spread_before_copies
 
 # Fixed values.
 GRID_STEP = 0.005
@@ -402,7 +402,7 @@ def _best_decay(samples: DataFrame, keys: Sequence[str], t: str, y: str, fast: S
     repeated once per slow candidate and reduced to sums on the map side, so a group of any size works.
     """
     n_fast = len(fast)
-    rows = samples.select(*keys, t, y, *[f.alias(f"_tf{i}") for i, f in enumerate(fast)], F.explode(slow).alias("_sl"))
+    rows = spread_before_copies(samples, *keys, t).select(*keys, t, y, *[f.alias(f"_tf{i}") for i, f in enumerate(fast)], F.explode(slow).alias("_sl"))
     rows = rows.withColumn("_s", F.exp(-F.pow(F.col(t) / F.col("_sl.tau"), F.col("_sl.beta"))))
     rows = rows.withColumns({f"_f{i}": F.exp(-F.col(t) / F.col(f"_tf{i}")) for i in range(n_fast)})
     yv, s = F.col(y), F.col("_s")

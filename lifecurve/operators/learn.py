@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.functions.scalars import clip, transform_target
-from lifecurve.operators.ordered import arrange, join_same
+from lifecurve.operators.ordered import arrange, join_same, spread_before_copies
 from lifecurve.operators.ranks import roc_auc
 
 FEATURES_COL = "features"
@@ -218,29 +218,38 @@ def ensemble_scores(models: Mapping[int, PipelineModel], df: DataFrame, entity:
 def boxcox_lambda(df: DataFrame, keys: Sequence[str], y: str, *, low: float = -2.0, high: float = 2.0, points: int = 41, refine: int = 2) -> DataFrame:
     """Box-Cox lambda of largest likelihood on a grid, refined around the best point.
 
-    The rows are repeated once per grid point (a constant) and reduced to moments on the map side.
+    Values are divided by their geometric mean; the likelihood then falls with the variance of the
+    transformed values alone. Rows are combined per distinct value before each value is repeated once
+    per grid point (a constant), and the copies are reduced to moments on the map side.
     """
     if points < 3:
         raise ValueError("a grid needs at least three points")
     step = (high - low) / (points - 1)
+    values = df.where(F.col(y) > 0).groupBy(*keys, F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    centre = values.groupBy(*keys).agg((F.sum(F.col("_n") * F.log("_y")) / F.sum("_n")).alias("_g"))
+
+    def with_one(rows, facts):
+        return join_same(rows, facts, keys) if keys else rows.crossJoin(F.broadcast(facts))  # one row
+
+    scaled = with_one(values, centre).select(*keys, "_n", (F.col("_y") / F.exp("_g")).alias("_y"))
+    scaled = spread_before_copies(scaled, *keys, "_y")
     best = None
     for level in range(refine + 1):
-        rows = df.where(F.col(y) > 0).select(*keys, y)
         if best is None:
+            rows = scaled
             grid = F.array(*[F.lit(round(low + i * step, 12)) for i in range(points)])
         else:
-            rows = join_same(rows, best, keys) if keys else rows.crossJoin(F.broadcast(best))
+            rows = with_one(scaled, best)
             fine = step / 10**level
             grid = F.array(*[F.round(F.col("lambda") + i * fine, 12) for i in range(-10, 11)])
-        each = rows.select(*keys, y, F.explode(grid).alias("_l"))
-        each = each.withColumn("_z", transform_target(F.col(y), "boxcox", F.col("_l")))
+        each = rows.select(*keys, "_y", "_n", F.explode(grid).alias("_l"))
+        z, n = F.col("_z"), F.col("_n")
+        each = each.withColumn("_z", transform_target(F.col("_y"), "boxcox", F.col("_l")))
         moments = each.groupBy(*keys, "_l").agg(
-            F.count(F.lit(1)).alias("_n"), F.var_pop("_z").alias("_v"), F.sum(F.log(y)).alias("_s")
-        )
-        ll = -F.col("_n") / 2.0 * F.log(F.when(F.col("_v") > 0, F.col("_v"))) + (F.col("_l") - 1.0) * F.col("_s")
-        best = moments.withColumn("_ll", ll).groupBy(*keys).agg(
-            F.max_by("_l", F.struct("_ll", -F.col("_l"))).alias("lambda")
+            F.sum(n).alias("_c"), F.sum(n * z).alias("_s"), F.sum(n * z * z).alias("_ss")
         )
+        spread = F.col("_ss") / F.col("_c") - F.pow(F.col("_s") / F.col("_c"), F.lit(2.0))
+        best = moments.withColumn("_v", spread).groupBy(*keys).agg(F.min_by("_l", F.struct("_v", "_l")).alias("lambda"))
     return best
 
 
@@ -254,7 +263,7 @@ def permutation_importance(df: DataFrame, model: PipelineModel, entity: str, lab
     n = df.count() if bound is None else bound
     buckets = max(1, -(-n // bucket_rows))
     one_of = F.array(*[F.lit(f) for f in features])
-    copies = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    copies = spread_before_copies(df, entity).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     drawn = F.conv(F.substring(seeded_order(F.concat(F.lit(f"{seed}b"), F.col("_rep").cast("string")), entity), 1, 8), 16, 10)
     copies = copies.withColumn("_bucket", drawn.cast("long") % buckets).withColumn("_feature", F.explode(one_of))
     value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features])

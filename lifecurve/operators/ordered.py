@@ -50,6 +50,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(right, list(keys), how)
 
 
+def spread_before_copies(df: DataFrame, *by: str) -> DataFrame:
+    """Hash rows over all shuffle partitions ahead of a fan-out (one row becomes many).
+
+    The rows are small before the copies are made, so the adaptive planner would put them into few
+    tasks; an explicit number of partitions is kept.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *by)
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows with keys and an order; ``chunk`` is set when keys are split over chunks."""

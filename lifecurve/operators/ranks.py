@@ -31,7 +31,10 @@ def exact_quantiles(
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     limit = min(PERCENTILE_ROWS, chunk_rows(df.sparkSession))
-    top = bound if bound is not None and bound <= limit else largest_group(rows, keys)[0]
+    if bound is not None and (bound <= limit or not keys):
+        top = bound
+    else:
+        top = largest_group(rows, keys)[0]
     if top <= limit:
         return rows.groupBy(*keys).agg(*[F.percentile("_v", float(p)).alias(n) for n, p in probs.items()])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifecurve.functions.scalars import finite
-from lifecurve.operators.ordered import arrange, fits, join_same
+from lifecurve.operators.ordered import arrange, fits, join_same, spread_before_copies
 from lifecurve.operators.ranks import exact_quantiles
 
 # Fixed values.
@@ -76,7 +76,7 @@ def weight_array(grid: Sequence[Sequence[float]]) -> Column:
 
 def blend(df: DataFrame, scores: Sequence[str], grid: Sequence[Sequence[float]]) -> DataFrame:
     """Each row once per weight vector of a fixed grid: its number ``w_no`` and ``blended``."""
-    out = df.select("*", F.posexplode(weight_array(grid)).alias("w_no", "_w"))
+    out = spread_before_copies(df, *scores).select("*", F.posexplode(weight_array(grid)).alias("w_no", "_w"))
     total = F.lit(0.0)
     for i, s in enumerate(scores):
         total = total + F.get(F.col("_w"), i) * F.col(s)
@@ -402,7 +402,7 @@ def bootstrap_mean_ci(
     """
     o = arrange(df.where(F.col(value).isNotNull()).select(*keys, *order, value), keys, order, bound=bound)
     rows = o.position("_i").attach(_n=F.count(F.lit(1))).rows()
-    draws = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    draws = spread_before_copies(rows.select(*keys, "_i", "_n"), *keys, "_i").withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)), F.col("_rep"), F.col("_i"))
     pick = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % F.col("_n") + 1
     counted = draws.groupBy(*keys, "_rep", pick.alias("_i")).agg(F.count(F.lit(1)).alias("_times"))

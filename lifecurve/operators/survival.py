@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.operators.metrics import ratio_or_zero
-from lifecurve.operators.ordered import arrange, join_on, join_same
+from lifecurve.operators.ordered import arrange, join_on, join_same, spread_before_copies
 from lifecurve.operators.ranks import auc_from_counts, exact_quantiles, roc_auc, score_counts
 
 
@@ -97,6 +97,7 @@ def concordance(
     times = rows.select(*keys, "_t", "_cens").distinct()
     ranks = arrange(times, keys, ["_t", "_cens"], bound=bound).position("_rank").attach(_top=F.max("_rank"))
     ranked = join_same(rows, ranks.rows(), [*keys, "_t", "_cens"])
+    ranked = spread_before_copies(ranked, *keys, "_rank", "_r")
     # Number of binary digits of the largest zero-based rank.
     digits = F.length(F.bin(F.col("_top") - 1))
     zero_based = F.col("_rank") - 1
