@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.functions.scalars import clip, transform_target
-from lifecurve.operators.ordered import arrange, join_same, spread_before_copies
+from lifecurve.operators.ordered import arrange, join_same, spread_before_copies, with_single
 from lifecurve.operators.ranks import roc_auc
 
 FEATURES_COL = "features"
@@ -119,10 +119,10 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     """Row weight n / (classes * rows of the class)."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = per.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    weights = per.crossJoin(F.broadcast(total)).select(  # one row per class
+    weights = with_single(per, total).select(
         label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias(name)
     )
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)
 
 
 def positive_probability(scored: DataFrame, name: str = "proba") -> DataFrame:
@@ -229,7 +229,7 @@ def boxcox_lambda(df: DataFrame, keys: Sequence[str], y: str, *, low: float = -2
     centre = values.groupBy(*keys).agg((F.sum(F.col("_n") * F.log("_y")) / F.sum("_n")).alias("_g"))
 
     def with_one(rows, facts):
-        return join_same(rows, facts, keys) if keys else rows.crossJoin(F.broadcast(facts))  # one row
+        return join_same(rows, facts, keys) if keys else with_single(rows, facts)
 
     scaled = with_one(values, centre).select(*keys, "_n", (F.col("_y") / F.exp("_g")).alias("_y"))
     scaled = spread_before_copies(scaled, *keys, "_y")
@@ -286,7 +286,7 @@ def permutation_importance(df: DataFrame, model: PipelineModel, entity: str, lab
     per = roc_auc(scored, ["_rep", "_feature"], label, "proba", bound=n)
     base = roc_auc(positive_probability(model.transform(df)), [], label, "proba", bound=n).withColumnRenamed("auc", "_base")
     return (
-        per.crossJoin(F.broadcast(base))  # one row
+        with_single(per, base)
         .withColumn("_drop", F.col("_base") - F.col("auc"))
         .groupBy(F.col("_feature").alias("feature"))
         .agg(F.avg("_drop").alias("importance_mean"), F.stddev_pop("_drop").alias("importance_std"))

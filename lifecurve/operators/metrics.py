@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.operators.ordered import join_same
+from lifecurve.operators.ordered import join_same, with_single
 from lifecurve.operators.ranks import auc_from_counts, exact_quantiles, with_scopes
 
 
@@ -104,7 +104,7 @@ def mape(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
 def quartile_mae(df: DataFrame, keys: Sequence[str], y: str, pred: str, *, bound: int | None = None) -> DataFrame:
     """MAE inside each quarter of the true value (cuts by linear interpolation)."""
     cuts = exact_quantiles(df, keys, y, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, bound=bound)
-    at = join_same(df, F.broadcast(cuts) if not keys else cuts, keys)
+    at = join_same(df, cuts, keys) if keys else with_single(df, cuts)
     v, err = F.col(y), F.abs(F.col(pred) - F.col(y))
     inside = {
         "mae_q1": v <= F.col("_q1"),

@@ -35,7 +35,13 @@ def chunk_rows(spark: SparkSession) -> int:
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join that also matches null keys; key columns of ``right`` are dropped."""
+    """Equi join that also matches null keys; key columns of ``right`` are dropped.
+
+    Without keys both sides are aggregates of one row.
+    """
+    if not keys:
+        left, right = left.withColumn(ALL_KEY, F.lit(1)), right.withColumn(ALL_KEY, F.lit(1))
+        return left.join(right, ALL_KEY, how).drop(ALL_KEY)
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
@@ -50,6 +56,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(right, list(keys), how)
 
 
+def with_single(df: DataFrame, single: DataFrame) -> DataFrame:
+    """Put the one row of an aggregate without keys beside every row (broadcast of one row)."""
+    left, right = df.withColumn(ALL_KEY, F.lit(1)), single.limit(1).withColumn(ALL_KEY, F.lit(1))
+    return left.join(F.broadcast(right), ALL_KEY).drop(ALL_KEY)
+
+
 def spread_before_copies(df: DataFrame, *by: str) -> DataFrame:
     """Hash rows over all shuffle partitions ahead of a fan-out (one row becomes many).
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.operators.ordered import Ordered, arrange, chunk_rows, join_same, largest_group
+from lifecurve.operators.ordered import Ordered, arrange, chunk_rows, join_same, largest_group, with_single
 
 
 # Largest key for which the built-in exact percentile, which keeps all values of a key, is used.
@@ -43,10 +43,7 @@ def exact_quantiles(
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_all"), F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_edges")
     )
-    if keys:
-        marked = join_same(rows, sketch, keys)
-    else:
-        marked = rows.crossJoin(F.broadcast(sketch))  # one row
+    marked = join_same(rows, sketch, keys) if keys else with_single(rows, sketch)
     v = F.col("_v")
     cells = []
     for i, p in enumerate(probs.values()):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifecurve.functions.scalars import finite
-from lifecurve.operators.ordered import arrange, fits, join_same, spread_before_copies
+from lifecurve.operators.ordered import arrange, fits, join_same, spread_before_copies, with_single
 from lifecurve.operators.ranks import exact_quantiles
 
 # Fixed values.
@@ -234,7 +234,7 @@ def uncertainty_profile(df: DataFrame, keys: Sequence[str], value: str, limit: f
         F.count_if(F.col(value) > limit).alias("n_over"),
     )
     q = exact_quantiles(df, keys, value, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, bound=bound)
-    return join_same(basics, q, keys, "left") if keys else basics.crossJoin(F.broadcast(q))
+    return join_same(basics, q, keys, "left") if keys else with_single(basics, q)
 
 
 def feature_summary(df: DataFrame, cohort: str, features: Sequence[str]) -> DataFrame:

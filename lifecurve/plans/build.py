@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lifecurve.functions import roles
 from lifecurve.operators import curves, labels
+from lifecurve.session import materialize
 from lifecurve.sources import readers
 
 
@@ -50,12 +51,12 @@ def feature_tables(
     ``plateau``: cell_name, cd_index, t_s, current - the constant-voltage part, cut upstream.
     Samples are read for eligible cells only (semi join).
     """
-    window = labels.feature_window(cells, cycles, baseline_cycle=baseline_cycle, bound=bound)
+    window = materialize(labels.feature_window(cells, cycles, baseline_cycle=baseline_cycle, bound=bound))
     spine = window.select("cell_name").distinct()
     tier_a = labels.tier_a(window)
 
     slices = window.select("cell_name", "regular_cycle", "cd_index")
-    raw = samples.join(F.broadcast(spine) if bound else spine, "cell_name", "left_semi")
+    raw = samples.join(spine, "cell_name", "left_semi")
     nominal = curves.nominal_level(
         raw.join(slices, ["cell_name", "cd_index"]),
         ["cell_name", "regular_cycle", "cd_phase"],
@@ -100,12 +101,13 @@ def candidate_features(
     """
     keys = ["cell_name", "regular_cycle"]
     used = samples.join(slices.where(F.col("regular_cycle").isin(first, last)), ["cell_name", "cd_index"])
+    # Both are read several times below: written once, so nothing upstream runs twice.
     halves = {
-        d: curves.half_cycle(used, keys, "cd_phase", d, "step_time", "current", "voltage", bound=bound)
+        d: materialize(curves.half_cycle(used, keys, "cd_phase", d, "step_time", "current", "voltage", bound=bound))
         for d in ("charge", "discharge")
     }
     slopes = {
-        d: curves.smoothed_derivative(h, keys, "voltage", "q", bound=bound) for d, h in halves.items()
+        d: materialize(curves.smoothed_derivative(h, keys, "voltage", "q", bound=bound)) for d, h in halves.items()
     }
     peaks = None
     for d, s in slopes.items():

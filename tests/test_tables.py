@@ -388,3 +388,23 @@ def test_horizon_check(spark):
     df = spark.createDataFrame([(1, 1), (1, 0)], "pass_n200 int, pass_n300 int")
     got = {r.horizon: (r.pass_rate, r.not_rising) for r in models.horizon_check(df, (200, 300)).collect()}
     assert got == {200: (1.0, None), 300: (0.5, True)}
+
+
+def test_candidate_features(spark):
+    """Logistic charge curves: the derivative peaks at the centre of each curve."""
+    rows = []
+    for cd, phase, centre, sign in ((1, "discharge", 3.70, -1.0), (5, "discharge", 3.68, -1.0), (5, "charge", 3.74, 1.0)):
+        for i in range(1, 600):
+            q = i / 600
+            bend = 0.05 * math.log(q / (1 - q))
+            rows.append(("a", cd, phase, q * 3600.0, sign, centre + sign * bend))
+    samples = spark.createDataFrame(rows, "cell_name string, cd_index int, cd_phase string, step_time double, current double, voltage double")
+    slices = spark.createDataFrame([("a", c, c) for c in (1, 3, 5)] + [("b", 1, 1)], "cell_name string, regular_cycle int, cd_index int")
+    got = {r.cell_name: r for r in build.candidate_features(samples, slices).collect()}
+    a = got["a"]
+    assert a.dqdv_peak_v_c5_dis == pytest.approx(3.68, abs=0.003)
+    assert a.dqdv_peak_v_shift_c1c5_dis == pytest.approx(-0.02, abs=0.004)
+    assert a.dqdv_charge_discharge_hysteresis_c5 == pytest.approx(0.06, abs=0.004)
+    assert 0.9 < a.dqdv_cosine_sim_c1c5_dis < 1.0
+    assert a.dqv_norm_c5_c1_min < 0 and a.dqv_norm_c5_c1_var_log10 < 0
+    assert got["b"].dqdv_peak_v_c5_dis is None
