@@ -225,3 +225,22 @@ def arrange(
         "_chunk", F.spark_partition_id()
     )
     return Ordered(materialize(ranged), tuple(keys), tuple(order), "_chunk")
+
+
+def join_per_key(
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner", *, bound: int | None = None
+) -> DataFrame:
+    """Join rows with a table that is unique on the keys, ahead of an aggregate on the same keys.
+
+    Such an aggregate needs no exchange after the join, so the adaptive planner cannot split a hot key.
+    When some key does not fit one task, rows are salted by a hash of their content and the facts are
+    repeated once per salt; the aggregate then combines on the map side.
+    """
+    limit = chunk_rows(rows.sparkSession)
+    top = bound if bound is not None and bound <= limit else largest_group(rows, keys)[0]
+    if top <= limit:
+        return join_on(rows, facts, keys, how)
+    salts = math.ceil(top / limit)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return join_on(salted, repeated, [*keys, "_salt"], how).drop("_salt")

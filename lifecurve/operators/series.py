@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lifecurve.operators.ordered import Ordered, arrange, join_on
+from lifecurve.operators.ordered import Ordered, arrange, join_on, join_per_key
 
 # Fixed values of the fade rule.
 FADE_THRESHOLD = 0.85
@@ -106,7 +106,8 @@ def value_at_or_after(cycle: Column, value: Column, target: Column | int) -> Col
 
 
 def asof_backward(
-    df: DataFrame, targets: DataFrame, entity: str, cycle: str, value: str, target: str
+    df: DataFrame, targets: DataFrame, entity: str, cycle: str, value: str, target: str,
+    *, bound: int | None = None,
 ) -> DataFrame:
     """Per target row: value and ordinal of the latest row at or before the target ordinal.
 
@@ -115,7 +116,7 @@ def asof_backward(
     """
     hit = F.col(cycle) <= F.col(target)
     found = (
-        join_on(df.select(entity, cycle, value), targets.select(entity, target), [entity])
+        join_per_key(df.select(entity, cycle, value), targets.select(entity, target), [entity], bound=bound)
         .where(hit)
         .groupBy(entity)
         .agg(F.max_by(value, cycle).alias("value_at"), F.max(cycle).alias("cycle_at"))
@@ -135,12 +136,14 @@ def asof_forward(df: DataFrame, entity: str, cycle: str, value: str, horizons: S
     return df.groupBy(entity).agg(*aggs)
 
 
-def running_min_to(df: DataFrame, entity: str, cycle: str, value: str, horizons: Sequence[int]) -> DataFrame:
+def running_min_to(
+    df: DataFrame, entity: str, cycle: str, value: str, horizons: Sequence[int], *, bound: int | None = None
+) -> DataFrame:
     """Smallest value through the first ordinal >= N, or over the whole series if N is not reached."""
     stops = df.groupBy(entity).agg(
         *[F.min(F.when(F.col(cycle) >= n, F.col(cycle))).alias(f"_stop{n}") for n in horizons]
     )
-    joined = join_on(df.select(entity, cycle, value), stops, [entity])
+    joined = join_per_key(df.select(entity, cycle, value), stops, [entity], bound=bound)
     return joined.groupBy(entity).agg(
         *[
             F.min(
@@ -160,12 +163,15 @@ def retention_family(
     snapshot: DataFrame | None = None,
     snapshot_cycle: str = "snapshot_cycle",
     at: int = 5,
+    *,
+    bound: int | None = None,
 ) -> DataFrame:
     """All retention definitions of an entity in one aggregate: at an ordinal, last, min, first >= N
     and at an optional per-entity snapshot ordinal. Entities with a zero first value are dropped."""
     c, v = F.col(cycle), F.col(value)
     if snapshot is not None:
-        df = join_on(df, snapshot.select(entity, snapshot_cycle), [entity], "left")
+        rows = df.select(entity, cycle, value)
+        df = join_per_key(rows, snapshot.select(entity, snapshot_cycle), [entity], "left", bound=bound)
     aggs = [
         F.max(c).alias("n_cycles"),
         F.min_by(v, c).alias("first_value"),

@@ -84,7 +84,7 @@ def asof_forward(t):
 def asof_backward(t):
     rows = cycles(t, "k").rows()
     targets = rows.groupBy("user_id").agg(F.round(F.avg("k")).cast("long").alias("target_cycle"))
-    return series.asof_backward(rows, targets, "user_id", "cycle", "value", "target_cycle")
+    return series.asof_backward(rows, targets, "user_id", "cycle", "value", "target_cycle", bound=t.rows("events"))
 
 
 @query(
@@ -98,7 +98,7 @@ def asof_backward(t):
     FROM cyc JOIN stop USING (user_id) GROUP BY user_id""",
 )
 def running_min_to_n(t):
-    return series.running_min_to(cycles(t).rows(), "user_id", "cycle", "value", HORIZONS)
+    return series.running_min_to(cycles(t).rows(), "user_id", "cycle", "value", HORIZONS, bound=t.rows("events"))
 
 
 @query(
@@ -120,7 +120,7 @@ def retention_family(t):
     snap = rows.groupBy("user_id").agg(
         F.max(F.when(F.col("event_type") == "purchase", F.col("cycle"))).alias("snapshot_cycle")
     )
-    out = series.retention_family(rows, "user_id", "cycle", "value", HORIZONS, snap)
+    out = series.retention_family(rows, "user_id", "cycle", "value", HORIZONS, snap, bound=t.rows("events"))
     rounded = [r6(F.col(c), c) for c in out.columns if c.startswith("ret_")]
     return out.select("user_id", "n_cycles", "first_value", *rounded)
 

@@ -129,7 +129,16 @@ def test_row_order_and_scale_do_not_matter(spark):
     assert run(df.withColumn("cap", F.col("cap") * 4.0)) == base
 
 
-def test_asof_and_running_min(spark):
+@pytest.mark.parametrize("size", ["1000000", "2"])
+def test_asof_and_running_min(spark, size):
+    spark.conf.set("lifecurve.chunkRows", size)
+    try:
+        check_asof_and_running_min(spark)
+    finally:
+        spark.conf.unset("lifecurve.chunkRows")
+
+
+def check_asof_and_running_min(spark):
     rows = [("a", 1, 1.0), ("a", 3, 0.8), ("a", 6, 0.9), ("b", 2, 0.5)]
     df = spark.createDataFrame(rows, "e string, c int, v double")
     fwd = {r.e: r for r in series.asof_forward(df, "e", "c", "v", [2, 4, 9]).collect()}
@@ -139,6 +148,11 @@ def test_asof_and_running_min(spark):
     targets = spark.createDataFrame([("a", 5), ("b", 1), ("z", 3)], "e string, target int")
     back = {r.e: (r.value_at, r.cycle_at) for r in series.asof_backward(df, targets, "e", "c", "v", "target").collect()}
     assert back == {"a": (0.8, 3), "b": (None, None), "z": (None, None)}
+    snap = spark.createDataFrame([("a", 4)], "e string, snapshot_cycle int")
+    family = {r.e: r for r in series.retention_family(df, "e", "c", "v", [2, 9], snap, at=3).collect()}
+    a = family["a"]
+    assert (a.ret_c3, a.ret_last, a.ret_min, a.ret_n2, a.ret_n9, a.ret_snapshot) == (0.8, 0.9, 0.8, 0.8, None, 0.8)
+    assert family["b"].ret_snapshot is None
 
 
 def test_regimes(spark, layout):
