@@ -17,7 +17,7 @@ from lifecurve.operators.ordered import Ordered, arrange, chunk_rows, join_same,
 
 # Largest key for which the built-in exact percentile, which keeps all values of a key, is used.
 PERCENTILE_ROWS = 100_000
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 1_000
 
 
 def exact_quantiles(
