@@ -33,7 +33,7 @@ SHARE = 1.5
 MOST = 2.0
 #: (start, end) of the weight's multiplier over training time; each has the mean 1.
 RAMPS = ((0.5, 1.5), (1.5, 0.5), (1.0, 1.0))
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 1 << 12
 
 
 def word_count(text: Column) -> Column:
