@@ -9,8 +9,8 @@ unknown paragraph passes. A prediction is confirmed if a template of the predict
 ``confirm_share`` of its word triples in the paragraph.
 
 Scoring is exact although sparse: a paragraph's score is the intercept plus the weights of its terms, so only
-terms with a weight are joined (the table is bounded by the templates) and summed per paragraph; paragraphs
-without such terms have the intercepts, which say unknown.
+terms with a weight and triples of templates are joined (the table is bounded by the templates) and summed per
+paragraph; paragraphs without such terms have the intercepts, which say unknown. No text is shuffled.
 
 Only DataFrame functions and the JVM's fitting are used. Odd input: null texts have no paragraphs, empty ones
 one; repeated rows are repeated; an empty table gives no rows; other columns are ignored.
@@ -18,6 +18,7 @@ one; repeated rows are repeated; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from itertools import chain
 
@@ -32,6 +33,7 @@ from lifecurve.llm.common import add_row
 NEGATIVE_DOCS = 300
 CONFIRM_SHARE = 0.6
 UNKNOWN = "unknown"
+WORD_GAP = r"[^\p{L}\p{N}]+"
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 #: Sentences of licence notices by family.
 TEMPLATES = {
@@ -107,7 +109,7 @@ ALIKE = [
 
 def words(text: Column) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != "")
 
 
 def terms(said: Column) -> Column:
@@ -123,32 +125,46 @@ def triples(said: Column) -> Column:
     return F.array_distinct(three)
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
-    """A small table of given values."""
-    values = [F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(n) for v, n in zip(row, names, strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*values)))
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of given values, as one literal."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    said = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    fields = ", ".join(c.replace(" ", ": ") for c in schema.split(", "))
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{fields}>>")))
 
 
 @dataclass
 class Model:
-    """Weights of terms for each class, and how scores become accepted predictions."""
+    """Weights of terms for each class, and how scores become accepted predictions.
+
+    triples: all word triples of templates; templates: by family the numbers of each template's triples.
+    """
 
     classes: list[str]
     intercepts: list[float]
     weights: dict[str, list[float]]
+    triples: list[str]
+    templates: dict[str, list[list[int]]]
     temperature: float
     accepted: float
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(term, w): one row per term of the templates that has a weight."""
-        return literal_rows(spark, sorted(self.weights.items()), "term", "w")
+        """(term, w, triple): terms with a weight, and triples with their number; bounded by the templates."""
+        none = [0.0] * len(self.classes)
+        rows = [(t, w, -1) for t, w in sorted(self.weights.items())] + [(t, none, k) for k, t in enumerate(self.triples)]
+        return literal_rows(spark, rows, "term string, w array<double>, triple int")
+
+    def by_family(self, spark: SparkSession) -> DataFrame:
+        """(family, templates): the triples' numbers of each template."""
+        rows = literal_rows(spark, [(f, ts) for f, many in self.templates.items() for ts in many], "family string, ts array<int>")
+        return rows.groupBy("family").agg(F.collect_list("ts").alias("templates"))
 
 
 def _training(docs: DataFrame, negative_docs: int, id_col: str, text_col: str) -> DataFrame:
     """(family, said): paragraphs as arrays of words, all of bounded number."""
     spark = docs.sparkSession
-    templates = literal_rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "family", "text")
-    alike = literal_rows(spark, [(UNKNOWN, t) for t in ALIKE], "family", "text")
+    templates = literal_rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, text string")
+    alike = literal_rows(spark, [(UNKNOWN, t) for t in ALIKE], "family string, text string")
     mark = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
     n = docs.where(F.col(text_col).isNotNull()).count()
     rate = min(1.0, 1.5 * negative_docs / max(n, 1))
@@ -160,11 +176,8 @@ def _training(docs: DataFrame, negative_docs: int, id_col: str, text_col: str) -
     size = F.size("said")
     halves = spoken.where("size(said) > 14").select("family", F.explode(F.array(F.slice("said", F.lit(1), F.ceil(size * 0.6).cast("int")), F.slice("said", F.floor(size * 0.4).cast("int") + 1, size))).alias("said"))
     base = spoken.union(halves)
-    gathered = noise.agg(F.collect_list("near").alias("all"))  # 40 short arrays at most
-    fallback = F.array(F.array(F.lit("some"), F.lit("other"), F.lit("words")))
-    amid = base.withColumn("one", F.lit(1)).join(gathered.withColumn("one", F.lit(1)), "one").select(
-        "family", "said", F.explode(F.when(F.size("all") > 0, F.col("all")).otherwise(fallback)).alias("near")
-    )
+    said_near = [r["near"] for r in noise.collect()] or [["some", "other", "words"]]
+    amid = base.select("family", "said", F.explode(F.array(*[F.array(*map(F.lit, near)) for near in said_near])).alias("near"))
     amid = amid.select("family", F.explode(F.array(F.concat("said", "near"), F.concat("near", "said"))).alias("said"))
     other = plain.union(alike.select("text", "family")).select("family", words(F.col("text")).alias("said"))
     repeated = alike.select("family", words(F.col("text")).alias("said"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k")).drop("k")
@@ -174,7 +187,7 @@ def _training(docs: DataFrame, negative_docs: int, id_col: str, text_col: str) -
 def fit(docs: DataFrame, *, negative_docs: int = NEGATIVE_DOCS, penalty: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the templates and a bounded sample of paragraphs."""
     spark = docs.sparkSession
-    vocabulary = sorted({t for r in literal_rows(spark, [(t,) for t in chain(*TEMPLATES.values())], "text").select(terms(words(F.col("text"))).alias("t")).collect() for t in r["t"]})
+    vocabulary = sorted({t for r in literal_rows(spark, [(t,) for t in chain(*TEMPLATES.values())], "text string").select(terms(words(F.col("text"))).alias("t")).collect() for t in r["t"]})
     classes = [*sorted(TEMPLATES), UNKNOWN]
     rows = _training(docs, negative_docs, id_col, text_col).select("family", terms(F.col("said")).alias("terms"))
     label = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, float(k))]), F.col("family"))
@@ -196,7 +209,14 @@ def fit(docs: DataFrame, *, negative_docs: int = NEGATIVE_DOCS, penalty: float =
     _, temperature, worst = results[0] if results else (0.0, 1.0, 0.0)
     table = found.coefficientMatrix.toArray()
     weights = {t: table[:, k].tolist() for k, t in enumerate(vocabulary) if abs(table[:, k]).max() > 0}
-    return Model(classes, found.interceptVector.toArray().tolist(), weights, temperature, min(0.9, max(0.5, worst + 0.01)))
+    spoken = literal_rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, text string")
+    parts = [(r["family"], r["t"]) for r in spoken.select("family", triples(words(F.col("text"))).alias("t")).collect()]
+    known = sorted({t for _, ts in parts for t in ts})
+    place = {t: k for k, t in enumerate(known)}
+    templates: dict[str, list[list[int]]] = {}
+    for family, ts in parts:
+        templates.setdefault(family, []).append([place[t] for t in ts])
+    return Model(classes, found.interceptVector.toArray().tolist(), weights, known, templates, temperature, min(0.9, max(0.5, worst + 0.01)))
 
 
 def share(score: Column, temperature: Column) -> Column:
@@ -211,18 +231,22 @@ def scan_paragraphs(docs: DataFrame, model: Model, *, confirm_share: float = CON
     spark, k = docs.sparkSession, len(model.classes)
     rows = add_row(docs.select(F.col(text_col).alias("text")))
     lines = rows.select("_row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    said = lines.select("_row", "paragraph", words(F.col("line")).alias("said"))
-    spread = said.select("_row", "paragraph", F.explode(F.array_distinct(terms(F.col("said")))).alias("term"))
-    hits = spread.join(F.broadcast(model.table(spark)), "term")
-    scores = hits.groupBy("_row", "paragraph").agg(*[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(k)])
-    whole = scores.select("_row", "paragraph", F.array(*[F.lit(model.intercepts[c]) + F.col(f"s{c}") for c in range(k)]).alias("s"))
+    said = lines.select("_row", "paragraph", F.split(F.lower("line"), WORD_GAP).alias("said"))
+    each = said.select("_row", "paragraph", "said", F.posexplode("said").alias("i", "w1"))
+    table = model.table(spark)
+    each = each.join(F.broadcast(table.select(F.split("term", " ")[0].alias("w1")).distinct()), "w1", "left_semi")
+    two = F.concat_ws(" ", "w1", F.get("said", F.col("i") + 1))
+    grams = F.array("w1", two, F.concat_ws(" ", two, F.get("said", F.col("i") + 2)))
+    spread = each.select("_row", "paragraph", F.explode(grams).alias("term"))
+    hits = spread.join(F.broadcast(table), "term").groupBy("_row", "paragraph", "term", "triple").agg(F.first("w").alias("w"))
+    seen = F.collect_set(F.when(F.col("triple") >= 0, F.col("triple"))).alias("triples")
+    scores = hits.groupBy("_row", "paragraph").agg(*[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(k)], seen)
+    whole = scores.select("_row", "paragraph", "triples", F.array(*[F.lit(model.intercepts[c]) + F.col(f"s{c}") for c in range(k)]).alias("s"))
     best = F.array_max(F.slice("s", 1, k - 1))
-    best = whole.select("_row", "paragraph", share(best, F.lit(model.temperature)).alias("probability"), F.array_position("s", best).cast("int").alias("c"))
+    best = whole.select("_row", "paragraph", "triples", share(best, F.lit(model.temperature)).alias("probability"), F.array_position("s", best).cast("int").alias("c"))
     named = best.where(F.col("probability") >= model.accepted).withColumn("family", F.element_at(F.array(*map(F.lit, model.classes)), F.col("c"))).drop("c")
-    texts = literal_rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "family", "t").select("family", triples(words(F.col("t"))).alias("template"))
-    by_family = texts.groupBy("family").agg(F.collect_list("template").alias("templates"))
-    back = said.join(named, ["_row", "paragraph"]).join(F.broadcast(by_family), "family").withColumn("own", triples(F.col("said")))
-    agreed = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t)))
+    back = named.join(F.broadcast(model.by_family(spark)), "family")
+    agreed = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("triples"))) / F.size(t)))
     return back.select("_row", "paragraph", "family", "probability", agreed.alias("template_share"), (agreed >= confirm_share).alias("confirmed"))
 
 
