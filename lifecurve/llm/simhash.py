@@ -22,12 +22,13 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.llm.common import add_row, map_slices, materialize, slices, texts
@@ -166,6 +167,14 @@ def flips(bits: list[int], most: int) -> list[int]:
     return [mask_of(c) for t in range(most + 1) for c in combinations(bits, t)]
 
 
+def moved(value: Column, masks: list[int]) -> Column:
+    """The value under each mask, as an array; the masks are one literal."""
+    if len(masks) == 1:
+        return F.array(value.bitwiseXOR(F.lit(masks[0])))
+    given = F.from_json(F.lit(str(masks)), "array<bigint>")
+    return F.transform(given, lambda m: value.bitwiseXOR(m))
+
+
 def links(fps: DataFrame, max_distance: int = 2, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(a, b) of distinct fingerprints that connect all which differ in ``max_distance`` bits or fewer.
 
@@ -176,11 +185,7 @@ def links(fps: DataFrame, max_distance: int = 2, pair_limit: int = PAIR_LIMIT) -
         raise ValueError("max_distance must be even")
     n = fps.count()
     probes = plan(fps, n, max_distance)
-    keys = []
-    for i, (bits, t) in enumerate(probes):
-        for mask in flips(bits, t):
-            keys.append(F.struct(F.lit(i).alias("part"), value_of(F.col("fp"), bits).bitwiseXOR(F.lit(mask)).alias("key")))
-    probed = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.*")
+    probed = reduce(DataFrame.union, [fps.select("fp", F.lit(i).alias("part"), F.explode(moved(value_of(F.col("fp"), bits), flips(bits, t))).alias("key")) for i, (bits, t) in enumerate(probes)])
     sizes = probed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(probed.join(sizes, ["part", "key"]))
     small = shared.where(F.col("n") <= pair_limit).groupBy("part", "key").agg(F.collect_list("fp").alias("fps"))
@@ -188,7 +193,7 @@ def links(fps: DataFrame, max_distance: int = 2, pair_limit: int = PAIR_LIMIT) -
     near = first.select("a", F.explode("fps").alias("b")).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance))
     crowd = shared.where(F.col("n") > pair_limit).select("fp").distinct()
     half = flips(list(range(BITS)), max_distance // 2)
-    middle = crowd.select("fp", F.explode(F.transform(F.array(*map(F.lit, half)), lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
+    middle = crowd.select("fp", F.explode(moved(F.col("fp"), half)).alias("mid"))
     hubs = middle.groupBy("mid").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     starred = middle.join(hubs, "mid").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     return near.union(starred)
