@@ -57,8 +57,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def with_single(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Put the one row of an aggregate without keys beside every row (broadcast of one row)."""
-    left, right = df.withColumn(ALL_KEY, F.lit(1)), single.limit(1).withColumn(ALL_KEY, F.lit(1))
+    """Put the one row of an aggregate without keys beside every row (broadcast of one row).
+
+    Any other number of rows ends the query; none is dropped.
+    """
+    one = single.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*single.columns)).alias("row"))
+    row = F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.lit("one row expected")).cast(one.schema["row"].dataType))
+    right = one.select(row.alias("row")).select("row.*").withColumn(ALL_KEY, F.lit(1))
+    left = df.withColumn(ALL_KEY, F.lit(1))
     return left.join(F.broadcast(right), ALL_KEY).drop(ALL_KEY)
 
 

@@ -148,31 +148,20 @@ def attribution_long(wide: DataFrame, keys: Sequence[str], features: Sequence[st
     return wide.unpivot(list(keys), list(features), "feature", "value")
 
 
-def set_fingerprint(df: DataFrame, keys: Sequence[str], name: str, *, bound: int | None = None) -> DataFrame:
-    """Order-insensitive digest of the distinct names of a key.
+def set_fingerprint(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Order-insensitive digest of the distinct names of a key, by one rule at every size.
 
-    16 hex digits of sha256 over the sorted, comma-joined names when the set fits one task. A larger
-    set is digested per hash bucket, then over the sorted bucket digests, so no list grows without
-    bound. Which form applies depends on the data only, so equal sets always agree.
+    Two limbs of each name's md5 are summed, which combines on the map side; the digest is 16 hex digits
+    of sha256 over the count and both sums.
     """
-    rows = df.select(*keys, F.col(name).cast("string").alias("_name")).distinct()
+    rows = df.select(*keys, F.md5(F.col(name).cast("string")).alias("_h"), F.col(name).cast("string").alias("_name")).distinct()
 
-    def digest(values):
-        return F.sha2(F.array_join(F.array_sort(F.collect_list(values)), ","), 256)
+    def limb(start):
+        return F.sum(F.conv(F.substring("_h", start, 15), 16, 10).cast("decimal(20,0)"))
 
-    if fits(rows, keys, bound):
-        return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.substring(digest("_name"), 1, 16).alias("fingerprint")
-        )
-    buckets = 4096
-    parts = (
-        rows.withColumn("_b", F.pmod(F.xxhash64("_name"), F.lit(buckets)))
-        .groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"), digest("_name").alias("_d"))
-    )
-    return parts.groupBy(*keys).agg(
-        F.sum("_n").alias("n"), F.substring(digest("_d"), 1, 16).alias("fingerprint")
-    )
+    sums = rows.where("_name is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), limb(1).alias("_a"), limb(16).alias("_b"))
+    said = F.concat_ws("/", F.col("n").cast("string"), F.col("_a").cast("string"), F.col("_b").cast("string"))
+    return sums.select(*keys, "n", F.substring(F.sha2(said, 256), 1, 16).alias("fingerprint"))
 
 
 def split_check(train: DataFrame, test: DataFrame, keys: Sequence[str], entity: str) -> DataFrame:
@@ -189,12 +178,18 @@ def split_check(train: DataFrame, test: DataFrame, keys: Sequence[str], entity:
     )
 
 
-def same_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str, *, bound: int | None = None) -> DataFrame:
-    """Do two runs hold the same names per key? Keys of one run only are reported as different."""
-    left = set_fingerprint(a, keys, name, bound=bound).withColumnsRenamed({"n": "n_a", "fingerprint": "_a"})
-    right = set_fingerprint(b, keys, name, bound=bound).withColumnsRenamed({"n": "n_b", "fingerprint": "_b"})
-    return left.join(right, list(keys), "full").select(
-        *keys, "n_a", "n_b", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("same")
+def same_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Do two runs hold the same names per key? Keys of one run only are reported as different.
+
+    Names are compared themselves: those of one side only are counted.
+    """
+    sides = a.select(*keys, F.col(name).alias("_name"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        b.select(*keys, F.col(name).alias("_name"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    per = sides.groupBy(*keys, "_name").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    n_a, n_b = F.sum("_a"), F.sum("_b")
+    return per.groupBy(*keys).agg(
+        F.nullif(n_a, F.lit(0)).alias("n_a"), F.nullif(n_b, F.lit(0)).alias("n_b"), (F.count_if(F.col("_a") != F.col("_b")) == 0).alias("same")
     )
 
 

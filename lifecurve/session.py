@@ -27,18 +27,21 @@ def local_session(cores: str = "8", memory: str = "12g", app: str = "lifecurve")
     return spark
 
 
+WORK_SETTING = "lifecurve.workDir"
+
+
 def working_folder(spark: SparkSession) -> str:
-    """Folder for tables that cut lineage: the one the cluster names.
+    """Folder for tables that cut lineage: the one the cluster names, else the session's own setting.
 
-    A temporary folder is made only in local mode, where driver and executors are one machine.
+    A temporary folder is made and set only in local mode, where driver and executors are one machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_SETTING, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError(f"set spark.checkpoint.dir or {WORK_SETTING} to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="lifecurve-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    spark.conf.set(WORK_SETTING, made)
     return made
 
 

@@ -149,6 +149,18 @@ def test_fingerprint_ignores_order_and_sees_changes(spark, layout):
     mixed = df.orderBy(F.rand(1)).unionByName(df.limit(3))
     assert rollup.same_sets(df, mixed, ["k"], "name").first().same
     assert not rollup.same_sets(df, df.where("name > 0"), ["k"], "name").first().same
+    prints = [r.fingerprint for d in (df, mixed, df.where("name > 0")) for r in rollup.set_fingerprint(d, ["k"], "name").collect()]
+    assert prints[0] == prints[1] != prints[2]
+
+
+def test_sets_do_not_depend_on_their_neighbours(spark, layout):
+    """One key is small on both sides, another large on one side only."""
+    a = spark.createDataFrame([("x", k) for k in (1, 2)] + [("y", k) for k in range(60)], "k string, name int")
+    b = spark.createDataFrame([("x", k) for k in (2, 1)] + [("y", 1), ("z", 4)], "k string, name int")
+    got = {r.k: (r.n_a, r.n_b, r.same) for r in rollup.same_sets(a, b, ["k"], "name").collect()}
+    assert got == {"x": (2, 2, True), "y": (60, 1, False), "z": (None, 1, False)}
+    alone = rollup.set_fingerprint(a.where("k = 'x'"), ["k"], "name").first().fingerprint
+    assert {r.k: r.fingerprint for r in rollup.set_fingerprint(a, ["k"], "name").collect()}["x"] == alone
 
 
 def test_simplex_has_286_points():
