@@ -253,33 +253,27 @@ def boxcox_lambda(df: DataFrame, keys: Sequence[str], y: str, *, low: float = -2
     return best
 
 
-def permutation_importance(df: DataFrame, model: PipelineModel, entity: str, label: str, features: Sequence[str], *, repeats: int = 5, seed: int = 42, bucket_rows: int = 100_000, bound: int | None = None) -> DataFrame:
+def permutation_importance(df: DataFrame, model: PipelineModel, entity: str, label: str, features: Sequence[str], *, repeats: int = 30, seed: int = 42, bound: int | None = None) -> DataFrame:
     """Drop of AUC when one feature is permuted: mean and population std over repeats.
 
-    Rows go to random buckets per repeat; inside a bucket the k-th row in one random order takes the
-    value of the k-th row in another, so a permutation never needs one task to hold a column. Every
-    (repeat, feature) copy is scored in one pass.
+    Per (repeat, feature) the k-th row in one random order takes the value of the k-th row in another,
+    over the whole table at every size. Only the entity and the value are copied and ordered; the other
+    columns are joined to the permuted values afterwards.
     """
     n = df.count() if bound is None else bound
-    buckets = max(1, -(-n // bucket_rows))
-    one_of = F.array(*[F.lit(f) for f in features])
-    copies = spread_before_copies(df, entity).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    drawn = F.conv(F.substring(seeded_order(F.concat(F.lit(f"{seed}b"), F.col("_rep").cast("string")), entity), 1, 8), 16, 10)
-    copies = copies.withColumn("_bucket", drawn.cast("long") % buckets).withColumn("_feature", F.explode(one_of))
-    value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features])
-    keys = ["_rep", "_feature", "_bucket"]
-    size = min(n, 2 * bucket_rows)
+    pairs = F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(f).cast("double").alias("_value")) for f in features])
+    narrow = spread_before_copies(df.select(F.col(entity).alias("_e"), pairs.alias("_pairs")), "_e")
+    copies = narrow.select("_e", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_rep"), "_pairs")
+    copies = copies.select("_e", "_rep", F.inline("_pairs"))
+    keys = ["_rep", "_feature"]
 
     def ordered(side, *columns):
         mark = F.concat_ws("/", F.lit(f"{seed}{side}"), F.col("_rep"), F.col("_feature"))
-        rows = copies.withColumn("_h", F.md5(F.concat_ws("/", mark, F.col(entity).cast("string"))))
-        rows = rows.select(*keys, *columns, "_h", F.col(entity).alias("_e"))
-        return arrange(rows, keys, ["_h", "_e"], bound=size if buckets == 1 else None).position("_k").rows()
-
-    taken = ordered("x", value.alias("_value")).drop("_h", "_e")
-    placed = ordered("y", *[c for c in df.columns if c != entity]).drop("_h").withColumnRenamed("_e", entity)
-    mixed = placed.join(taken, [*keys, "_k"])
-    mixed = mixed.withColumns(
+        rows = copies.withColumn("_h", F.md5(F.concat_ws("/", mark, F.col("_e").cast("string"))))
+        return arrange(rows, keys, ["_h", "_e"], bound=n).position("_k").rows().select(*keys, "_k", *columns)
+
+    permuted = ordered("y", F.col("_e").alias(entity)).join(ordered("x", "_value"), [*keys, "_k"]).drop("_k")
+    mixed = permuted.join(df, entity).withColumns(
         {f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f)) for f in features}
     )
     scored = positive_probability(model.transform(mixed))

@@ -221,9 +221,9 @@ def spaced_peak(t):
 
 @query("smoothed_derivative")
 def smoothed_derivative(t):
-    a, _ = price_curves(t)
-    out = curves.smoothed_derivative(a, ["flag"], "x", "y", 500.0, bound=t.rows("lineitem"))
-    return out.select("flag", "i", F.round("x", 4).alias("x"), F.round("slope", 8).alias("slope"))
+    both = [c.withColumn("curve", F.lit(name)) for c, name in zip(price_curves(t), ("a", "b"))]
+    out = curves.smoothed_derivative(both[0].unionByName(both[1]), ["flag", "curve"], "x", "y", 500.0, bound=t.rows("lineitem"))
+    return out.select("flag", "curve", "i", F.round("x", 4).alias("x"), F.round("slope", 8).alias("slope"))
 
 
 PEAKS = """pk AS (SELECT user_id, least(day(ts) // 7, 4) + 1 AS wk, CASE WHEN event_type IN ('view', 'click') THEN 'charge' ELSE 'discharge' END AS dir,
@@ -296,7 +296,7 @@ def decay_samples(t):
 
 
 def decay_rows(t):
-    return curves.decay_fit(decay_samples(t), ["phase"], "wait", "n", coarse=(8, 8, 6), refine=1)
+    return curves.decay_fit(decay_samples(t), ["phase"], "wait", "n")
 
 
 @query("decay_grid_fit")

@@ -35,17 +35,20 @@ def production_split(t):
     return parts[0].unionByName(parts[1])
 
 
+DIMS = 64
+
+
 def vectors(t):
     """Embeddings with a two-class target, as a vector and as columns."""
     return t.embeddings.select(
         "vec_id",
         (F.col("label") >= 5).cast("int").alias("y"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-        *[F.get(F.col("embedding"), i).cast("double").alias(f"f{i}") for i in range(8)],
+        *[F.get(F.col("embedding"), i).cast("double").alias(f"f{i}") for i in range(DIMS)],
     )
 
 
-COLUMNS = [f"f{i}" for i in range(8)]
+COLUMNS = [f"f{i}" for i in range(DIMS)]
 
 
 def with_gaps(df):
@@ -53,7 +56,7 @@ def with_gaps(df):
     return df.withColumns({c: F.when(F.abs(c) > 0.02, F.col(c)) for c in COLUMNS})
 
 
-@query("filled_constant", "SELECT vec_id, " + ", ".join(f"CASE WHEN abs(embedding[{i + 1}]::DOUBLE) > 0.02 THEN embedding[{i + 1}]::DOUBLE ELSE 0.0::DOUBLE END AS f{i}" for i in range(8)) + " FROM embeddings")
+@query("filled_constant", "SELECT vec_id, " + ", ".join(f"CASE WHEN abs(embedding[{i + 1}]::DOUBLE) > 0.02 THEN embedding[{i + 1}]::DOUBLE ELSE 0.0::DOUBLE END AS f{i}" for i in range(DIMS)) + " FROM embeddings")
 def filled_constant(t):
     return learn.fill_constant(with_gaps(vectors(t)), COLUMNS).select("vec_id", *COLUMNS)
 
@@ -137,7 +140,7 @@ def param_search(t):
 def perm_importance(t):
     df = vectors(t).drop("features")
     model = learn.model_pipeline(COLUMNS, learn.forest_classifier("y", trees=10), None).fit(df)
-    out = learn.permutation_importance(df, model, "vec_id", "y", COLUMNS, repeats=3, bound=t.rows("embeddings"))
+    out = learn.permutation_importance(df, model, "vec_id", "y", COLUMNS, bound=t.rows("embeddings"))
     return out.select("feature", r6(F.col("importance_mean"), "importance_mean"), r6(F.col("importance_std"), "importance_std"))
 
 
@@ -163,12 +166,18 @@ def train_test_gap(t):
 @query(
     "boxcox_lambda",
     """WITH y AS (SELECT l_returnflag AS flag, l_quantity AS y FROM lineitem WHERE l_quantity > 0), g AS (SELECT round(-2 + i * 0.1::DOUBLE, 12) AS l FROM range(41) t(i)),
-    m AS (SELECT flag, l, count(*) AS n, var_pop(CASE WHEN abs(l) < 1e-12 THEN ln(y) ELSE (power(y, l) - 1) / l END) AS v, sum(ln(y)) AS s FROM y, g GROUP BY 1, 2)
-    SELECT flag, arg_max(l, -n / 2 * ln(v) + (l - 1) * s) AS lambda FROM m GROUP BY 1""",
+    m AS (SELECT flag, l, count(*) AS n, var_pop(CASE WHEN abs(l) < 1e-12 THEN ln(y) ELSE (power(y, l) - 1) / l END) AS v, sum(ln(y)) AS s FROM y, g GROUP BY 1, 2),
+    b0 AS (SELECT flag, arg_max(l, -n / 2 * ln(v) + (l - 1) * s) AS best FROM m GROUP BY 1),
+    m1 AS (SELECT flag, l, count(*) AS n, var_pop(CASE WHEN abs(l) < 1e-12 THEN ln(y) ELSE (power(y, l) - 1) / l END) AS v, sum(ln(y)) AS s
+      FROM (SELECT y.flag, y, round(best + i * 0.01::DOUBLE, 12) AS l FROM y JOIN b0 USING (flag), range(-10, 11) t(i)) GROUP BY 1, 2),
+    b1 AS (SELECT flag, arg_max(l, -n / 2 * ln(v) + (l - 1) * s) AS best FROM m1 GROUP BY 1),
+    m2 AS (SELECT flag, l, count(*) AS n, var_pop(CASE WHEN abs(l) < 1e-12 THEN ln(y) ELSE (power(y, l) - 1) / l END) AS v, sum(ln(y)) AS s
+      FROM (SELECT y.flag, y, round(best + i * 0.001::DOUBLE, 12) AS l FROM y JOIN b1 USING (flag), range(-10, 11) t(i)) GROUP BY 1, 2)
+    SELECT flag, arg_max(l, -n / 2 * ln(v) + (l - 1) * s) AS lambda FROM m2 GROUP BY 1""",
 )
 def boxcox_lambda(t):
     df = t.lineitem.select(F.col("l_returnflag").alias("flag"), "l_quantity")
-    return learn.boxcox_lambda(df, ["flag"], "l_quantity", refine=0)
+    return learn.boxcox_lambda(df, ["flag"], "l_quantity")
 
 
 @query(
