@@ -5,7 +5,8 @@ letters is one blank), hashed to ``dims`` places: log(1 + count) times inverse d
 length one. Document frequencies are counted over all learning rows. For each language a bounded sample of
 ``fit_rows`` learning rows (those whose ids hash lowest) is clustered into ``clusters`` centroids by spherical
 k-means in a task of its own. A text has the language of the centroid with the largest cosine; its score is
-that cosine. A text whose cosine lies under half the least one seen in the sample for its length is rejected.
+that cosine. A text is rejected if its cosine lies under half the least one of a full text (``FULL_CHARS``
+characters) in the sample; for shorter texts, whose few n-grams are less alike, under their part of that.
 
 The model has languages x clusters x dims numbers whatever the corpus; it is the only thing that the driver
 gathers. Odd input: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is any text
@@ -27,6 +28,7 @@ from lifecurve.llm.common import map_slices, ready, slices
 DIMS = 4096
 FIT_ROWS = 400
 CLUSTERS = 4
+FULL_CHARS = 64
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of the n-grams: lower-case ASCII letters and everything beyond ASCII; the rest is blank.
 FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -62,10 +64,6 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return unit(np.log1p(gram_counts(texts, len(idf)).astype(np.float32)) * idf)
 
 
-def length_class(texts: list[str]) -> np.ndarray:
-    return np.array([len(t).bit_length() for t in texts])
-
-
 def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from the row nearest the mean and then the rows farthest from those chosen."""
     centres = [rows[int(np.argmax(rows @ rows.mean(axis=0)))]]
@@ -80,12 +78,12 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids (one row each) with their languages, and the least cosine accepted per length class."""
+    """Centroids (one row each) with their languages, and the least cosine accepted for a full text."""
 
     idf: np.ndarray
     langs: list[str]
     centroids: np.ndarray
-    floors: dict[int, float]
+    floor: float
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and rejections."""
@@ -98,7 +96,7 @@ class Model:
             best = np.argmax(cosine, axis=1)
             score = np.clip(cosine[np.arange(len(some)), best], 0.0, 1.0)
             scores[some] = score
-            rejected[some] = score < np.array([self.floors.get(c, 0.0) for c in length_class(mine).tolist()])
+            rejected[some] = score < self.floor * np.minimum(1.0, np.array([len(t) for t in mine]) / FULL_CHARS)
             for k, b in zip(some, best.tolist(), strict=True):
                 langs[k] = self.langs[b]
         return langs, scores, rejected
@@ -135,7 +133,7 @@ def fit(
     sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rates = {r["lang"]: min(1.0, (2.0 * fit_rows + 50) / r["n"]) for r in sizes.collect()}
     if not rates:
-        return Model(idf, [], np.zeros((0, dims), np.float32), {})
+        return Model(idf, [], np.zeros((0, dims), np.float32), 0.0)
     rate = F.element_at(F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(v * (1 << 40)))]), F.col("lang"))
     near = learn.withColumn("mark", mark).where(F.col("mark") < rate)
     first = Window.partitionBy("lang").orderBy("mark", "doc_id", F.xxhash64("text"))
@@ -144,24 +142,19 @@ def fit(
     def centroids(key, table):
         texts = [t for t in table.column("text").to_pylist() if LETTER.search(t)]
         if not texts:
-            return pa.table({"lang": [], "centroid": [], "floors": []}, schema=out)
+            return pa.table({"lang": [], "centroid": [], "least": []}, schema=out)
         rows = vectors(texts, idf)
         found = cluster(rows, clusters)
-        least: dict[int, float] = {}
-        for c, s in zip(length_class(texts).tolist(), np.max(rows @ found.T, axis=1).tolist(), strict=True):
-            least[c] = min(least.get(c, 1.0), s)
-        pairs = [x for c, s in sorted(least.items()) for x in (float(c), s)]
-        return pa.table({"lang": [key[0].as_py()] * len(found), "centroid": [c.astype("<f4").tobytes() for c in found], "floors": [pairs] * len(found)}, schema=out)
-
-    out = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("floors", pa.list_(pa.float64()))])
-    rows = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, floors array<double>").collect()
+        nearest = np.max(rows @ found.T, axis=1)
+        full = nearest[[len(t) >= FULL_CHARS for t in texts]]
+        least = [float((full if full.size else nearest).min())] * len(found)
+        return pa.table({"lang": [key[0].as_py()] * len(found), "centroid": [c.astype("<f4").tobytes() for c in found], "least": least}, schema=out)
+
+    out = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("least", pa.float64())])
+    rows = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, least double").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
-    floors: dict[int, float] = {}
-    for r in rows:
-        for c, s in zip(r["floors"][::2], r["floors"][1::2], strict=True):
-            floors[int(c)] = min(floors.get(int(c), 1.0), s / 2)
     found = np.array([np.frombuffer(r["centroid"], "<f4") for r in rows]).reshape(len(rows), dims)
-    return Model(idf, [r["lang"] for r in rows], found, floors)
+    return Model(idf, [r["lang"] for r in rows], found, min((r["least"] for r in rows), default=0.0) / 2)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
