@@ -21,14 +21,18 @@ def label_table(
     *,
     baseline_cycle: int = 1,
     horizons: Sequence[int] = labels.HORIZONS,
+    lines: bool = False,
 ) -> DataFrame:
-    """Documents, decisions and outlier marks -> the label table with its complete column list."""
-    good, _ = readers.read_documents(spark, documents)
-    marks = readers.read_outliers(spark, outliers).select("cell_name", F.col("cycle").cast("int").alias("regular_cycle"))
+    """Documents, decisions and outlier marks -> the label table with its complete column list.
+
+    ``lines``: all three hold one JSON object per cell and line.
+    """
+    good, _ = readers.read_documents(spark, documents, lines=lines)
+    marks = readers.read_outliers(spark, outliers, lines=lines).select("cell_name", F.col("cycle").cast("int").alias("regular_cycle"))
     out = labels.build_labels(
         readers.cell_header(good),
         readers.flatten_cycles(good),
-        decisions=readers.read_decisions(spark, decisions),
+        decisions=readers.read_decisions(spark, decisions, lines=lines),
         outliers=marks,
         baseline_cycle=baseline_cycle,
         horizons=horizons,

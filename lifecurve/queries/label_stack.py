@@ -84,12 +84,16 @@ LABEL_HORIZONS = ", ".join(horizon_sql(n) for n in HORIZONS)
 
 def cell_inputs(t):
     """(cells, measurements, decisions, outliers) read from the events."""
-    c = cycles(t, "event_type", "k").rows()
+    return inputs_of(cycles(t, "event_type", "k").rows(), "user_id")
+
+
+def inputs_of(c, entity):
+    """The same from rows (entity, cycle, event_type, value, k)."""
 
     def n(kind):
         return F.count_if(F.col("event_type") == kind)
 
-    per_user = c.groupBy("user_id").agg(
+    per_user = c.groupBy(entity).agg(
         n("signup").alias("signup"),
         n("view").alias("view"),
         n("error").alias("error"),
@@ -101,7 +105,7 @@ def cell_inputs(t):
         F.max(F.when(F.col("event_type") == "purchase", F.col("cycle"))).alias("last_available_cycle"),
     )
     cells = per_user.select(
-        "user_id",
+        entity,
         F.when(F.col("signup") > 1.6 * F.col("view"), "rate_changed")
         .when(F.col("error") > 0.30 * F.col("n"), "no_regular")
         .otherwise("single_rate")
@@ -110,16 +114,16 @@ def cell_inputs(t):
         "first_regime_n",
     )
     decisions = per_user.where("purchase > first_regime_n").select(
-        "user_id",
+        entity,
         (F.col("last_type") == "error").alias("exclude_from_ml"),
         "last_available_cycle",
         F.when(F.col("first_type") == "click", "event")
         .when(F.col("first_type") == "view", "censor")
         .alias("event_type"),
     )
-    outliers = c.where("k >= 95").select("user_id", "cycle")
+    outliers = c.where("k >= 95").select(entity, "cycle")
     meas = c.select(
-        "user_id",
+        entity,
         "cycle",
         F.col("value").alias("dis"),
         (F.col("value") * (1 + F.col("k") / 1000.0)).alias("chg"),

@@ -45,6 +45,11 @@ def working_folder(spark: SparkSession) -> str:
     return made
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A folder name below the working folder that no other run uses."""
+    return f"{working_folder(spark).rstrip('/')}/lifecurve/{kind}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the working folder and read it back (columnar, lineage cut)."""
     spark = df.sparkSession

@@ -14,15 +14,15 @@ REGULAR = "regular_cd"
 CORRUPT = "_corrupt_record"
 
 
-def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects). One JSON document per file; a malformed file becomes a reject row.
+def read_documents(spark: SparkSession, path: str, *, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects). One JSON document per file, or per line: many small files are slow to list.
 
-    A missing folder fails, as Spark reports it.
+    A malformed document becomes a reject row. A missing folder fails, as Spark reports it.
     """
     schema = T.StructType([*DOCUMENT.fields, T.StructField(CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
@@ -63,10 +63,15 @@ def cell_header(documents: DataFrame) -> DataFrame:
 
 
 def read_samples(
-    spark: SparkSession, path: str, columns: Sequence[str], entities: DataFrame | None = None, entity: str = "cell_name"
-) -> DataFrame:
-    """Raw samples, core columns only, restricted to wanted entities by a semi join."""
-    df = spark.read.option("mergeSchema", True).parquet(path).select(*columns)
+    spark: SparkSession, path: str, columns: Sequence[str], entities: DataFrame | None = None,
+    entity: str = "cell_name", *, schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Raw samples, core columns only, restricted to wanted entities by a semi join.
+
+    With a schema no footer is read while planning, and columns that old files lack are null.
+    """
+    source = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
+    df = source.parquet(path).select(*columns)
     return df if entities is None else df.join(entities.select(entity).distinct(), entity, "left_semi")
 
 
@@ -95,25 +100,34 @@ def explode_json_map(text: Column, value: T.DataType) -> Column:
     return F.explode(F.from_json(text, T.MapType(T.StringType(), value)))
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decision map file -> one row per cell; a missing file gives no rows."""
+def read_decisions(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Decision map file -> one row per cell; a missing file gives no rows.
+
+    The map is one JSON value, hence one row of one task. ``lines`` reads one object per cell and line
+    instead (``cell_name`` beside the fields), which splits over tasks.
+    """
     schema = T.StructType([T.StructField("cell_name", T.StringType()), *DECISION.fields])
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
+    if lines:
+        return spark.read.schema(schema).json(path)
     text = spark.read.text(path, wholetext=True)
     return text.select(explode_json_map(F.col("value"), DECISION).alias("cell_name", "d")).select("cell_name", "d.*")
 
 
-def read_outliers(spark: SparkSession, path: str) -> DataFrame:
-    """Outlier sidecar -> (cell_name, cycle, z_score) rows; a missing file gives no rows."""
+def read_outliers(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Outlier sidecar -> (cell_name, cycle, z_score) rows; a missing file gives no rows.
+
+    ``lines``: one object per cell and line, as in ``read_decisions``.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], "cell_name string, cycle long, z_score double")
-    text = spark.read.text(path, wholetext=True)
-    return (
-        text.select(explode_json_map(F.col("value"), OUTLIER_ENTRY).alias("cell_name", "o"))
-        .select("cell_name", F.explode("o.outliers").alias("x"))
-        .select("cell_name", "x.*")
-    )
+    if lines:
+        entries = spark.read.schema(T.StructType([T.StructField("cell_name", T.StringType()), *OUTLIER_ENTRY.fields])).json(path)
+    else:
+        text = spark.read.text(path, wholetext=True)
+        entries = text.select(explode_json_map(F.col("value"), OUTLIER_ENTRY).alias("cell_name", "o")).select("cell_name", "o.*")
+    return entries.select("cell_name", F.explode("outliers").alias("x")).select("cell_name", "x.*")
 
 
 def snapshot_choice(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,20 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def write_with_mirror(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """Parquet and csv copies; rows in a fixed order, nulls last."""
+    """Parquet and csv copies; rows in a fixed order, nulls last.
+
+    The ordered rows are kept on disk between the two writes, so the plan and its sort run once; parts on a
+    lost executor are computed again.
+    """
     out = nan_to_null(df)
     if order:
         out = out.orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    out.write.mode("overwrite").parquet(f"{path}/parquet")
-    out.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    out = out.persist(StorageLevel.DISK_ONLY)
+    try:
+        out.write.mode("overwrite").parquet(f"{path}/parquet")
+        out.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    finally:
+        out.unpersist()
 
 
 def write_snapshot(df: DataFrame, root: str, snapshot: str) -> None:
@@ -32,15 +41,17 @@ def write_snapshot(df: DataFrame, root: str, snapshot: str) -> None:
 
 
 def promote(spark: SparkSession, root: str, snapshot: str) -> None:
+    """Add a pointer row; the newest one counts, so there is no moment without a pointer."""
     pointer = spark.range(1).select(
         F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("promoted_at")
     )
-    pointer.write.mode("overwrite").parquet(f"{root}/latest")
+    pointer.write.mode("append").parquet(f"{root}/latest")
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The promoted snapshot; the filter prunes partitions."""
-    name = spark.read.parquet(f"{root}/latest").first()["snapshot"]
+    pointers = spark.read.parquet(f"{root}/latest")
+    name = pointers.agg(F.max_by("snapshot", "promoted_at").alias("snapshot")).first()["snapshot"]
     return spark.read.parquet(f"{root}/snapshots").where(F.col("snapshot") == name)
 
 
