@@ -48,7 +48,8 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(renamed, cond, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

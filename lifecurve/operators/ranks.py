@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.operators.ordered import Ordered, arrange, chunk_rows, join_same, largest_group, with_single
+from lifecurve.session import materialize
 
 
 # Largest key for which the built-in exact percentile, which keeps all values of a key, is used.
 PERCENTILE_ROWS = 100_000
 SKETCH_ACCURACY = 1_000
+# Half width of a bracket in units of the sketch's rank error.
+SKETCH_MARGIN = 3.0
 
 
 def exact_quantiles(
@@ -27,7 +30,7 @@ def exact_quantiles(
 
     Small keys (by bound or by count) use the built-in percentile. Larger ones are bracketed by a
     mergeable sketch first; only the values inside the bracket are ordered, and the rows below it are
-    counted. A bracket that misses the wanted rank raises instead of giving a wrong value.
+    counted. For a key whose bracket misses the wanted rank, all its distinct values are ordered instead.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     limit = min(PERCENTILE_ROWS, chunk_rows(df.sparkSession))
@@ -38,7 +41,7 @@ def exact_quantiles(
     if top <= limit:
         return rows.groupBy(*keys).agg(*[F.percentile("_v", float(p)).alias(n) for n, p in probs.items()])
 
-    margin = 3.0 / SKETCH_ACCURACY
+    margin = SKETCH_MARGIN / SKETCH_ACCURACY
     edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_all"), F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_edges")
@@ -69,14 +72,36 @@ def exact_quantiles(
         F.max(h - F.floor(h)).alias("_f"),
         F.max(F.when(~known, F.col("_cum") > F.floor(h))).alias("_missed"),
     )
-    ok = F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & ~F.coalesce("_missed", F.lit(False))
-    exact = F.when(ok, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).otherwise(
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    )
-    long = picked.select(*keys, "i", exact.alias("_q"))
-    return long.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in enumerate(probs)]
-    )
+    missed = F.col("_lo").isNull() | F.col("_hi").isNull() | F.coalesce("_missed", F.lit(False))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
+    # One row per key and probability: written, so that asking for misses does not run the passes twice.
+    found = materialize(picked.select(*keys, F.col("i"), F.when(~missed, between).alias("_q"), missed.alias("_miss")))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in enumerate(probs)])
+    again = found.where("_miss").select(*keys).distinct()
+    if again.isEmpty():
+        return wide
+    if not keys:
+        return ordered_quantiles(rows, keys, probs, bound=bound)
+    redone = ordered_quantiles(join_same(rows, again, keys, "left_semi"), keys, probs, bound=bound)
+    return join_same(wide, again, keys, "left_anti").unionByName(redone)
+
+
+def ordered_quantiles(rows: DataFrame, keys: Sequence[str], probs: Mapping[str, float], *, bound: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles of ``_v`` per key from its distinct values in order; no size is assumed."""
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    o = arrange(counts, keys, ["_v"], bound=bound).running(_cum=F.col("_n"))
+    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    placed = join_same(o.rows(), total, keys) if keys else with_single(o.rows(), total)
+    edges = []
+    for i, p in enumerate(probs.values()):
+        h = (F.col("_all") - 1) * F.lit(float(p))
+        edges += [
+            F.min(F.when(F.col("_cum") > F.floor(h), F.col("_v"))).alias(f"_lo{i}"),
+            F.min(F.when(F.col("_cum") > F.ceil(h), F.col("_v"))).alias(f"_hi{i}"),
+            F.max(h - F.floor(h)).alias(f"_f{i}"),
+        ]
+    at = placed.groupBy(*keys).agg(*edges)
+    return at.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(probs)])
 
 
 def attach_quantile(o: Ordered, name: str, value: str, prob: float) -> Ordered:

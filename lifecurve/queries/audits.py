@@ -246,6 +246,62 @@ def decision_rule_errors(t):
     return audit.decision_errors(dec).select("user_id", F.array_join("errors", "; ").alias("errors"))
 
 
+# Decision entries as JSON text, with every kind of fault the checks know.
+ENTRY_PARTS = (
+    ("exclude_from_ml", "CASE WHEN k % 11 = 3 THEN '\"no\"' WHEN k % 11 = 5 THEN '1' WHEN k % 4 = 0 THEN 'true' ELSE 'false' END"),
+    ("last_available_cycle", "CASE WHEN k % 9 = 2 THEN '7.5' WHEN k % 9 = 4 THEN 'null' WHEN k % 9 = 6 THEN '\"7\"' ELSE cast(k AS VARCHAR(9)) END"),
+    ("event_type", "CASE WHEN k % 5 = 0 THEN 'null' WHEN k % 5 = 1 THEN '\"censor\"' WHEN k % 13 = 2 THEN '3' WHEN k % 13 = 4 THEN '\"pause\"' ELSE '\"event\"' END"),
+    ("reason", "CASE WHEN k % 10 = 9 THEN '[\"a\", 1]' ELSE concat('\"', event_type, '\"') END"),
+    ("validated_at", "CASE WHEN k % 8 = 5 THEN '{\"day\": 20240101}' ELSE '\"2024-01-01\"' END"),
+)
+ENTRY_TEXT = (
+    "CASE WHEN k = 96 THEN '[1, 2]' WHEN k = 97 THEN '\"text\"' WHEN k = 98 THEN '12' ELSE concat('{'"
+    + "".join(f""", '"{name}": ', {value}, ', '""" for name, value in ENTRY_PARTS)
+    + """, CASE WHEN k % 6 = 1 THEN '"note": 1, ' WHEN k % 6 = 3 THEN '"b": 1, "a": 2, ' ELSE '' END, CASE WHEN k % 7 = 2 THEN '"extra": true}' ELSE '"n_regular_at_review": 5}' END) END"""
+)
+KIND_SQL = "CASE json_type(j, '$.{0}') WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' ELSE 'null' END"
+KINDS = {f: KIND_SQL.format(f) for f in ("exclude_from_ml", "last_available_cycle", "event_type", "reason", "validated_at", "n_regular_at_review")}
+
+
+@query(
+    "decision_type_errors",
+    f"""WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+    j AS (SELECT event_id, CAST({ENTRY_TEXT} AS JSON) AS j FROM e),
+    t AS (SELECT event_id, j, json_type(j) AS whole, coalesce(json_keys(j), []) AS ks, {", ".join(f"{v} AS k_{f}" for f, v in KINDS.items())}, j ->> '$.event_type' AS et, j ->> '$.exclude_from_ml' AS ex FROM j),
+    r AS (SELECT *, [f FOR f IN {list(KINDS)} IF NOT list_contains(ks, f)] AS gone, [f FOR f IN ks IF NOT list_contains({list(KINDS)}, f)] AS more FROM t)
+    SELECT event_id, CASE whole WHEN 'OBJECT' THEN concat_ws('; ',
+      CASE WHEN len(gone) > 0 THEN 'missing fields: ' || array_to_string(list_sort(gone), ', ') END,
+      CASE WHEN len(more) > 0 THEN 'unknown fields: ' || array_to_string(list_sort(more), ', ') END,
+      CASE WHEN k_exclude_from_ml <> 'bool' THEN 'exclude_from_ml: bool expected, found ' || k_exclude_from_ml END,
+      CASE WHEN k_last_available_cycle NOT IN ('int', 'bool', 'null') THEN 'last_available_cycle: int expected, found ' || k_last_available_cycle END,
+      CASE WHEN k_event_type <> 'null' AND (k_event_type <> 'str' OR et NOT IN ('censor', 'event')) THEN 'event_type: one of censor, event or null expected' END,
+      CASE WHEN k_reason NOT IN ('str', 'null') THEN 'reason: str expected, found ' || k_reason END,
+      CASE WHEN k_validated_at NOT IN ('str', 'null') THEN 'validated_at: str expected, found ' || k_validated_at END,
+      CASE WHEN k_n_regular_at_review NOT IN ('int', 'bool', 'null') THEN 'n_regular_at_review: int expected, found ' || k_n_regular_at_review END,
+      CASE WHEN k_exclude_from_ml = 'bool' AND ex = 'false' AND k_event_type = 'null' THEN 'a kept entity needs an event_type' END,
+      CASE WHEN k_exclude_from_ml = 'bool' AND ex = 'false' AND k_event_type = 'str' AND et = 'event' AND k_last_available_cycle = 'null' THEN 'an event needs a last_available_cycle' END)
+      WHEN 'ARRAY' THEN 'object expected, found list' WHEN 'VARCHAR' THEN 'object expected, found str' ELSE 'object expected, found int' END AS errors FROM r""",
+)
+def decision_type_errors(t):
+    rows = t.events.select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    entries = rows.select("event_id", F.expr(ENTRY_TEXT).alias("entry"))
+    return audit.decision_text_errors(entries, "entry").select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(
+    "attached_ordinal",
+    """WITH reg AS (SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS ordinal FROM orders WHERE o_orderstatus = 'F'),
+    rec AS (SELECT l_orderkey AS o_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, quantity, ordinal FROM rec LEFT JOIN reg USING (o_orderkey)""",
+)
+def attached_ordinal(t):
+    registry = series.number_cycles(
+        t.orders.where("o_orderstatus = 'F'").select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", ["o_orderdate", "o_orderkey"], bound=t.rows("orders")
+    ).rows()
+    recomputed = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("double").alias("quantity"))
+    return audit.attach_ordinal(recomputed, registry.withColumnRenamed("cycle", "ordinal"), ["o_orderkey"], "ordinal")
+
+
 @query("stale_decisions", "WITH " + REVIEW + "SELECT user_id, stale_reason FROM stale")
 def stale_decisions(t):
     dec, cur, _ = review_inputs(t)

@@ -6,6 +6,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from lifecurve.operators import learn, metrics, rollup, survival
+from lifecurve.operators.ordered import with_single
+from lifecurve.operators.ranks import roc_auc
 from lifecurve.queries.common import CYC, cycles, r6
 from lifecurve.queries.label_stack import STATUS, fade_status
 from lifecurve.queries.registry import query
@@ -126,6 +128,38 @@ def oof_scores(t):
     return learn.on_spine(t.embeddings.select("vec_id"), wide, "vec_id", ["proba_mean", "n_seeds"])
 
 
+@query(
+    "fitted_score_checks",
+    """SELECT model, count(*) AS n, count(*) AS n_scored, CAST(0 AS BIGINT) AS n_outside, true AS above_chance
+       FROM embeddings, (VALUES ('forest'), ('boosted'), ('out_of_fold')) v(model) GROUP BY 1
+       UNION ALL SELECT 'median_life', count(DISTINCT user_id), count(DISTINCT user_id), 0, true FROM events""",
+)
+def fitted_score_checks(t):
+    """What holds for scores of any right fit: one per entity, in range, better than chance on rows learnt from.
+
+    Out of fold (every entity scored by models that did not see it) only range and coverage are asked for.
+    """
+    bound = t.rows("embeddings")
+    truth = t.embeddings.select("vec_id", (F.col("label") >= 5).cast("int").alias("y"))
+    fold = oof_scores(t).select("vec_id", F.col("proba_mean").alias("proba")).join(truth, "vec_id")
+    parts = []
+    for name, scored in (("forest", rf_scores(t)), ("boosted", gbt_scores(t)), ("out_of_fold", fold)):
+        auc = roc_auc(scored, [], "y", "proba", bound=bound)
+        better = (F.col("auc") > 0.5) | F.lit(name == "out_of_fold")
+        parts.append((name, "vec_id", "proba", 0.0, 1.0, scored, auc.select(better.alias("above_chance"))))
+    life = aft_median(t)
+    # Longer predictions go with longer lives.
+    along = life.agg((F.corr("median_time", "time") > 0).alias("above_chance"))
+    parts.append(("median_life", "user_id", "median_time", 1.0, 5000.0, life, along))
+    out = None
+    for name, entity, score, low, high, scored, better in parts:
+        counts = scored.groupBy(entity).agg(F.count(score).alias("k"), F.max((~F.col(score).between(low, high)).cast("int")).alias("bad"))
+        facts = counts.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == 1).alias("n_scored"), F.count_if(F.col("bad") == 1).alias("n_outside"))
+        part = with_single(facts, better).select(F.lit(name).alias("model"), "n", "n_scored", "n_outside", "above_chance")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("param_search")
 def param_search(t):
     folded = learn.stratified_folds(vectors(t), "y", "vec_id", folds=3, bound=t.rows("embeddings"))

@@ -201,3 +201,19 @@ def test_blend_verdict(spark):
     row = rollup.blend_summary(df).first()
     assert (row.best_weight, row.verdict) == (0.5, "blend wins")
     assert row.delta == pytest.approx(0.3015)
+
+
+@pytest.mark.parametrize("margin", [3.0, 0.0])
+def test_quantiles_of_large_keys(spark, layout, monkeypatch, margin):
+    """Brackets without width miss their ranks; the values are the exact ones all the same."""
+    monkeypatch.setattr(ranks, "PERCENTILE_ROWS", 10)
+    monkeypatch.setattr(ranks, "SKETCH_MARGIN", margin)
+    v = F.when(F.col("id") % 50 < 40, 7.0).otherwise(F.hash("id") / 1e6)
+    df = spark.range(900).select(F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("g"), v.alias("v"))
+    probs = {"low": 0.013, "mid": 0.5, "high": 0.9, "least": 0.0, "most": 1.0}
+    for keys in (["g"], []):
+        want = {r.asDict().get("g"): r for r in df.groupBy(*keys).agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()]).collect()}
+        got = {r.asDict().get("g"): r for r in ranks.exact_quantiles(df, keys, "v", probs).collect()}
+        assert got.keys() == want.keys()
+        for g, r in want.items():
+            assert [got[g][n] for n in probs] == pytest.approx([r[n] for n in probs])

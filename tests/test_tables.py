@@ -281,6 +281,42 @@ def test_decision_rules(spark):
     assert got == {"ok": 0, "no_type": 1, "no_cycle": 1, "excluded": 0, "odd": 2}
 
 
+def test_decision_text_errors(spark):
+    good = {"exclude_from_ml": False, "last_available_cycle": 5, "event_type": "event", "reason": None, "validated_at": "d", "n_regular_at_review": None}
+    texts = {
+        "good": json.dumps(good),
+        "none": None,
+        "broken": "{",
+        "number": "3",
+        "empty": "{}",
+        "text_flag": json.dumps(good | {"exclude_from_ml": "false"}),
+        "half": json.dumps(good | {"last_available_cycle": 5.5}),
+        "free": json.dumps(good | {"last_available_cycle": None}),
+        "extra": json.dumps(good | {"z": 1, "a": 2}),
+    }
+    df = spark.createDataFrame(list(texts.items()), "name string, entry string")
+    got = {r.name: r.errors for r in audit.decision_text_errors(df, "entry").collect()}
+    assert got["good"] == [] and got["none"] == got["broken"] == ["no JSON"] and got["number"] == ["object expected, found int"]
+    assert got["empty"][0].startswith("missing fields: event_type, ") and got["empty"][1] == "exclude_from_ml: bool expected, found null"
+    assert got["text_flag"] == ["exclude_from_ml: bool expected, found str"]
+    assert got["half"] == ["last_available_cycle: int expected, found float"]
+    assert got["free"] == ["an event needs a last_available_cycle"]
+    assert got["extra"] == ["unknown fields: a, z"]
+
+
+def test_line_files(spark, tmp_path):
+    lines = [json.dumps({"cell_name": "a", "cd_events": events([1.0, 0.9])}), "{cut", json.dumps({"cycling_consistency": "x"})]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "docs.json").write_text("\n".join(lines))
+    (tmp_path / "dec").write_text(json.dumps({"cell_name": "a"} | DECISIONS["AR_event"]))
+    (tmp_path / "out").write_text(json.dumps({"cell_name": "a"} | SIDECAR["AR_masked"]))
+    good, bad = readers.read_documents(spark, f"{tmp_path}/d", lines=True)
+    assert readers.flatten_cycles(good).count() == 2 and bad.count() == 2
+    assert readers.read_decisions(spark, f"{tmp_path}/dec", lines=True).first().last_available_cycle == 12
+    assert [r.cycle for r in readers.read_outliers(spark, f"{tmp_path}/out", lines=True).collect()] == [18, 19, 20]
+    assert readers.read_decisions(spark, f"{tmp_path}/no", lines=True).count() == 0
+
+
 def test_review_flow(spark):
     decisions = spark.createDataFrame(
         [("old", False, 9, "censor", "r", "d", 100), ("done", False, 9, "censor", "r", "d", 50), ("gone", False, 9, "censor", "r", "d", 5), ("legacy", False, 9, "censor", "r", "d", None)],
