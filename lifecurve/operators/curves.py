@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lifecurve.functions.roles import FIT_CYCLES, FIT_FIELDS
 from lifecurve.functions.scalars import finite, safe_log_abs, safe_ratio, signed_shift
-from lifecurve.operators.ordered import Ordered, arrange, fits, join_on, join_same, spread_before_copies
+from lifecurve.operators.ordered import Ordered, arrange, join_on, join_same, largest_group, spread_before_copies
 
 # Fixed values.
 GRID_STEP = 0.005
@@ -19,6 +19,7 @@ FINE_STEP = 0.001
 PEAK_PROMINENCE = 0.05
 PEAK_DISTANCE = 20
 MIN_CURVE_POINTS = 10
+MAX_TURNS = 5_000_000
 MIN_CHARGE = 1e-12
 SMOOTH_WINDOW = 51
 SMOOTH_ORDER = 3
@@ -260,39 +261,42 @@ def _pick_peaks(rows: pd.DataFrame, prominence: float, distance: int) -> list[in
     peaks = [i for i in range(1, n - 1) if s[i - 1] < s[i] > s[i + 1]]
     if not peaks:
         return []
-    kept = set(peaks)
-    for i in sorted(peaks, key=lambda p: (s[p], p), reverse=True):
-        if i in kept:
-            kept -= {j for j in kept if j != i and abs(centre[j] - centre[i]) < distance}
+    dropped = np.zeros(len(peaks), bool)
+    mid = centre[peaks]
+    for k in sorted(range(len(peaks)), key=lambda k: (s[peaks[k]], peaks[k]), reverse=True):
+        if dropped[k]:
+            continue
+        for side in (-1, 1):
+            j = k + side
+            while 0 <= j < len(peaks) and abs(mid[j] - mid[k]) < distance:
+                dropped[j] = True
+                j += side
+    lows = np.maximum(_bases(s), _bases(s[::-1])[::-1])
     floor = prominence * s.max()
+    return [i for i, gone in zip(peaks, dropped, strict=True) if not gone and s[i] - lows[i] >= floor]
 
-    def base(order: Iterator[int], top: float) -> float:
-        low = top
-        for j in order:
-            if s[j] > top:
-                break
-            low = min(low, s[j])
-        return low
-
-    out = []
-    for i in sorted(kept):
-        left, right = base(iter(range(i - 1, -1, -1)), s[i]), base(iter(range(i + 1, n)), s[i])
-        if s[i] - max(left, right) >= floor:
-            out.append(i)
+
+def _bases(s: np.ndarray) -> np.ndarray:
+    """Least value from each place back to the nearest higher one (not included): one pass with a stack."""
+    out, open_at = s.copy(), []
+    for i, top in enumerate(s):
+        while open_at and s[open_at[-1]] <= top:
+            out[i] = min(out[i], out[open_at.pop()])
+        open_at.append(i)
     return out
 
 
 def dominant_peak(
     curve: DataFrame, keys: Sequence[str], x: str, y: str,
     *, prominence: float = PEAK_PROMINENCE, distance: int = PEAK_DISTANCE,
-    min_points: int = MIN_CURVE_POINTS, bound: int | None = None,
+    min_points: int = MIN_CURVE_POINTS, max_turns: int = MAX_TURNS, bound: int | None = None,
 ) -> DataFrame:
     """Highest peak of |y| per curve: place, signed height and number of peaks.
 
     Peaks are local maxima at least ``distance`` samples apart (higher ones first) whose prominence
     reaches the given share of the maximum. Spark orders the samples and joins equal neighbours into
-    runs; a small helper then walks the turning points of one curve. A curve lives on a grid, so its
-    turning points are few; a curve that does not fit one task is refused.
+    runs; a small helper then walks the turning points of one curve, about 40 bytes each. A curve lives on
+    a grid, so they are few; one with more than ``max_turns`` is refused, whatever the size of the table.
     """
     rows = curve.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rows = rows.withColumn("_s", F.abs("_y"))
@@ -313,7 +317,7 @@ def dominant_peak(
     turns = turning.where(a.isNull() | b.isNull() | ((s > a) & (s > b)) | ((s < a) & (s < b))).rows()
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     turns = join_same(turns.drop("_a", "_b"), totals.where(F.col("_n") >= min_points), keys)
-    if not fits(turns, keys, bound):
+    if (bound is None or bound > max_turns) and largest_group(turns, keys)[0] > max_turns:
         raise ValueError("a curve has more turning points than one task may hold; resample it first")
     kinds = dict(turns.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_pos long, n_peaks long"])

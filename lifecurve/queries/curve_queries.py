@@ -214,12 +214,43 @@ def dominant_peak(t):
     return curves.dominant_peak(demand_curve(t), ["p_brand"], "x", "y", distance=1, bound=t.rows("lineitem"))
 
 
-@query("spaced_peak")
+# Higher peaks first, each kept if none kept before lies nearer than five samples.
+@query(
+    "spaced_peak",
+    """WITH RECURSIVE c AS (SELECT p_brand, floor(l_extendedprice / 2000) * 2000 AS x, count(*)::DOUBLE AS y FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER w AS pos, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY p_brand ORDER BY x)),
+    r AS (SELECT *, sum(CASE WHEN py IS NULL OR py <> y THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY pos) AS run FROM n),
+    g AS (SELECT p_brand, run, (min(pos) + max(pos)) // 2 AS mid, max(y) AS s FROM r GROUP BY 1, 2),
+    k AS (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b, max(s) OVER (PARTITION BY p_brand) AS top FROM g WINDOW w AS (PARTITION BY p_brand ORDER BY run)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, run DESC) AS rk FROM k WHERE s > a AND s > b),
+    kp AS (SELECT DISTINCT p_brand, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS kept FROM o
+      UNION ALL SELECT kp.p_brand, o.rk, CASE WHEN len([m FOR m IN kept IF abs(m - o.mid) < 5]) = 0 THEN list_append(kept, o.mid) ELSE kept END
+      FROM kp JOIN o ON o.p_brand = kp.p_brand AND o.rk = kp.step + 1),
+    e AS (SELECT p_brand, arg_max(kept, step) AS kept FROM kp GROUP BY 1),
+    p AS (SELECT o.*, coalesce((SELECT max(q.run) FROM g q WHERE q.p_brand = o.p_brand AND q.run < o.run AND q.s > o.s), 0) AS lb,
+       coalesce((SELECT min(q.run) FROM g q WHERE q.p_brand = o.p_brand AND q.run > o.run AND q.s > o.s), 1000000) AS rb FROM o JOIN e ON e.p_brand = o.p_brand AND list_contains(e.kept, o.mid)),
+    m AS (SELECT p.*, s - greatest((SELECT min(q.s) FROM g q WHERE q.p_brand = p.p_brand AND q.run > p.lb AND q.run <= p.run),
+       (SELECT min(q.s) FROM g q WHERE q.p_brand = p.p_brand AND q.run >= p.run AND q.run < p.rb)) AS prom FROM p),
+    z AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n_peaks, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, run) AS rn FROM m WHERE prom >= 0.05 * top)
+    SELECT z.p_brand, n.x AS peak_x, n.y AS peak_y, z.n_peaks FROM z JOIN n ON n.p_brand = z.p_brand AND n.pos = z.mid WHERE rn = 1""",
+)
 def spaced_peak(t):
     return curves.dominant_peak(demand_curve(t), ["p_brand"], "x", "y", distance=5, bound=t.rows("lineitem"))
 
 
-@query("smoothed_derivative")
+# The slope of a cubic through 51 even points in closed form: only odd powers of the place count.
+@query(
+    "smoothed_derivative",
+    """WITH pt AS (SELECT l_returnflag AS flag, l_linestatus AS st, floor(l_extendedprice / 2500) AS band, round(avg(l_extendedprice), 6) AS x, round(avg(l_quantity), 6) AS y FROM lineitem GROUP BY 1, 2, 3),
+    rg AS (SELECT flag, st, min(x) AS lo, max(x) AS hi FROM pt GROUP BY 1, 2 HAVING max(x) - min(x) >= 500),
+    gr AS (SELECT flag, st, i, lo + i * 500.0::DOUBLE AS x FROM rg, LATERAL (SELECT unnest(range(0, CAST(ceil((hi + 250 - lo) / 500) AS BIGINT))) AS i) u),
+    ip AS (SELECT g.*, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM gr g ASOF LEFT JOIN pt a ON a.flag = g.flag AND a.st = g.st AND a.x <= g.x ASOF LEFT JOIN pt b ON b.flag = g.flag AND b.st = g.st AND b.x >= g.x),
+    cv AS (SELECT flag, st, i, x, CASE WHEN xa IS NULL THEN yb WHEN xb IS NULL OR xa = x THEN ya ELSE ya + (yb - ya) * (x - xa) / (xb - xa) END AS y FROM ip),
+    w AS (SELECT *, list(y) OVER (PARTITION BY flag, st ORDER BY i ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS ys FROM cv),
+    s AS (SELECT sum(j ** 2)::DOUBLE AS s2, sum(j ** 4)::DOUBLE AS s4, sum(j ** 6)::DOUBLE AS s6 FROM range(-25, 26) t(j)),
+    m AS (SELECT *, list_sum([(j - 25) * ys[j + 1] FOR j IN range(0, 51)]) AS m1, list_sum([(j - 25) * (j - 25) * (j - 25) * ys[j + 1] FOR j IN range(0, 51)]) AS m3 FROM w WHERE len(ys) = 51)
+    SELECT flag, CASE st WHEN 'F' THEN 'a' ELSE 'b' END AS curve, i, round(x, 4) AS x, round((s6 * m1 - s4 * m3) / (s2 * s6 - s4 * s4) / 500, 8) AS slope FROM m, s""",
+)
 def smoothed_derivative(t):
     both = [c.withColumn("curve", F.lit(name)) for c, name in zip(price_curves(t), ("a", "b"))]
     out = curves.smoothed_derivative(both[0].unionByName(both[1]), ["flag", "curve"], "x", "y", 500.0, bound=t.rows("lineitem"))

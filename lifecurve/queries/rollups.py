@@ -353,7 +353,15 @@ def paired_deltas(t):
     return out.select("big", "small", "metric", "n_seeds", *[r6(F.col(c), c) for c in ("delta_pp", "t_stat", "cohens_d")], "note")
 
 
-@query("paired_p_values")
+# Student's distribution for whole degrees of freedom v as a finite sum in the cosine of atan(|t| / sqrt(v)).
+@query(
+    "paired_p_values",
+    f"""WITH {PAIRED}, ts AS (SELECT big, small, metric, avg(delta) / stddev_samp(delta) * sqrt(count(delta)) AS t, count(delta) - 1 AS v FROM pd GROUP BY 1, 2, 3),
+    an AS (SELECT *, atan(abs(t) / sqrt(v)) AS a FROM ts),
+    terms AS (SELECT *, CASE WHEN v % 2 = 1 THEN [coalesce(list_aggregate([2.0::DOUBLE * i / (2 * i + 1) FOR i IN range(1, j)], 'product'), 1) * cos(a) ** (2 * j - 1) FOR j IN range(1, (v - 1) // 2 + 1)]
+      ELSE [coalesce(list_aggregate([(2 * i - 1)::DOUBLE / (2 * i) FOR i IN range(1, j + 1)], 'product'), 1) * cos(a) ** (2 * j) FOR j IN range(0, v // 2)] END AS ks FROM an)
+    SELECT big, small, metric, round(greatest(1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (a + sin(a) * coalesce(list_sum(ks), 0)) ELSE sin(a) * list_sum(ks) END, 0), 6) AS p_value FROM terms""",
+)
 def paired_p_values(t):
     out = rollup.paired_summary(paired(t))
     p = rollup.student_p_value(F.col("t_stat"), F.col("n_seeds") - 1)
