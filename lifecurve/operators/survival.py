@@ -162,6 +162,55 @@ def f1_at_horizon(
     )
 
 
+def horizon_metrics(
+    df: DataFrame, keys: Sequence[str], time: str, event: str, risk: str, horizons: Sequence[int], *, bound: int | None = None
+) -> DataFrame:
+    """``auc_at_horizon`` and ``f1_at_horizon`` of every horizon from one pass over ``df``.
+
+    Rows are combined per distinct risk with the failed and the surviving of each horizon as columns; the
+    risks are put in order once. The median is where half of a horizon's rows lie below, so the running counts
+    give the cut and the cells of the confusion table together.
+    """
+    t = F.col(time)
+    counts = {}
+    for n in horizons:
+        counts |= {f"_p{n}": F.count_if(_is(event) & (t <= n)), f"_q{n}": F.count_if(t > n)}
+    cells = df.groupBy(*keys, F.col(risk).cast("double").alias("_s")).agg(*[c.alias(name) for name, c in counts.items()])
+    known = F.col("_s").isNotNull()
+    sums, sizes = {}, {}
+    for n in horizons:
+        p, q = (F.when(known, F.col(f"_{c}{n}")).otherwise(0) for c in "pq")
+        sums |= {f"_below{n}": F.col(f"_q{n}"), f"_cp{n}": p, f"_cq{n}": q}
+        sizes[f"_n{n}"] = F.sum(p + q)
+    rows = arrange(cells, keys, ["_s"], bound=bound).running(**sums).attach(**sizes).rows()
+    parts = []
+    for n in horizons:
+        p, q, upto = F.col(f"_p{n}"), F.col(f"_q{n}"), F.col(f"_cp{n}") + F.col(f"_cq{n}")
+        half = (F.col(f"_n{n}") - 1) * 0.5
+        before = F.struct("_s", (F.col(f"_cp{n}") - p).alias("p"), (F.col(f"_cq{n}") - q).alias("q"))
+        parts += [
+            F.sum(p * (F.col(f"_below{n}") - q * 0.5)).alias(f"_won{n}"),
+            F.sum(p).alias(f"_p{n}"),
+            F.sum(q).alias(f"_q{n}"),
+            F.sum(F.when(known, p)).alias(f"_kp{n}"),
+            F.sum(F.when(known, q)).alias(f"_kq{n}"),
+            *[F.min(F.when(known & (upto > rank), before)).alias(f"_{e}{n}") for e, rank in (("lo", F.floor(half)), ("hi", F.ceil(half)))],
+        ]
+    facts = rows.groupBy(*keys).agg(*parts)
+    out = []
+    for n in horizons:
+        both = (F.col(f"_p{n}") > 0) & (F.col(f"_q{n}") > 0)
+        lo, hi = F.col(f"_lo{n}"), F.col(f"_hi{n}")
+        # Risks at or above the middle of the two; that is the upper one unless they are the same.
+        cut = F.when(lo["_s"] + (hi["_s"] - lo["_s"]) * 0.5 <= lo["_s"], lo).otherwise(hi)
+        tp, fp, fn = F.col(f"_kp{n}") - cut["p"], F.col(f"_kq{n}") - cut["q"], cut["p"]
+        out += [
+            F.when(both, F.col(f"_won{n}") / (F.col(f"_p{n}") * F.col(f"_q{n}"))).alias(f"auc_at_{n}"),
+            F.when(both & lo.isNotNull(), ratio_or_zero(2 * tp, 2 * tp + fp + fn)).alias(f"f1_at_{n}"),
+        ]
+    return facts.select(*keys, *out)
+
+
 def dynamic_auc(
     train: DataFrame,
     test: DataFrame,
@@ -202,7 +251,4 @@ def survival_metrics(
 ) -> DataFrame:
     """n, events, concordance, and AUC and F1 at each horizon, per key."""
     out = concordance(df, keys, time, event, risk, bound=bound)
-    for n in horizons:
-        out = join_same(out, auc_at_horizon(df, keys, time, event, risk, n, bound=bound), keys, "left")
-        out = join_same(out, f1_at_horizon(df, keys, time, event, risk, n, bound=bound), keys, "left")
-    return out
+    return join_same(out, horizon_metrics(df, keys, time, event, risk, horizons, bound=bound), keys, "left")

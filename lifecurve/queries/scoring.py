@@ -219,13 +219,7 @@ def auc_at_sql(n):
     FROM a50 JOIN f50 USING (scope) JOIN a60 USING (scope) JOIN f60 USING (scope) JOIN a70 USING (scope) JOIN f70 USING (scope)""",
 )
 def survival_at_horizons(t):
-    rows, bound = survival_rows(t), t.rows("events")
-    out = None
-    for n in HORIZONS:
-        a = survival.auc_at_horizon(rows, ["seed"], "time", "event", "risk", n, bound=bound)
-        f = survival.f1_at_horizon(rows, ["seed"], "time", "event", "risk", n, bound=bound)
-        both = a.join(f, "seed")
-        out = both if out is None else out.join(both, "seed")
+    out = survival.horizon_metrics(survival_rows(t), ["seed"], "time", "event", "risk", HORIZONS, bound=t.rows("events"))
     return out.select("seed", *[r6(F.col(f"{m}_at_{n}"), f"{m}_at_{n}") for n in HORIZONS for m in ("auc", "f1")])
 
 

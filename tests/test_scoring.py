@@ -217,3 +217,22 @@ def test_quantiles_of_large_keys(spark, layout, monkeypatch, margin):
         assert got.keys() == want.keys()
         for g, r in want.items():
             assert [got[g][n] for n in probs] == pytest.approx([r[n] for n in probs])
+
+
+def test_horizons_in_one_pass(spark, layout):
+    """The same figures as one horizon at a time, with tied and missing risks and keys without a class."""
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), rng.randrange(1, 60), rng.random() < 0.5, rng.choice([None, *range(8)])) for _ in range(300)]
+    rows += [("one", 9, True, 1), ("late", 90, False, 2), ("late", 91, True, 3), ("gone", 1, False, 1), ("blank", 9, True, None), ("blank", 99, True, None)]
+    rows = [(k, t, e, None if r is None else float(r)) for k, t, e, r in rows]
+    df = spark.createDataFrame(rows, "k string, time int, event boolean, risk double")
+    got = {r.k: r.asDict() for r in survival.horizon_metrics(df, ["k"], "time", "event", "risk", (20, 40)).collect()}
+    assert len(got) == 7
+    for n in (20, 40):
+        for fn, name in ((survival.auc_at_horizon, f"auc_at_{n}"), (survival.f1_at_horizon, f"f1_at_{n}")):
+            want = {r.k: r[name] for r in fn(df, ["k"], "time", "event", "risk", n).collect()}
+            for k in got:
+                assert got[k][name] == (None if want.get(k) is None else pytest.approx(want[k])), (k, name)
+    whole = survival.horizon_metrics(df, [], "time", "event", "risk", (20,)).first()
+    assert whole[0] == pytest.approx(survival.auc_at_horizon(df, [], "time", "event", "risk", 20).first()[0])
+    assert whole[1] == pytest.approx(survival.f1_at_horizon(df, [], "time", "event", "risk", 20).first()[0])
