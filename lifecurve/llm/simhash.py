@@ -40,17 +40,24 @@ PAIR_LIMIT = 32
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str, words_each: int = 3, seed: int = 42) -> int:
-    """The fingerprint of a text as an unsigned number."""
+def shingles(text: str, words_each: int = 3, seed: int = 42) -> list[int]:
+    """Hashes of the text's shingles in their order; a text without words has none."""
     words = text.encode().translate(LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
     n = min(words_each, len(words))
     spans = zip((ends - lengths + 1)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
-    hashed = [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans]
+    return [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans]
+
+
+def fingerprint(text: str, words_each: int = 3, seed: int = 42) -> int:
+    """The fingerprint of a text as an unsigned number."""
+    hashed = shingles(text, words_each, seed)
+    if not hashed:
+        return 0
     ones, step = np.zeros(BITS, np.int64), 1 << 14
     for k in range(0, len(hashed), step):
         bits = np.unpackbits(np.array(hashed[k : k + step], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -226,4 +233,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     return add_row(docs, "_op4_row").join(stay, "_op4_row", "left_semi").drop("_op4_row")
 
 
-__all__ = ["allocate", "fingerprint", "fingerprints", "group_bits", "hex16", "links", "near_duplicates", "one_of_each", "plan"]
+__all__ = ["allocate", "fingerprint", "fingerprints", "group_bits", "hex16", "links", "near_duplicates", "one_of_each", "plan", "shingles"]
