@@ -1,8 +1,13 @@
 """Keyed surrogates for personal data (operator 2).
 
-Detected: e-mail addresses, IPv4 addresses, phone numbers, card and account numbers (13 to 19 digits), social
-security numbers, secrets (long hexadecimal strings; what follows token, key, secret or password and = or :)
-and persons (a title and one or two capitalised names).
+Detected: e-mail addresses, IPv4 addresses, phone numbers (international with + or 00 by the lengths of their
+country, national ones of North America, Britain, France and Germany, those with an area in brackets), card and
+account numbers (13 to 19 digits, plain or in the groups of issuers), IBANs (by the length of their country),
+social security numbers, secrets (long hexadecimal strings; what follows token, key, secret or password and = or :)
+and persons (a title and one or two capitalised names, and every further mention of such a name in the same text).
+
+Each shape has its own bounds, so a number that follows an entity is not taken in. International phones, whose length
+varies, end before whatever another shape has found.
 
 A surrogate is made by a keyed permutation of all values of the same kind and shape, so it needs no table:
 different entities never share one, the same entity has the same one everywhere, and none keeps its own.
@@ -25,6 +30,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache, reduce
 from operator import mul
 
@@ -56,7 +62,33 @@ DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuv
 TITLE_OF = {t: g for g, ts in TITLES.items() for t in ts}
 PERSON = re.compile(r"\b(" + "|".join(sorted(TITLE_OF, key=len, reverse=True)) + r")\b\.? +([^\W\d_]+(?:[-'’][^\W\d_]+)*)(?: +([^\W\d_]+(?:[-'’][^\W\d_]+)*))?")
 EMAIL_LEFT, EMAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+\-]+\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-NUMBER = re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ ().\-]{0,2}\d){6,18}(?!\w)")
+#: Where a number may begin and end.
+BEGIN, END = r"(?<![\w.])(?<![0-9]-)", r"(?!\w)"
+SSN = re.compile(BEGIN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END)
+ACCOUNT = re.compile(BEGIN + r"(?<![+(])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,4})" + END)
+#: What may follow four groups of four digits: a card of 17 to 19 digits.
+FIFTH = re.compile(r"([ -])([0-9]{1,3})" + END)
+IBAN = re.compile(r"(?<![\w.])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Length of an IBAN by country.
+IBAN_LENGTH = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24,
+    FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32,
+    LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22,
+    SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+#: National phones: North America, France, Britain, Germany.
+NATIONAL = re.compile(
+    BEGIN + r"(?<!\+)(?:(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+    r"|0[1-9](?:[ .\-][0-9]{2}){4}|0[1-9][0-9] [0-9]{4} [0-9]{4}|0[1-9][0-9]{2} [0-9]{3} [0-9]{4}|0[1-9][0-9]{3} [0-9]{3} ?[0-9]{3}|0[1-9][0-9]{1,3}[ /\-][0-9]{5,8})" + END
+)
+ABROAD = re.compile(BEGIN + r"(?:\+|00(?=[1-9])|\()(?=[0-9])")
+RUN = re.compile(r"[ ().\-]{0,2}([0-9]+)")
+#: Digits of a phone after the country code; elsewhere 6 to 12.
+ABROAD_LENGTH = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (8, 11), "40": (9, 9),
+    "41": (9, 9), "43": (7, 12), "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (7, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "57": (10, 10),
+    "61": (9, 9), "81": (9, 10), "82": (8, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "351": (9, 9), "353": (7, 9), "358": (6, 11), "380": (9, 9), "420": (9, 9), "421": (9, 9),
+}
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
 SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_+/\-]{8,}={0,2})")
 HEXRUN = re.compile(r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)")
@@ -163,6 +195,58 @@ def put_digits(digits: str, model: str) -> str:
     return "".join(next(feed) if c in DIGITS else c for c in model)
 
 
+def cards(text: str) -> list[tuple[int, int, str, str]]:
+    """Card and account numbers; a fifth group belongs to the number only if its check digit says so."""
+    out = []
+    for m in ACCOUNT.finditer(text):
+        digits, end = "".join(c for c in m[0] if c in DIGITS), m.end()
+        if m[2] and len(digits) == 16:
+            more = FIFTH.match(text, end)
+            longer = digits + more[2] if more and more[1] == m[2] else ""
+            if longer and int(longer[-1]) == luhn(longer[:-1]) and int(digits[-1]) != luhn(digits[:-1]):
+                digits, end = longer, more.end()
+        if 13 <= len(digits) <= 19:
+            out.append((m.start(), end, "account", digits))
+    return out
+
+
+def ibans(text: str) -> list[tuple[int, int, str, str]]:
+    """IBANs, as long as their country has them."""
+    out = []
+    for m in IBAN.finditer(text):
+        need, taken, end = IBAN_LENGTH.get(m[0][:2], 0), [], m.start()
+        while len(taken) < need and end < m.end():
+            taken += [text[end]] if text[end] != " " else []
+            end += 1
+        if need and len(taken) == need and not (text[end : end + 1].isalnum() or text[end : end + 1] == "_"):
+            out.append((m.start(), end, "iban", "".join(taken).lower()))
+    return out
+
+
+def phones(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """National phones, and those whose end follows from the country's lengths; none goes into what is taken."""
+    out = [(*m.span(), "phone", "".join(c for c in m[0] if c in DIGITS)) for m in NATIONAL.finditer(text)]
+    at_home = {f[0] for f in out}
+    starts = sorted(a for a, _ in taken)
+    for m in ABROAD.finditer(text):
+        if m.start() in at_home:
+            continue
+        k = bisect_left(starts, m.start())
+        stop = starts[k] if k < len(starts) else len(text)
+        ends, digits, at = [], "", m.end()
+        while (run := RUN.match(text, at, stop)) and len(digits) + len(run[1]) <= 15:
+            digits, at = digits + run[1], run.end()
+            ends.append((at, len(digits)))
+        code = next((digits[:n] for n in (3, 2, 1) if digits[:n] in ABROAD_LENGTH), "") if m[0] != "(" else ""
+        least, most = ABROAD_LENGTH.get(code, (7, 13) if code == "" else (6, 12))
+        ends = [(e, n) for e, n in ends if not (text[e : e + 1].isalnum() or text[e : e + 1] == "_")]
+        fit = [(e, n) for e, n in ends if least <= n - len(code) <= most] or [(e, n) for e, n in ends if n >= 7][:1]
+        if fit:
+            e, n = fit[-1]
+            out.append((m.start(), e, "phone", ("00" if m[0] == "00" else "") + digits[:n]))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of what stands in a text, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -177,28 +261,25 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         parts = m[0].split(".")
         if all(int(p) < 256 for p in parts):
             found.append((m.start(), m.end(), "ipv4", ".".join(str(int(p)) for p in parts)))
-    for m in NUMBER.finditer(text):
-        digits = "".join(c for c in m[0] if c in DIGITS)
-        compact = re.fullmatch(r"\d+|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?", m[0])
-        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m[0]):
-            kind = "ssn"
-        elif compact and 13 <= len(digits) <= 19:
-            kind = "account"
-        elif m[0][0] in "+(" or re.fullmatch(r"\d{3}[ .\-]\d{3}[ .\-]\d{4}", m[0]):
-            kind = "phone"
-        else:
-            continue
-        found.append((m.start(), m.end(), kind, digits))
+    found += [(*m.span(), "ssn", "".join(c for c in m[0] if c in DIGITS)) for m in SSN.finditer(text)] + cards(text) + ibans(text)
+    found += phones(text, [f[:2] for f in found])
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret", m[1]) for m in SECRET.finditer(text)]
     found += [(*m.span(), "secret", m[0]) for m in HEXRUN.finditer(text)]
+    names: set[str] = set()
     for m in PERSON.finditer(text):
         gender = TITLE_OF[m[1]]
         for k in (2, 3):
             if m[k] and m[k][0].isupper():
                 found.append((*m.span(k), "person", f"{gender if k == 2 and m[3] else ''}|{m[k].lower()}"))
+                names.add(m[k])
             else:
                 break
+    names = {n for n in names if len(n) > 1 and n not in TITLE_OF}
+    if names:
+        again = "|".join(map(re.escape, sorted(names | {n.upper() for n in names}, key=lambda n: (-len(n), n))))
+        titled = {f[:2] for f in found if f[2] == "person"}
+        found += [(*m.span(), "person", f"|{m[0].lower()}") for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text) if m.span() not in titled]
     found.sort(key=lambda f: (f[0], -f[1]))
     out, end = [], 0
     for f in found:
@@ -246,6 +327,15 @@ class Surrogates:
         body = self.permuter.string(f"account{gap}", value[:-1], [DIGITS] * (len(value) - 1))
         return body + str((luhn(body) + gap) % 10)
 
+    def _iban(self, value: str) -> str:
+        right = lambda body: 98 - int("".join(str(int(c, 36)) for c in f"{body}{value[:2]}00")) % 97
+        said, body = int(value[2:4]), value[4:]
+        if not 2 <= said <= 98:
+            return value[:4] + self.permuter.by_class(f"iban{value[:4]}", body)
+        gap = (said - right(body)) % 97
+        body = self.permuter.by_class(f"iban{value[:2]}{gap}", body)
+        return f"{value[:2]}{2 + (right(body) - 2 + gap) % 97:02d}{body}"
+
     def _ssn(self, value: str) -> str:
         return self.permuter.string("ssn", value, [DIGITS] * len(value))
 
@@ -270,6 +360,9 @@ class Surrogates:
             said, new = text[start:end], self.canonical(kind, value)
             if kind in ("phone", "account", "ssn"):
                 new = put_digits(new, said)
+            elif kind == "iban":
+                feed = iter(new.upper())
+                new = "".join(c if c == " " else next(feed) for c in said)
             elif kind == "email":
                 new = like_case(new, said)
             elif kind == "person":
