@@ -1,19 +1,21 @@
 """Licence scans by a trained paragraph classifier (operator 9).
 
-Paragraphs are lines. Their features are the words and word pairs that occur in any template. A multinomial
+Paragraphs are what stands between lines without words, so hard-wrapped notices and comments are whole; they are read
+in overlapping windows of 64 words. Their features are the words and word pairs that occur in any template. A multinomial
 logistic regression with an absolute penalty (few non-zero weights) is fitted on templates, whole, cut and
 amid other words, against a bounded sample of ``negative_docs`` documents' paragraphs without any licence word
 and some sentences that only sound alike. The class ``unknown`` stands for everything else. On a held-out part
 the scores are calibrated by a temperature, and the least accepted probability is set so that no held-out
 unknown paragraph passes. A prediction is confirmed if a template of the predicted family has at least
-``confirm_share`` of its word triples in the paragraph.
+``confirm_share`` of its word triples in the window; any other family, if that share also holds for the triples of
+the template that no other family has.
 
 Scoring is exact although sparse: a paragraph's score is the intercept plus the weights of its terms, so only
 terms with a weight and triples of templates are joined (the table is bounded by the templates) and summed per
 paragraph; paragraphs without such terms have the intercepts, which say unknown. No text is shuffled.
 
-Only DataFrame functions and the JVM's fitting are used. Odd input: null texts have no paragraphs, empty ones
-one; repeated rows are repeated; an empty table gives no rows; other columns are ignored.
+Only DataFrame functions and the JVM's fitting are used. Odd input: null and empty texts have no
+paragraphs; repeated rows are repeated; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ from lifecurve.llm.common import add_row
 NEGATIVE_DOCS = 300
 CONFIRM_SHARE = 0.6
 UNKNOWN = "unknown"
+#: Words of a window, and how far the next one begins: a template of up to ``STEP`` words lies whole in one of them.
+WINDOW, STEP = 64, 32
+#: What parts paragraphs: lines without letters or digits, be they blank or nothing but comment marks.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
+#: Comment marks that are words; others are no words anyway.
+WORD_MARK = r"(?im)^[ \t]*(?:rem|dnl)[ \t]+"
 WORD_GAP = r"[^\p{L}\p{N}]+"
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 #: Sentences of licence notices by family.
@@ -155,9 +163,14 @@ class Model:
         return literal_rows(spark, rows, "term string, w array<double>, triple int")
 
     def by_family(self, spark: SparkSession) -> DataFrame:
-        """(family, templates): the triples' numbers of each template."""
-        rows = literal_rows(spark, [(f, ts) for f, many in self.templates.items() for ts in many], "family string, ts array<int>")
-        return rows.groupBy("family").agg(F.collect_list("ts").alias("templates"))
+        """(family, c, templates): the place of the family, and of each template the triples' numbers and those no other family has."""
+        of: dict[int, set[str]] = {}
+        for f, many in self.templates.items():
+            for t in chain(*many):
+                of.setdefault(t, set()).add(f)
+        parts = [(f, self.classes.index(f), ts, [t for t in ts if len(of[t]) == 1]) for f, many in self.templates.items() for ts in many]
+        rows = literal_rows(spark, parts, "family string, c int, ts array<int>, own array<int>")
+        return rows.groupBy("family", "c").agg(F.collect_list(F.struct("ts", "own")).alias("templates"))
 
 
 def _training(docs: DataFrame, negative_docs: int, id_col: str, text_col: str) -> DataFrame:
@@ -226,47 +239,64 @@ def share(score: Column, temperature: Column) -> Column:
     return F.exp((score - top) / temperature) / whole
 
 
+def paragraphs(text: Column) -> Column:
+    """The parts of a text between blank lines, those with words."""
+    return F.filter(F.split(F.regexp_replace(text, WORD_MARK, ""), BLANK), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+
+
 def scan_paragraphs(docs: DataFrame, model: Model, *, confirm_share: float = CONFIRM_SHARE, text_col: str = "text") -> DataFrame:
-    """(_row, paragraph, family, probability, template_share, confirmed) of the paragraphs predicted as a licence."""
+    """(_row, paragraph, family, probability, template_share, confirmed) of the paragraphs predicted or confirmed as a licence.
+
+    A paragraph is read in overlapping windows of words and has a row for each of its families. A family is confirmed
+    where enough of a template's triples lie in one window, if it is the predicted one or enough of the triples that
+    no other family has are among them.
+    """
     spark, k = docs.sparkSession, len(model.classes)
     rows = add_row(docs.select(F.col(text_col).alias("text")))
-    lines = rows.select("_row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    said = lines.select("_row", "paragraph", F.split(F.lower("line"), WORD_GAP).alias("said"))
+    parts = rows.select("_row", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "part"))
+    said = parts.select("_row", "paragraph", words(F.col("part")).alias("said"))
     each = said.select("_row", "paragraph", "said", F.posexplode("said").alias("i", "w1"))
     table = model.table(spark)
     each = each.join(F.broadcast(table.select(F.split("term", " ")[0].alias("w1")).distinct()), "w1", "left_semi")
     two = F.concat_ws(" ", "w1", F.get("said", F.col("i") + 1))
     grams = F.array("w1", two, F.concat_ws(" ", two, F.get("said", F.col("i") + 2)))
-    spread = each.select("_row", "paragraph", F.explode(grams).alias("term"))
-    hits = spread.join(F.broadcast(table), "term").groupBy("_row", "paragraph", "term", "triple").agg(F.first("w").alias("w"))
+    spread = each.select("_row", "paragraph", F.floor(F.col("i") / STEP).cast("int").alias("at"), F.explode(grams).alias("term"))
+    found = spread.join(F.broadcast(table), "term").groupBy("_row", "paragraph", "at", "term", "triple").agg(F.first("w").alias("w"))
+    before = F.explode(F.when(F.col("at") > 0, F.array(F.col("at"), F.col("at") - 1)).otherwise(F.array("at"))).alias("window")
+    hits = found.select("_row", "paragraph", before, "term", "triple", "w").groupBy("_row", "paragraph", "window", "term", "triple").agg(F.first("w").alias("w"))
     seen = F.collect_set(F.when(F.col("triple") >= 0, F.col("triple"))).alias("triples")
-    scores = hits.groupBy("_row", "paragraph").agg(*[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(k)], seen)
+    scores = hits.groupBy("_row", "paragraph", "window").agg(*[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(k)], seen)
     whole = scores.select("_row", "paragraph", "triples", F.array(*[F.lit(model.intercepts[c]) + F.col(f"s{c}") for c in range(k)]).alias("s"))
-    best = F.array_max(F.slice("s", 1, k - 1))
-    best = whole.select("_row", "paragraph", "triples", share(best, F.lit(model.temperature)).alias("probability"), F.array_position("s", best).cast("int").alias("c"))
-    named = best.where(F.col("probability") >= model.accepted).withColumn("family", F.element_at(F.array(*map(F.lit, model.classes)), F.col("c"))).drop("c")
-    back = named.join(F.broadcast(model.by_family(spark)), "family")
-    agreed = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("triples"))) / F.size(t)))
-    return back.select("_row", "paragraph", "family", "probability", agreed.alias("template_share"), (agreed >= confirm_share).alias("confirmed"))
+    best, heat = F.array_max(F.slice("s", 1, k - 1)), F.lit(model.temperature)
+    scored = whole.select("_row", "paragraph", "triples", "s", share(best, heat).alias("top"), (F.array_position("s", best) - 1).cast("int").alias("first"))
+    back = scored.where((F.col("top") >= model.accepted) | (F.size("triples") > 0)).join(F.broadcast(model.by_family(spark)))
+    agree = lambda ts: F.size(F.array_intersect(ts, F.col("triples"))) / F.greatest(F.size(ts), F.lit(1))
+    predicted = (F.col("c") == F.col("first")) & (F.col("top") >= model.accepted)
+    own = F.exists("templates", lambda t: (agree(t["ts"]) >= confirm_share) & (agree(t["own"]) >= confirm_share))
+    agreed = F.array_max(F.transform("templates", lambda t: agree(t["ts"])))
+    judged = back.select("_row", "paragraph", "family", predicted.alias("predicted"), share(F.get("s", F.col("c")), heat).alias("probability"), agreed.alias("template_share"), own.alias("own"))
+    judged = judged.withColumn("confirmed", F.col("own") | (F.col("predicted") & (F.col("template_share") >= confirm_share))).where("predicted or confirmed")
+    most = [F.max(c).alias(c) for c in ("probability", "template_share", "confirmed")]
+    return judged.groupBy("_row", "paragraph", "family").agg(*most)
 
 
 def scan(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, families, n_found, n_confirmed, n_unknown, top_probability.
 
-    families: the confirmed ones in alphabetical order; n_found: paragraphs predicted as a licence;
-    n_unknown: predicted ones that no template confirms.
+    families: the confirmed ones in alphabetical order; n_found: paragraphs predicted or confirmed as a licence;
+    n_unknown: those that no template confirms.
     """
     model = model or fit(docs, id_col=id_col, text_col=text_col)
     found = scan_paragraphs(docs, model, text_col=text_col, **options)
-    per_row = found.groupBy("_row").agg(
-        F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
+    each = found.groupBy("_row", "paragraph").agg(F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("families"), F.max("confirmed").alias("confirmed"), F.max("probability").alias("probability"))
+    per_row = each.groupBy("_row").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
         F.count(F.lit(1)).alias("n_found"),
         F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"),
         F.max("probability").alias("top_probability"),
     )
-    text = F.col(text_col)
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    rows = add_row(docs).select("_row", F.col(id_col).cast("long").alias("doc_id"), F.coalesce(lines, F.lit(0)).cast("long").alias("n_paragraphs"))
+    count = F.coalesce(F.size(paragraphs(F.col(text_col))), F.lit(0))
+    rows = add_row(docs).select("_row", F.col(id_col).cast("long").alias("doc_id"), F.greatest(count, F.lit(0)).cast("long").alias("n_paragraphs"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return rows.join(per_row, "_row", "left").select(
         "doc_id", "n_paragraphs", F.coalesce("families", F.array().cast("array<string>")).alias("families"), none("n_found").alias("n_found"),
