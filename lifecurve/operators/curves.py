@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lifecurve.functions.roles import FIT_CYCLES, FIT_FIELDS
 from lifecurve.functions.scalars import finite, safe_log_abs, safe_ratio, signed_shift
 from lifecurve.operators.ordered import Ordered, arrange, join_on, join_same, largest_group, spread_before_copies
+from lifecurve.session import materialize
 
 # Fixed values.
 GRID_STEP = 0.005
@@ -19,7 +20,7 @@ FINE_STEP = 0.001
 PEAK_PROMINENCE = 0.05
 PEAK_DISTANCE = 20
 MIN_CURVE_POINTS = 10
-MAX_TURNS = 5_000_000
+MAX_TURNS = 1_000_000
 MIN_CHARGE = 1e-12
 SMOOTH_WINDOW = 51
 SMOOTH_ORDER = 3
@@ -286,6 +287,69 @@ def _bases(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spaced(peaks: DataFrame, keys: Sequence[str], distance: int) -> DataFrame:
+    """Higher peaks first, each kept if none kept before is nearer than ``distance``; of equal ones the later first.
+
+    A peak that leads all open ones near it is kept whatever happens elsewhere, and closes those near it. This is
+    repeated on what is still open. Peaks are two samples apart at least, so ``distance`` neighbours reach far enough.
+    """
+    open_, kept = peaks, None
+    while not open_.isEmpty():
+        o = arrange(open_, keys, ["_run"])
+        size = max(distance, 1)
+        point = F.struct("_mid", "_s", "_run")
+        o = o.frames(size, size, _near=lambda w: F.collect_list(point).over(w.rowsBetween(-size, size)))
+        near = F.filter("_near", lambda p: F.abs(p["_mid"] - F.col("_mid")) < distance)
+        first = F.array_max(F.transform(near, lambda p: F.struct(p["_s"], p["_run"])))
+        o = o.add(_lead=first == F.struct("_s", "_run")).frames(size, size, _led=lambda w: F.collect_list(F.when(F.col("_lead"), F.col("_mid"))).over(w.rowsBetween(-size, size)))
+        found = materialize(o.rows().withColumn("_shut", F.exists("_led", lambda m: F.abs(m - F.col("_mid")) < distance)).drop("_near", "_led"))
+        won = found.where("_lead").select(*peaks.columns)
+        kept = won if kept is None else kept.unionByName(won)
+        open_ = found.where("not _lead and not _shut").select(*peaks.columns)
+    return peaks.limit(0) if kept is None else kept
+
+
+def peaks_in_rounds(turns: DataFrame, keys: Sequence[str], prominence: float, distance: int) -> DataFrame:
+    """(keys, _pos, n_peaks) of curves with any number of turning points (keys, _run, _from, _to, _s).
+
+    A peak counts if the curve falls by the floor on both sides before it rises above the peak. Between
+    neighbouring peaks only the lowest value matters. A peak whose neighbour is higher behind a shallower dip is out; one
+    beside an equal neighbour behind such a dip shares its fate. Both leave the list, the dips around them become
+    one, and the rest is asked again: every peak that is still undecided has lost a neighbour, so the rounds are
+    about as many as the logarithm of the peaks.
+    """
+    s, mid = F.col("_s"), F.floor((F.col("_from") + F.col("_to")) / 2).cast("long")
+    o = arrange(turns, keys, ["_run"]).frames(1, 1, _l=lambda w: F.lag("_s").over(w), _r=lambda w: F.lead("_s").over(w)).attach(_top=F.max("_s"))
+    peaks = o.rows().where((s > F.col("_l")) & (s > F.col("_r")))
+    peaks = materialize(peaks.select(*keys, "_run", "_s", F.col("_l"), F.col("_r"), (F.col("_top") * prominence).alias("_floor"), mid.alias("_mid")))
+    kept = peaks if distance <= 1 else _spaced(peaks.select(*keys, "_run", "_s", "_mid"), keys, distance)
+    mark = kept.select(*keys, "_run", F.col("_mid").alias("_pos"))
+    now = join_same(peaks.drop("_mid"), mark, [*keys, "_run"], "left").withColumn("_n", F.col("_pos").isNotNull().cast("long"))
+    now, before = materialize(now), -1
+    while (left := now.count()) != before:
+        before = left
+        o = arrange(now, keys, ["_run"]).frames(1, 1, _ls=lambda w: F.lag("_s").over(w), _rs=lambda w: F.lead("_s").over(w))
+        flat_l, flat_r = s - F.col("_l") < F.col("_floor"), s - F.col("_r") < F.col("_floor")
+        above = lambda c: F.col(c).isNull() | (F.col(c) > s)
+        o = o.add(_out=(flat_l & above("_ls")) | (flat_r & above("_rs")))
+        o = o.frames(1, 0, _lo=lambda w: F.lag("_out").over(w))
+        o = o.add(_same=~F.col("_out") & flat_l & F.coalesce((F.col("_ls") == s) & ~F.col("_lo"), F.lit(False)))
+        o = o.add(_head=~F.col("_out") & ~F.col("_same")).running(_g=F.col("_head").cast("long"))
+        here = lambda c: F.when(~F.col("_out"), F.col(c))
+        of_head = lambda c: F.max(F.when(F.col("_head"), F.col(c))).alias(c)
+        groups = o.rows().groupBy(*keys, "_g").agg(
+            *[of_head(c) for c in ("_run", "_s", "_l", "_floor")], F.min("_r").alias("_r"), F.min(F.least("_l", "_r")).alias("_any"),
+            F.min(here("_pos")).alias("_pos"), F.sum(here("_n")).alias("_n"),
+        )
+        groups = groups.withColumn("_dip", F.when(F.col("_g") == 0, F.col("_any")).otherwise(F.col("_r")))
+        o = arrange(groups, keys, ["_g"]).frames(1, 0, _b=lambda w: F.lag("_dip").over(w))
+        o = o.add(_l=F.when(F.col("_g") == 1, F.least("_l", "_b")).otherwise(F.col("_b"))).where(F.col("_g") > 0)
+        now = materialize(o.rows().select(*now.columns))
+    best = F.min_by("_pos", F.struct(-s, F.col("_pos")))
+    found = now.where("_n > 0").groupBy(*keys).agg(best.alias("_pos"), F.sum("_n").alias("n_peaks"))
+    return found.select(*keys, "_pos", "n_peaks")
+
+
 def dominant_peak(
     curve: DataFrame, keys: Sequence[str], x: str, y: str,
     *, prominence: float = PEAK_PROMINENCE, distance: int = PEAK_DISTANCE,
@@ -296,7 +360,8 @@ def dominant_peak(
     Peaks are local maxima at least ``distance`` samples apart (higher ones first) whose prominence
     reaches the given share of the maximum. Spark orders the samples and joins equal neighbours into
     runs; a small helper then walks the turning points of one curve, about 40 bytes each. A curve lives on
-    a grid, so they are few; one with more than ``max_turns`` is refused, whatever the size of the table.
+    a grid, so they are few; those with more than ``max_turns`` go through rounds of joins of neighbours
+    instead (``peaks_in_rounds``), which hold no curve in one task and find the same peaks.
     """
     rows = curve.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rows = rows.withColumn("_s", F.abs("_y"))
@@ -317,8 +382,12 @@ def dominant_peak(
     turns = turning.where(a.isNull() | b.isNull() | ((s > a) & (s > b)) | ((s < a) & (s < b))).rows()
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     turns = join_same(turns.drop("_a", "_b"), totals.where(F.col("_n") >= min_points), keys)
+    long = None
     if (bound is None or bound > max_turns) and largest_group(turns, keys)[0] > max_turns:
-        raise ValueError("a curve has more turning points than one task may hold; resample it first")
+        turns = materialize(turns)
+        many = turns.groupBy(*keys).agg(F.count(F.lit(1)).alias("_turns")).where(F.col("_turns") > max_turns).drop("_turns")
+        long = peaks_in_rounds(join_same(turns, many, keys, "left_semi"), keys, prominence, distance)
+        turns = join_same(turns, many, keys, "left_anti")
     kinds = dict(turns.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_pos long, n_peaks long"])
 
@@ -333,6 +402,8 @@ def dominant_peak(
         return out
 
     picked = turns.groupBy(*keys).applyInPandas(walk, schema)
+    if long is not None:
+        picked = picked.unionByName(long)
     return join_on(o.rows(), picked, [*keys, "_pos"]).select(
         *keys, F.col("_x").alias("peak_x"), F.col("_y").alias("peak_y"), "n_peaks"
     )

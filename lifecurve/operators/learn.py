@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from lifecurve.functions.scalars import clip, transform_target
 from lifecurve.operators.ordered import arrange, join_same, spread_before_copies, with_single
-from lifecurve.operators.ranks import roc_auc
+from lifecurve.operators.ranks import exact_quantiles, roc_auc
+from lifecurve.session import materialize
 
 FEATURES_COL = "features"
 
@@ -61,6 +65,34 @@ def fill_constant(df: DataFrame, columns: Sequence[str], value: float = 0.0) ->
     return df.fillna(value, subset=list(columns))
 
 
+def fill_values(train: DataFrame, columns: Sequence[str], strategy: str, *, bound: int | None = None) -> DataFrame:
+    """(feature, fill) of every column, from the training rows alone; null where a column has no value.
+
+    The columns become rows of (feature, value), so the exact medians of all of them come from one pass with one bracket
+    per feature, and modes from one count per distinct value (the smallest of the most frequent ones).
+    """
+    if strategy == "constant":
+        one = train.agg(F.lit(0.0).alias("fill"))
+        return one.select(F.explode(F.array(*map(F.lit, columns))).alias("feature"), "fill")
+    long = train.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
+    if strategy == "median":
+        return exact_quantiles(long, ["feature"], "value", {"fill": 0.5}, bound=bound)
+    known = long.where(F.col("value").isNotNull())
+    if strategy == "mean":
+        return known.groupBy("feature").agg(F.avg("value").alias("fill"))
+    if strategy == "mode":
+        counts = known.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("feature").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("fill"))
+    raise ValueError(f"unknown imputation {strategy!r}")
+
+
+def filled_with(df: DataFrame, fills: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing values (null or NaN) of each column replaced by its fill."""
+    wide = fills.agg(*[F.max(F.when(F.col("feature") == c, F.col("fill"))).alias(f"_fill_{c}") for c in columns])
+    whole = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.col(f"_fill_{c}")) for c in columns}
+    return with_single(df, wide).withColumns(whole).drop(*[f"_fill_{c}" for c in columns])
+
+
 # ---- estimators -----------------------------------------------------------------------------
 
 
@@ -253,27 +285,33 @@ def boxcox_lambda(df: DataFrame, keys: Sequence[str], y: str, *, low: float = -2
     return best
 
 
+def bijections(n: int, repeats: int, features: Sequence[str], seed: int = 42) -> list[tuple[int, str, int, int]]:
+    """(repeat, feature, a, b): i -> (a i + b) mod n is a permutation of 0..n-1, as a has no factor in common with n."""
+    out, top = [], min(n, (1 << 62) // max(n, 1))
+    for rep, feature in product(range(1, repeats + 1), features):
+        digest = hashlib.md5(f"{seed}/{rep}/{feature}".encode()).digest()
+        a = 1 + int.from_bytes(digest[:8], "big") % max(1, top - 1)
+        while math.gcd(a, n) > 1:
+            a = a % max(1, top - 1) + 1
+        out.append((rep, feature, a, int.from_bytes(digest[8:15], "big") % max(n, 1)))
+    return out
+
+
 def permutation_importance(df: DataFrame, model: PipelineModel, entity: str, label: str, features: Sequence[str], *, repeats: int = 30, seed: int = 42, bound: int | None = None) -> DataFrame:
     """Drop of AUC when one feature is permuted: mean and population std over repeats.
 
-    Per (repeat, feature) the k-th row in one random order takes the value of the k-th row in another,
-    over the whole table at every size. Only the entity and the value are copied and ordered; the other
-    columns are joined to the permuted values afterwards.
+    Rows are numbered once, in a random order (md5 of seed and entity). Per (repeat, feature) a keyed bijection of the
+    numbers says which row gets a row's value, so the permuted values come by an equi join on the number: the only
+    ordering is that of the rows, over the whole table at every size. Entities are unique.
     """
-    n = df.count() if bound is None else bound
+    wide = arrange(df.withColumn("_h", seeded_order(seed, entity)), [], ["_h", entity], bound=bound).position("_no").rows()
+    wide = materialize(wide.drop("_h").withColumn("_no", F.col("_no") - 1))
+    n = wide.count()
     pairs = F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(f).cast("double").alias("_value")) for f in features])
-    narrow = spread_before_copies(df.select(F.col(entity).alias("_e"), pairs.alias("_pairs")), "_e")
-    copies = narrow.select("_e", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_rep"), "_pairs")
-    copies = copies.select("_e", "_rep", F.inline("_pairs"))
-    keys = ["_rep", "_feature"]
-
-    def ordered(side, *columns):
-        mark = F.concat_ws("/", F.lit(f"{seed}{side}"), F.col("_rep"), F.col("_feature"))
-        rows = copies.withColumn("_h", F.md5(F.concat_ws("/", mark, F.col("_e").cast("string"))))
-        return arrange(rows, keys, ["_h", "_e"], bound=n).position("_k").rows().select(*keys, "_k", *columns)
-
-    permuted = ordered("y", F.col("_e").alias(entity)).join(ordered("x", "_value"), [*keys, "_k"]).drop("_k")
-    mixed = permuted.join(df, entity).withColumns(
+    narrow = spread_before_copies(wide.select("_no", pairs.alias("_pairs")), "_no").select("_no", F.inline("_pairs"))
+    maps = df.sparkSession.createDataFrame(bijections(n, repeats, features, seed), "_rep int, _feature string, _a long, _b long")
+    moved = narrow.join(maps, "_feature").select("_rep", "_feature", ((F.col("_a") * F.col("_no") + F.col("_b")) % max(n, 1)).alias("_no"), "_value")
+    mixed = moved.join(wide, "_no").withColumns(
         {f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f)) for f in features}
     )
     scored = positive_probability(model.transform(mixed))
@@ -287,6 +325,12 @@ def permutation_importance(df: DataFrame, model: PipelineModel, entity: str, lab
     )
 
 
+def importance_table(model: PipelineModel, features: Sequence[str], permuted: DataFrame) -> DataFrame:
+    """Importance from the fitted trees and from permutation side by side, one row per feature."""
+    native = permuted.sparkSession.createDataFrame(importances(model, features), "feature string, native double")
+    return native.join(permuted, "feature", "left")
+
+
 def stack_runs(metrics: DataFrame, fold: str = "fold", whole: int = -1) -> DataFrame:
     """Per-seed metrics of all runs stacked; only the whole-seed rows are kept."""
     return metrics.where(F.col(fold) == whole)

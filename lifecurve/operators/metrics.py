@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lifecurve.operators.ordered import join_same, with_single
 from lifecurve.operators.ranks import auc_from_counts, exact_quantiles, with_scopes
+from lifecurve.session import materialize
 
 
 def ratio_or_zero(num: Column, den: Column) -> Column:
@@ -78,21 +79,32 @@ def train_test_gap(metrics: DataFrame, keys: Sequence[str], split: str, names: S
 def regression_metrics(
     df: DataFrame, keys: Sequence[str], y: str, pred: str, cohort: str, *, bound: int | None = None
 ) -> DataFrame:
-    """n, MAE, RMSE, R2 and median absolute error; scope ``all`` and per cohort."""
+    """n, MAE, RMSE, R2 and median absolute error; scope ``all`` and per cohort.
+
+    Moments are taken once per cohort and merged for the whole; the errors are written once, narrow, so that the
+    passes of the medians do not run what comes before them again.
+    """
     rows = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).select(
-        *keys, F.col(cohort).alias("_cohort"), F.col(y).alias("_y"), (F.col(pred) - F.col(y)).alias("_e")
+        *keys, F.col(cohort).cast("string").alias("_cohort"), F.col(y).cast("double").alias("_y"), (F.col(pred) - F.col(y)).cast("double").alias("_e")
     )
-    scoped = with_scopes(rows, "_cohort").withColumn("_abs", F.abs("_e"))
+    rows = materialize(rows)
     at = [*keys, "scope"]
-    sse, sst = F.sum(F.col("_e") * F.col("_e")), F.var_pop("_y") * F.count(F.lit(1))
-    means = [
-        F.count(F.lit(1)).alias("n"),
-        F.avg("_abs").alias("mae"),
-        F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
-        (1 - F.try_divide(sse, sst)).alias("r2"),
-    ]
-    medae = exact_quantiles(scoped, at, "_abs", {"medae": 0.5}, bound=bound)
-    return join_same(scoped.groupBy(*at).agg(*means), medae, at)
+    n, e2 = F.col("_n"), F.col("_e") * F.col("_e")
+    moments = rows.groupBy(*keys, "_cohort").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.abs("_e")).alias("_abs"), F.sum(e2).alias("_sse"), F.avg("_y").alias("_mean"), F.var_pop("_y").alias("_var")
+    )
+    scoped = with_scopes(moments, "_cohort")
+    centre = scoped.groupBy(*at).agg((F.sum(n * F.col("_mean")) / F.sum("_n")).alias("_centre"))
+    gap = F.col("_mean") - F.col("_centre")
+    parts = join_same(scoped, centre, at).groupBy(*at).agg(
+        F.sum("_n").alias("n"),
+        (F.sum("_abs") / F.sum("_n")).alias("mae"),
+        F.sqrt(F.sum("_sse") / F.sum("_n")).alias("rmse"),
+        (1 - F.try_divide(F.sum("_sse"), F.sum(n * (F.col("_var") + gap * gap)))).alias("r2"),
+    )
+    errors = with_scopes(rows.select(*keys, "_cohort", F.abs("_e").alias("_abs")), "_cohort")
+    medae = exact_quantiles(errors, at, "_abs", {"medae": 0.5}, bound=bound)
+    return join_same(parts, medae, at)
 
 
 def mape(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
@@ -102,7 +114,8 @@ def mape(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
 
 
 def quartile_mae(df: DataFrame, keys: Sequence[str], y: str, pred: str, *, bound: int | None = None) -> DataFrame:
-    """MAE inside each quarter of the true value (cuts by linear interpolation)."""
+    """MAE inside each quarter of the true value (cuts by linear interpolation); the rows are written once, narrow."""
+    df = materialize(df.select(*keys, F.col(y), F.col(pred)))
     cuts = exact_quantiles(df, keys, y, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, bound=bound)
     at = join_same(df, cuts, keys) if keys else with_single(df, cuts)
     v, err = F.col(y), F.abs(F.col(pred) - F.col(y))

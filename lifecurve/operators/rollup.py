@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations, product
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -297,33 +299,35 @@ def improvement_pct(
 
 
 def paired_deltas(
-    df: DataFrame, seed: str, level: str, levels: Sequence, metrics: Sequence[str]
+    df: DataFrame, seed: str, level: str, metrics: Sequence[str], levels: Sequence | None = None
 ) -> DataFrame:
-    """Per-seed differences (larger level - smaller level), in points, for every pair of levels.
+    """Per-seed differences (larger level - smaller level), in points, for every pair of levels of the data.
 
-    ``levels`` is a short list of settings; the levels of a seed are pivoted into columns, so no rows
-    are joined with each other.
+    Levels are settings, so a seed has few; they are put in order and paired inside the seed's row, and no
+    rows are joined with each other. ``levels`` restricts them. A metric missing at a level gives no delta.
     """
-    pairs = list(combinations(sorted(levels), 2))
-    wide = df.groupBy(seed).agg(
-        *[
-            F.max(F.when(F.col(level) == n, F.col(m))).alias(f"{m}_{i}")
-            for i, n in enumerate(sorted(levels))
-            for m in metrics
+    if levels is not None:
+        df = df.where(F.col(level).isin(list(levels)))
+    one = df.where(F.col(level).isNotNull()).groupBy(seed, level).agg(*[F.max(m).alias(m) for m in metrics])
+    row = F.struct(F.col(level).alias("lvl"), *[F.col(m).cast("double").alias(f"m{k}") for k, m in enumerate(metrics)])
+    per = one.groupBy(seed).agg(F.sort_array(F.collect_list(row)).alias("_at"))
+
+    def cells(a, b):
+        each = [
+            F.struct(b["lvl"].alias("big"), a["lvl"].alias("small"), F.lit(m).alias("metric"), ((b[f"m{k}"] - a[f"m{k}"]) * 100.0).alias("delta"))
+            for k, m in enumerate(metrics)
         ]
-    )
-    at = {n: i for i, n in enumerate(sorted(levels))}
-    cells = [
-        F.struct(
-            F.lit(b).alias("big"),
-            F.lit(a).alias("small"),
-            F.lit(m).alias("metric"),
-            ((F.col(f"{m}_{at[b]}") - F.col(f"{m}_{at[a]}")) * 100.0).alias("delta"),
-        )
-        for a, b in pairs
-        for m in metrics
-    ]
-    return wide.select(seed, F.inline(F.array(*cells)))
+        return F.array(*each)
+
+    pairs = F.transform("_at", lambda b, i: F.flatten(F.transform(F.slice("_at", 1, i), lambda a: cells(a, b))))
+    found = per.select(seed, F.inline(F.flatten(pairs)))
+    # Pairs of levels that no seed has both of: one row without a delta each, so that the summary names them.
+    met = F.sort_array(F.collect_set(F.col(level)))
+    both = F.transform(met, lambda b, i: F.transform(F.slice(met, 1, i), lambda a: F.struct(b.alias("big"), a.alias("small"))))
+    every = df.where(F.col(level).isNotNull()).agg(F.flatten(both).alias("_pairs")).select(F.inline("_pairs"))
+    every = every.withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
+    none = every.select(F.lit(None).cast(dict(found.dtypes)[seed]).alias(seed), "big", "small", "metric", F.lit(None).cast("double").alias("delta"))
+    return found.unionByName(none)
 
 
 def paired_summary(deltas: DataFrame) -> DataFrame:
@@ -379,6 +383,50 @@ def student_p_value(t: Column, dof: Column, steps: int = 400) -> Column:
     return F.greatest(1.0 - 2.0 * c * body * h / 3.0, F.lit(0.0))
 
 
+#: Rows that one block of draws covers; blocks of a key share its draws by binomial cuts.
+BOOTSTRAP_BLOCK = 4096
+#: Multipliers of the draw hash, modulo the prime 2^31 - 1.
+_PRIME, _MIX = (1 << 31) - 1, (1_103_515_245, 1_664_525, 48_271)
+
+
+def draw_hash(mark: np.ndarray | int, replicate: np.ndarray | int, slot: np.ndarray | int) -> np.ndarray:
+    """A repeatable number below 2^31 - 1 for a draw; SQL can follow it."""
+    x = (np.asarray(replicate, np.int64) * _MIX[0] + mark) % _PRIME
+    x = ((x ^ (x >> 13)) * _MIX[1] + np.asarray(slot, np.int64)) % _PRIME
+    x = ((x ^ (x >> 17)) * _MIX[2] + 1) % _PRIME
+    return ((x ^ (x >> 11)) * _MIX[0]) % _PRIME
+
+
+def block_draws(mark: int, n: int, block: int, replicates: int, block_rows: int = BOOTSTRAP_BLOCK) -> np.ndarray:
+    """How many of a key's n draws fall into a block of rows, for every replicate.
+
+    The draws of a span of blocks are cut in two by binomial numbers, from the whole key down to the block;
+    each cut has a generator of its own (key and span), so every task finds the same numbers.
+    """
+    count = -(-n // block_rows)
+    low, high, draws = 0, count, np.full(replicates, n, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left, whole = (mid - low) * block_rows, min(high * block_rows, n) - low * block_rows
+        cut = np.random.Generator(np.random.Philox(key=[mark, (low << 32) | high])).binomial(draws, left / whole)
+        low, high, draws = (low, mid, cut) if block < mid else (mid, high, draws - cut)
+    return draws
+
+
+def block_sums(mark: int, n: int, block: int, values: np.ndarray, replicates: int, block_rows: int = BOOTSTRAP_BLOCK) -> np.ndarray:
+    """Sum of the values drawn from a block in every replicate."""
+    draws, out = block_draws(mark, n, block, replicates, block_rows), np.empty(replicates)
+    step = max(1, (1 << 20) // max(1, int(draws.max(initial=1))))
+    for at in range(0, replicates, step):
+        k = draws[at : at + step]
+        ends = np.cumsum(k)
+        slots = np.arange(ends[-1]) - np.repeat(ends - k, k)
+        reps = np.repeat(np.arange(at + 1, at + 1 + len(k)), k)
+        picked = values[draw_hash(mark + block, reps, slots + 1) % len(values)]
+        out[at : at + step] = np.bincount(reps - at - 1, picked, len(k))
+    return out
+
+
 def bootstrap_mean_ci(
     df: DataFrame,
     keys: Sequence[str],
@@ -388,24 +436,37 @@ def bootstrap_mean_ci(
     replicates: int = 10_000,
     alpha: float = 0.05,
     seed: int = 20260514,
+    block_rows: int = BOOTSTRAP_BLOCK,
     bound: int | None = None,
 ) -> DataFrame:
     """Percentile interval of the mean under resampling with replacement, plain and repeatable.
 
-    Draw (replicate, slot) takes the row numbered by the first 15 hex digits of an md5 hash, modulo n.
-    The draws are counted per (key, replicate, row) before the values are looked up by an equi join.
+    Rows are numbered per key and cut into blocks; every block draws for itself (``block_draws`` tells how many of the
+    key's n draws are its own, ``draw_hash`` which rows), so no draw is shuffled: a block gives one sum per replicate,
+    and blocks are added on the map side. A key with very many rows is as many blocks as it needs.
     """
-    o = arrange(df.where(F.col(value).isNotNull()).select(*keys, *order, value), keys, order, bound=bound)
-    rows = o.position("_i").attach(_n=F.count(F.lit(1))).rows()
-    draws = spread_before_copies(rows.select(*keys, "_i", "_n"), *keys, "_i").withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)), F.col("_rep"), F.col("_i"))
-    pick = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % F.col("_n") + 1
-    counted = draws.groupBy(*keys, "_rep", pick.alias("_i")).agg(F.count(F.lit(1)).alias("_times"))
-    means = (
-        join_same(counted, rows.select(*keys, "_i", value), [*keys, "_i"])
-        .groupBy(*keys, "_rep")
-        .agg((F.sum(F.col(value) * F.col("_times")) / F.sum("_times")).alias("_mean"))
-    )
+    o = arrange(df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("_v")), keys, order, bound=bound)
+    rows = o.position("_i").rows()
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    mark = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+    blocks = rows.groupBy(*keys, F.floor((F.col("_i") - 1) / block_rows).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_i", "_v")))["_v"].alias("_values"))
+    blocks = join_same(blocks, sizes, keys).withColumn("_mark", mark)
+    # A block is little to read and much to compute.
+    blocks = spread_before_copies(blocks, *keys, "_block")
+    kinds = dict(blocks.dtypes)
+
+    def draw(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                cell = lambda c: one.column(c)[0].as_py()
+                sums = block_sums(cell("_mark"), cell("_n"), cell("_block"), np.array(cell("_values")), replicates, block_rows)
+                cells = [pa.array([cell(c)] * replicates, one.schema.field(c).type) for c in [*keys, "_n"]]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(np.arange(1, replicates + 1)), pa.array(sums)], names=[*keys, "_n", "_rep", "_sum"])
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_n long, _rep long, _sum double"])
+    means = blocks.mapInArrow(draw, schema).groupBy(*keys, "_rep").agg((F.sum("_sum") / F.max("_n")).alias("_mean"))
     return exact_quantiles(means, keys, "_mean", {"ci_lo": alpha / 2, "ci_hi": 1 - alpha / 2}, bound=replicates)
 
 

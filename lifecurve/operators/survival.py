@@ -68,6 +68,18 @@ def median_survival(curve: DataFrame, keys: Sequence[str], cap: float) -> DataFr
     return curve.groupBy(*keys).agg(F.coalesce(below.cast("double"), F.lit(float(cap))).alias("median_time"))
 
 
+def time_ranks(df: DataFrame, keys: Sequence[str], time: str, event: str, *, bound: int | None = None) -> DataFrame:
+    """``_rank`` of the time per key (event before censored at equal time) and ``_top``, the last one; null without a time.
+
+    Rows that are scored in many ways (blends) are ranked once, before they are copied.
+    """
+    cens = F.when(_is(event), 0).otherwise(1)
+    rows = df.withColumns({"_t": F.col(time), "_cens": cens})
+    times = rows.where(F.col(time).isNotNull()).select(*keys, "_t", "_cens").distinct()
+    ranks = arrange(times, keys, ["_t", "_cens"], bound=bound).position("_rank").attach(_top=F.max("_rank"))
+    return join_same(rows, ranks.rows(), [*keys, "_t", "_cens"], "left").drop("_t", "_cens")
+
+
 def concordance(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,6 +88,7 @@ def concordance(
     risk: str,
     *,
     min_events: int = 2,
+    ranked: bool = False,
     bound: int | None = None,
 ) -> DataFrame:
     """Harrell's concordance per key, without forming pairs.
@@ -86,23 +99,18 @@ def concordance(
     Times are ranked (event before censored at equal time). Two ranks differ first in one binary
     digit, so each comparable pair meets in exactly one (digit, prefix) node, the earlier row on the
     zero side. Per node one running sum over risk counts the pairs: n log n rows, no pair list, and
-    the running sum splits big nodes over chunks.
+    the running sum splits big nodes over chunks. ``ranked``: the rows come from ``time_ranks`` by some of the keys.
     """
-    rows = df.where(F.col(time).isNotNull() & F.col(risk).isNotNull()).groupBy(
-        *keys,
-        F.col(time).alias("_t"),
-        F.when(_is(event), 0).otherwise(1).alias("_cens"),
-        F.col(risk).cast("double").alias("_r"),
+    rows = df if ranked else time_ranks(df, keys, time, event, bound=bound)
+    rows = rows.where(F.col("_rank").isNotNull() & F.col(risk).isNotNull()).groupBy(
+        *keys, "_rank", "_top", F.when(_is(event), 0).otherwise(1).alias("_cens"), F.col(risk).cast("double").alias("_r")
     ).agg(F.count(F.lit(1)).alias("_n"))
-    times = rows.select(*keys, "_t", "_cens").distinct()
-    ranks = arrange(times, keys, ["_t", "_cens"], bound=bound).position("_rank").attach(_top=F.max("_rank"))
-    ranked = join_same(rows, ranks.rows(), [*keys, "_t", "_cens"])
-    ranked = spread_before_copies(ranked, *keys, "_rank", "_r")
+    rows = spread_before_copies(rows, *keys, "_rank", "_r")
     # Number of binary digits of the largest zero-based rank.
     digits = F.length(F.bin(F.col("_top") - 1))
     zero_based = F.col("_rank") - 1
     nodes = (
-        ranked.withColumn("_level", F.explode(F.sequence(F.lit(0), digits - 1)))
+        rows.withColumn("_level", F.explode(F.sequence(F.lit(0), digits - 1)))
         .withColumn("_bits", F.call_function("shiftright", zero_based, F.col("_level")))
         .withColumn("_node", F.call_function("shiftright", F.col("_bits"), F.lit(1)))
         .withColumn("_late", F.col("_bits").bitwiseAND(F.lit(1)) == 1)

@@ -202,7 +202,7 @@ dec AS (SELECT d.user_id, d.exclude_from_ml, d.last_available_cycle, CASE d.even
    CASE WHEN p.first_regime_n > 13 THEN NULL WHEN p.first_regime_n > 11 THEN f.n_full ELSE d.last_available_cycle END AS recorded
    FROM decisions d JOIN cells p USING (user_id) JOIN facts f USING (user_id)),
 cur AS (SELECT user_id, n_full FROM facts WHERE base > 2),
-stale AS (SELECT d.user_id, 'stale_decision(was:' || coalesce(CAST(recorded AS VARCHAR), 'legacy') || ',now:' || coalesce(CAST(n_full AS VARCHAR), 'missing') || ')' AS stale_reason
+stale AS (SELECT d.user_id, 'decided at ' || coalesce(CAST(recorded AS VARCHAR), 'unrecorded') || ' cycles, now ' || coalesce(CAST(n_full AS VARCHAR), 'none') AS stale_reason
    FROM dec d LEFT JOIN cur USING (user_id) WHERE recorded IS NULL OR n_full IS NULL OR recorded <> n_full),
 tail AS (SELECT o.user_id, count(*) AS n_tail, string_agg(CAST(o.cycle AS VARCHAR), ',' ORDER BY o.cycle) AS tail_cycles
    FROM outl o JOIN cur c ON o.user_id = c.user_id AND o.cycle BETWEEN c.n_full - 4 AND c.n_full GROUP BY 1),
@@ -236,10 +236,10 @@ def review_inputs(t):
 
 @query(
     "decision_rule_errors",
-    "WITH " + REVIEW + """SELECT user_id, concat_ws('; ', CASE WHEN exclude_from_ml IS NULL THEN 'exclude_from_ml must be bool' END,
-      CASE WHEN event_type NOT IN ('censor', 'event') THEN 'event_type must be ''censor'', ''event'', or null' END, CASE WHEN reason IS NULL THEN 'missing reason' END,
-      CASE WHEN validated_at IS NULL THEN 'missing validated_at' END, CASE WHEN NOT exclude_from_ml AND event_type IS NULL THEN 'event_type cannot be null when exclude_from_ml=false' END,
-      CASE WHEN NOT exclude_from_ml AND event_type = 'event' AND last_available_cycle IS NULL THEN 'last_available_cycle cannot be null when event_type=''event''' END) AS errors FROM dec""",
+    "WITH " + REVIEW + """SELECT user_id, concat_ws('; ', CASE WHEN exclude_from_ml IS NULL THEN 'exclude_from_ml: true or false expected' END,
+      CASE WHEN event_type NOT IN ('censor', 'event') THEN 'event_type: one of censor, event or null expected' END, CASE WHEN reason IS NULL THEN 'reason: text expected' END,
+      CASE WHEN validated_at IS NULL THEN 'validated_at: text expected' END, CASE WHEN NOT exclude_from_ml AND event_type IS NULL THEN 'a kept entity needs an event_type' END,
+      CASE WHEN NOT exclude_from_ml AND event_type = 'event' AND last_available_cycle IS NULL THEN 'an event needs a last_available_cycle' END) AS errors FROM dec""",
 )
 def decision_rule_errors(t):
     dec, _, _ = review_inputs(t)

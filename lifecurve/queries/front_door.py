@@ -9,7 +9,7 @@ from lifecurve.operators import learn, rollup
 from lifecurve.plans import build
 from lifecurve.queries.common import HORIZONS, cycles
 from lifecurve.queries.label_stack import LABEL_HORIZONS, LABELS, inputs_of
-from lifecurve.queries.learning import vectors
+from lifecurve.queries.learning import COLUMNS, vectors
 from lifecurve.queries.registry import query
 from lifecurve.session import new_path
 from lifecurve.sources import readers, writers
@@ -169,16 +169,15 @@ def matrix_with_labels(t):
 @query("stored_ensemble", "SELECT vec_id, 2 AS n_seeds, true AS in_range, true AS as_before FROM embeddings")
 def stored_ensemble(t):
     """Stored models score all rows as they did before they were stored, whatever the order of columns."""
-    df = vectors(t)
-    train = df.where("vec_id % 2 = 0")
+    df = vectors(t).drop("features")
     before, after = {}, {}
     for seed in (1, 2):
-        before[seed] = learn.model_pipeline(["f0", "f1", "f2", "f3"], learn.forest_classifier("y", trees=10, seed=seed)).fit(train.drop("features"))
+        before[seed] = learn.model_pipeline(COLUMNS, learn.forest_classifier("y", seed=seed)).fit(df)
         path = new_path(t.spark, "model")
         before[seed].write().overwrite().save(path)
         after[seed] = PipelineModel.load(path)
-    turned = df.select("f3", "f2", "vec_id", "f1", "f0")
-    scores = [learn.ensemble_scores(m, turned, "vec_id", ["f0", "f1", "f2", "f3"]) for m in (before, after)]
+    turned = df.select(*reversed(COLUMNS), "vec_id")
+    scores = [learn.ensemble_scores(m, turned, "vec_id", COLUMNS) for m in (before, after)]
     old, new = (rollup.ensemble(s, "vec_id", "proba").select("vec_id", "proba_mean", "n_seeds") for s in scores)
     return new.join(old.select("vec_id", F.col("proba_mean").alias("was")), "vec_id").select(
         "vec_id", F.col("n_seeds").cast("int").alias("n_seeds"), F.col("proba_mean").between(0.0, 1.0).alias("in_range"), (F.abs(F.col("was") - F.col("proba_mean")) < 1e-12).alias("as_before")

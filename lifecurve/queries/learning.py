@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lifecurve.operators import learn, metrics, rollup, survival
+from lifecurve.operators import learn, metrics, rollup, search, survival
 from lifecurve.operators.ordered import with_single
 from lifecurve.operators.ranks import roc_auc
 from lifecurve.queries.common import CYC, cycles, r6
@@ -63,17 +63,50 @@ def filled_constant(t):
     return learn.fill_constant(with_gaps(vectors(t)), COLUMNS).select("vec_id", *COLUMNS)
 
 
+FILLS = ("median", "mean", "mode", "constant")
+
+
+@query(
+    "imputed_columns",
+    """WITH g AS (SELECT vec_id, row_number() OVER (PARTITION BY label >= 5 ORDER BY md5('42/' || vec_id), vec_id) <= ceil(count(*) OVER (PARTITION BY label >= 5) * 0.2::DOUBLE) AS held,
+      list_transform(embedding, lambda x: CASE WHEN abs(x::DOUBLE) > 0.02 THEN x::DOUBLE END) AS v FROM embeddings),
+    l AS (SELECT held, 'f' || (i - 1) AS feature, v[i] AS value FROM g, (SELECT unnest(range(1, 65)) AS i)),
+    c AS (SELECT feature, value, count(*) AS n FROM l WHERE NOT held AND value IS NOT NULL GROUP BY 1, 2),
+    m AS (SELECT feature, value FROM c QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) = 1),
+    t AS (SELECT feature, quantile_cont(value, 0.5) AS median, avg(value) AS mean FROM l WHERE NOT held GROUP BY 1),
+    f AS (SELECT 'median' AS strategy, feature, median AS fill FROM t UNION ALL SELECT 'mean', feature, mean FROM t UNION ALL SELECT 'mode', feature, value FROM m UNION ALL SELECT 'constant', feature, 0.0 FROM t)
+    SELECT strategy, feature, round(fill, 9) AS fill, count(*) FILTER (WHERE NOT held AND value IS NULL) AS n_train, count(*) FILTER (WHERE held AND value IS NULL) AS n_held,
+      round(sum(coalesce(value, fill)) FILTER (WHERE held), 6) AS held_sum FROM f JOIN l USING (feature) GROUP BY 1, 2, fill""",
+)
+def imputed_columns(t):
+    """Fills of every strategy from the train part alone, and what they do to the part held out."""
+    bound = t.rows("embeddings")
+    df = learn.stratified_holdout(with_gaps(vectors(t)).drop("features"), "y", "vec_id", bound=bound)
+    df = df.withColumn("held", F.col("split") == "test").select("vec_id", "held", *COLUMNS)
+    out = None
+    for strategy in FILLS:
+        fills = learn.fill_values(df.where("not held"), COLUMNS, strategy, bound=bound)
+        long = df.unpivot(["vec_id", "held"], COLUMNS, "feature", "value")
+        whole = learn.filled_with(df, fills, COLUMNS).unpivot(["vec_id", "held"], COLUMNS, "feature", "whole")
+        gaps = long.groupBy("feature").agg(F.count_if(~F.col("held") & F.col("value").isNull()).alias("n_train"), F.count_if(F.col("held") & F.col("value").isNull()).alias("n_held"))
+        sums = whole.where("held").groupBy("feature").agg(F.round(F.sum("whole"), 6).alias("held_sum"))
+        part = fills.join(gaps, "feature").join(sums, "feature")
+        part = part.select(F.lit(strategy).alias("strategy"), "feature", F.round("fill", 9).alias("fill"), "n_train", "n_held", "held_sum")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("rf_scores")
 def rf_scores(t):
     df = learn.balanced_weights(vectors(t), "y")
-    model = learn.forest_classifier("y", trees=20, weight="weight").fit(df)
+    model = learn.forest_classifier("y", weight="weight").fit(df)
     return learn.positive_probability(model.transform(df)).select("vec_id", "y", F.round("proba", 6).alias("proba"))
 
 
 @query("gbt_scores")
 def gbt_scores(t):
     df = with_gaps(vectors(t)).drop("features")
-    model = learn.model_pipeline(COLUMNS, learn.boosted_classifier("y", rounds=5)).fit(df)
+    model = learn.model_pipeline(COLUMNS, learn.boosted_classifier("y")).fit(df)
     return learn.positive_probability(model.transform(df)).select("vec_id", "y", F.round("proba", 6).alias("proba"))
 
 
@@ -100,18 +133,24 @@ def aft_median(t):
 @query("gbt_life")
 def gbt_life(t):
     df = life_rows(t).where("event = 1")
-    model = learn.model_pipeline(["mean_k", "log_top", "log_mean"], learn.boosted_regressor("time", rounds=5), None).fit(df)
+    model = learn.model_pipeline(["mean_k", "log_top", "log_mean"], learn.boosted_regressor("time"), None).fit(df)
     return model.transform(df).select("user_id", "time", F.round("prediction", 4).alias("predicted"))
 
 
-def forest_fit(seed):
-    return lambda train: learn.forest_classifier("y", trees=10, depth=4, seed=seed).fit(train)
+SEEDS = (1, 2)
 
 
 def nested(t):
-    return learn.nested_scores(
-        vectors(t), "y", "vec_id", forest_fit, ["y"], seeds=(1, 2), folds=3, bound=t.rows("embeddings")
-    )
+    """5 x 5 folds over the whole grid for every seed; the embedding is the array of features."""
+    df = t.embeddings.select("vec_id", (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+    return search.nested_search(df, "vec_id", "y", "embedding", seeds=SEEDS, bound=t.rows("embeddings"))
+
+
+@query("nested_search")
+def nested_search(t):
+    """The parameters that the inner folds choose on every outer-train slice."""
+    chosen = nested(t).chosen
+    return chosen.select(F.col("seed").cast("int").alias("seed"), "outer_fold", "rate", "penalty", r6(F.col("inner_score"), "inner_score"))
 
 
 @query(
@@ -119,12 +158,12 @@ def nested(t):
     "SELECT s AS seed, count(*) AS n_rows, count(*) AS n_entities, true AS once FROM embeddings, (VALUES (1), (2)) v(s) GROUP BY 1",
 )
 def nested_coverage(t):
-    return learn.coverage(nested(t), "seed", "vec_id")
+    return learn.coverage(nested(t).scores.withColumn("seed", F.col("seed").cast("int")), "seed", "vec_id")
 
 
 @query("oof_scores")
 def oof_scores(t):
-    wide = rollup.ensemble(nested(t), "vec_id", "proba").select("vec_id", F.round("proba_mean", 6).alias("proba_mean"), "n_seeds")
+    wide = rollup.ensemble(nested(t).scores, "vec_id", "proba").select("vec_id", F.round("proba_mean", 6).alias("proba_mean"), "n_seeds")
     return learn.on_spine(t.embeddings.select("vec_id"), wide, "vec_id", ["proba_mean", "n_seeds"])
 
 
@@ -162,10 +201,10 @@ def fitted_score_checks(t):
 
 @query("param_search")
 def param_search(t):
-    folded = learn.stratified_folds(vectors(t), "y", "vec_id", folds=3, bound=t.rows("embeddings"))
-    est = learn.forest_classifier("y", trees=8)
+    folded = learn.stratified_folds(vectors(t), "y", "vec_id", folds=5, bound=t.rows("embeddings"))
+    est = learn.forest_classifier("y")
     space = {est.maxDepth: [2, 4, 6], est.minInstancesPerNode: [1, 5]}
-    found = learn.search(folded, est, space, fold="fold", folds=3, draws=3, label="y")
+    found = learn.search(folded, est, space, fold="fold", folds=5, draws=6, label="y", parallelism=8)
     scored = learn.positive_probability(found.bestModel.transform(vectors(t)))
     return scored.select("vec_id", F.round("proba", 6).alias("proba"))
 
@@ -173,9 +212,10 @@ def param_search(t):
 @query("perm_importance")
 def perm_importance(t):
     df = vectors(t).drop("features")
-    model = learn.model_pipeline(COLUMNS, learn.forest_classifier("y", trees=10), None).fit(df)
-    out = learn.permutation_importance(df, model, "vec_id", "y", COLUMNS, bound=t.rows("embeddings"))
-    return out.select("feature", r6(F.col("importance_mean"), "importance_mean"), r6(F.col("importance_std"), "importance_std"))
+    model = learn.model_pipeline(COLUMNS, learn.forest_classifier("y"), None).fit(df)
+    permuted = learn.permutation_importance(df, model, "vec_id", "y", COLUMNS, bound=t.rows("embeddings"))
+    out = learn.importance_table(model, COLUMNS, permuted)
+    return out.select("feature", *[r6(F.col(c), c) for c in ("native", "importance_mean", "importance_std")])
 
 
 @query(

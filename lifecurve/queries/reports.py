@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lifecurve.functions import roles
 from lifecurve.operators.detectors import JumpRule, OutlierRule
-from lifecurve.plans import curation, models
+from lifecurve.plans import build, curation, models
 from lifecurve.queries.common import CYC, HORIZONS, cycles, r6
-from lifecurve.queries.label_stack import LABELS, cell_inputs, label_rows
+from lifecurve.queries.curve_queries import samples
+from lifecurve.queries.label_stack import LABELS, WINDOW_ROWS, cell_inputs, label_rows
 from lifecurve.queries.registry import query
 from lifecurve.queries.series import lts_sql
 
@@ -170,3 +172,35 @@ def production_table(t):
     out = models.production_table(label_rows(t), scores, entity="user_id")
     rounded = [c for c in out.columns if c.startswith("prob_")]
     return out.withColumns({c: F.round(c, 6) for c in rounded})
+
+
+@query(
+    "feature_build",
+    "WITH " + WINDOW_ROWS + """,
+    ta AS (SELECT user_id, arg_max(ce, cycle) * 100 AS ce_final, arg_max(dis, cycle) / max(bd) AS dis_final, min(chg) / max(bc) AS chg_min FROM w GROUP BY 1),
+    sm AS (SELECT e.user_id, w.cycle, CASE WHEN event_type IN ('view', 'click') THEN 'charge' ELSE 'discharge' END AS phase, event_id, epoch(ts) AS t, value AS i, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v
+      FROM events e JOIN w ON w.user_id = e.user_id AND w.cycle = least(day(ts) // 7, 4) + 1),
+    sg AS (SELECT *, (i + lag(i) OVER o) / 2 * (t - lag(t) OVER o) AS q, (v * i + lag(v * i) OVER o) / 2 * (t - lag(t) OVER o) AS e FROM sm WINDOW o AS (PARTITION BY user_id, cycle, phase ORDER BY t, event_id)),
+    nl AS (SELECT user_id, cycle, phase, CASE WHEN count(*) >= 2 AND abs(sum(q)) >= 1e-12 THEN abs(sum(e)) / abs(sum(q)) END AS nom FROM sg GROUP BY 1, 2, 3),
+    nw AS (SELECT w.user_id, w.cycle, max(nom) FILTER (WHERE phase = 'charge') AS c, max(nom) FILTER (WHERE phase = 'discharge') AS d FROM w LEFT JOIN nl ON nl.user_id = w.user_id AND nl.cycle = w.cycle GROUP BY 1, 2),
+    tb AS (SELECT user_id, count(*) >= 2 AND bool_and(c IS NOT NULL AND d IS NOT NULL) AND arg_min(c, cycle) > 0 AND arg_min(d, cycle) > 0 AS ok, arg_min(c, cycle) AS c0, arg_min(d, cycle) AS d0, max(d) AS dm, stddev_samp(d) AS ds, max(c) AS cm FROM nw GROUP BY 1)
+    SELECT user_id AS cell_name, round(ce_final, 6) AS coulombic_efficiency_final, round(dis_final, 6) AS discharge_capacity_retention_final, round(chg_min, 6) AS charge_capacity_retention_min,
+      round(CASE WHEN ok THEN dm / d0 END, 6) AS discharge_nominal_voltage_retention_max, round(CASE WHEN ok THEN ds / d0 END, 6) AS discharge_nominal_voltage_retention_std,
+      round(CASE WHEN ok THEN cm / c0 END, 6) AS charge_nominal_voltage_retention_max, CAST(0 AS BIGINT) AS n_fits, CAST(3 AS BIGINT) AS n_without_fit FROM ta JOIN tb USING (user_id)""",
+)
+def feature_build(t):
+    """From measurements and samples to the feature row of every eligible cell; the weeks' events are the slices' samples.
+
+    No plateau is there to fit, so the status names all three fits as missing (``decay_grid_fit`` has the fits).
+    """
+    cells, meas, _, _ = cell_inputs(t)
+    names = {"user_id": "cell_name", "cycle": "regular_cycle", "dis": "capacity_discharge_ah", "chg": "capacity_charge_ah", "ce": "coulombic_efficiency"}
+    cells, cycles = cells.withColumnRenamed("user_id", "cell_name"), meas.withColumnsRenamed(names).withColumn("cd_index", F.col("regular_cycle"))
+    phase = F.when(F.col("phase").isin("view", "click"), "charge").otherwise("discharge")
+    week = (F.least(F.floor(F.col("day") / 7), F.lit(4)) + 1).alias("cd_index")
+    rows = samples(t).select(F.col("user_id").alias("cell_name"), week, phase.alias("cd_phase"), F.col("t").alias("elapsed_time"), F.col("i").alias("current"), F.col("v").alias("voltage"))
+    plateau = rows.where("false").select("cell_name", "cd_index", F.col("elapsed_time").alias("t_s"), "current")
+    features, status = build.feature_tables(cells, cycles, rows, plateau, baseline_cycle=2, bound=t.rows("events"))
+    fits = status.groupBy("cell_name").agg(F.count_if("success").alias("n_fits"), F.count_if(~F.col("success")).alias("n_without_fit"))
+    out = features.join(fits, "cell_name")
+    return out.select("cell_name", *[F.round(c, 6).alias(c) for c in (*roles.TIER_A, *roles.TIER_B)], "n_fits", "n_without_fit")

@@ -30,6 +30,13 @@ def local_session(cores: str = "8", memory: str = "12g", app: str = "lifecurve")
 WORK_SETTING = "lifecurve.workDir"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme as Spark reads it: in the default file system, which need not be the machine's own."""
+    whole = spark._jvm.org.apache.hadoop.fs.Path(path)
+    said = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole).toString()
+    return f"file://{said[5:]}" if said.startswith("file:/") and not said.startswith("file://") else said
+
+
 def working_folder(spark: SparkSession) -> str:
     """Folder for tables that cut lineage: the one the cluster names, else the session's own setting.
 
@@ -37,7 +44,7 @@ def working_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_SETTING, None)
     if named:
-        return named
+        return named if "://" in named else qualified(spark, named)
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError(f"set spark.checkpoint.dir or {WORK_SETTING} to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="lifecurve-")
@@ -45,14 +52,43 @@ def working_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Folders made below the working folder, in order.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     """A folder name below the working folder that no other run uses."""
-    return f"{working_folder(spark).rstrip('/')}/lifecurve/{kind}-{uuid.uuid4().hex}"
+    path = f"{working_folder(spark).rstrip('/')}/lifecurve/{kind}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the working folder and read it back (columnar, lineage cut)."""
     spark = df.sparkSession
-    path = f"{working_folder(spark).rstrip('/')}/lifecurve/{uuid.uuid4().hex}"
+    path = new_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made_since(count: int = 0) -> list[str]:
+    """The working folders made so far, without the first ``count``; ``len(made_since())`` is the mark to count from."""
+    return _MADE[count:]
+
+
+def release(spark: SparkSession, folders: list[str], keep: DataFrame | None = None) -> list[str]:
+    """Delete working folders that are done with, except those that ``keep`` reads; the folders that are left.
+
+    Call it only where nothing else that is still to be read comes from these folders.
+    """
+    read = "\n".join(keep.inputFiles()) if keep is not None else ""
+    left, jvm, conf = [], spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        if folder.rsplit("/", 1)[-1] in read:
+            left.append(folder)
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in _MADE:
+            _MADE.remove(folder)
+    return left

@@ -56,7 +56,8 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both tables; the new row wins on a shared key, the last by ``_seq`` inside one table.
+    """Rows of both tables; the new row wins on a shared key, the last by ``_seq`` inside one table, and
+    without ``_seq`` the greatest by its values, so that reruns agree.
 
     Columns missing on one side become null. One mergeable aggregate, so a key with many versions
     is combined on the map side.
@@ -66,7 +67,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     version = [c for c in ("_generation", "_seq") if c in both.columns]
     values = [c for c in both.columns if c not in (*keys, *version)]
-    newest = F.max_by(F.struct(*values), F.struct(*version)).alias("_row")
+    newest = F.max_by(F.struct(*values), F.struct(*version, *values)).alias("_row")
     return both.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 

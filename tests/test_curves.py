@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,19 @@ def test_segments_start_empty(spark, layout):
     rows = curves.with_segments(arrange(df, ["k"], ["t"]), "t", seg=F.col("i")).rows().orderBy("t").collect()
     assert rows[0].dt is None and rows[0].seg is None
     assert all((r.dt, r.seg) == (1.0, 2.0) for r in rows[1:])
+
+
+@pytest.mark.parametrize("prominence, distance, top", [(0.3, 1, 4), (0.3, 4, 9)])
+def test_peaks_in_rounds_equal_the_walk(spark, prominence, distance, top):
+    """Many equal heights, so ties and flat tops count; every curve through the rounds."""
+    rnd = np.random.default_rng(top)
+    rows = []
+    for key in range(6):
+        values = rnd.integers(0, top, 150) if key < 4 else np.abs(np.cumsum(rnd.integers(-2, 3, 150)))
+        rows += [(key, float(i), float(v) * (-1 if i % 5 == 0 else 1)) for i, v in enumerate(values)]
+    rows += [(9, float(i), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    options = {"prominence": prominence, "distance": distance, "min_points": 5}
+    walk = sorted(map(tuple, curves.dominant_peak(df, ["k"], "x", "y", **options).collect()))
+    rounds = sorted(map(tuple, curves.dominant_peak(df, ["k"], "x", "y", max_turns=1, **options).collect()))
+    assert walk == rounds and len(walk) >= 5

@@ -329,9 +329,9 @@ def test_review_flow(spark):
     outliers = spark.createDataFrame([("new", 32), ("new", 35), ("new", 3), ("both", 36), ("old", 1), ("clean", None)], "cell_name string, outlier_cycle int")
     got = {r.cell_name: r for r in curation.review_table(steps, outliers, decisions, current).collect()}
     assert {k: r.review_reason for k, r in got.items()} == {
-        "old": "stale_decision(was:100,now:120)",
-        "gone": "stale_decision(was:5,now:missing)",
-        "legacy": "stale_decision(was:legacy,now:7)",
+        "old": "decided at 100 cycles, now 120",
+        "gone": "decided at 5 cycles, now none",
+        "legacy": "decided at unrecorded cycles, now 7",
         "new": "tail_outlier",
         "both": "sustained_step,tail_outlier",
     }
