@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SAMPLE_ROWS = 2048
 BLOCK_ROWS = 4096
 BLOCK_CELLS = 1 << 19
 GROUP_BLOCKS = 4
+#: Anchors of a group that are held against a block together.
+ANCHORS_AT_ONCE = 256
 ANCHOR_EVERY, POISON_EVERY, LABELS = 50, 7, 10
 POSITIVES, NEGATIVES = 5, 3
 #: Hundredths of the positive's score between which a negative's lies.
@@ -48,28 +51,36 @@ SLACK = 4e-7
 NO_ID = (1 << 63) - 1
 
 
-def integers(vectors: list[list[float]], width: int | None = None) -> np.ndarray:
-    """floor(256 x) of each component, rows filled up with zeros; int64, or Python integers where those are too small."""
-    wide = max([width or 0, *map(len, vectors)])
-    whole = np.zeros((len(vectors), wide))
-    for k, v in enumerate(vectors):
-        whole[k, : len(v)] = v
-    scaled = whole * 256.0
-    if scaled.size and np.abs(scaled).max() >= 2.0**62:
-        return np.array([[math.floor(x * 256) if math.isfinite(x * 256) else int(x) * 256 for x in row] for row in whole.tolist()], object).reshape(whole.shape)
-    return np.floor(scaled).astype(np.int64)
-
-
-def products(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows with an integer vector."""
-    if rows.dtype != object and vector.dtype != object:
-        top = float(np.abs(rows).max(initial=0)) * float(np.abs(vector).max(initial=0)) * max(1, vector.size)
-        if top < 2.0**53:
-            return (rows.astype(np.float64) @ vector.astype(np.float64)).astype(np.int64)
+def matrix(vectors: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Rows of numbers, filled up with zeros."""
+    ends = vectors.offsets.to_numpy()
+    sizes = np.diff(ends)
+    wide = max(width or 0, int(sizes.max(initial=0)))
+    out = np.zeros((len(sizes), wide))
+    flat = vectors.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    out[np.arange(wide) < sizes[:, None]] = flat
+    return out
+
+
+def integers(whole: np.ndarray) -> np.ndarray:
+    """floor(256 x) of each component; int64, or Python integers where those are too small."""
+    if whole.size and np.abs(whole).max() >= 2.0**54:
+        return np.array([[math.floor(x * 256) if abs(x) < 2.0**60 else int(x) * 256 for x in row] for row in whole.tolist()], object).reshape(whole.shape)
+    return np.floor(whole * 256.0).astype(np.int64)
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows of two integer matrices, as the nearest 64-bit integers."""
+    wide = max(left.shape[1], right.shape[1])
+    left, right = (x if x.shape[1] == wide else np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (left, right))
+    if left.dtype != object and right.dtype != object:
+        top = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * max(1, wide)
+        if top < 2.0**53:  # every partial sum is a whole number that a double holds
+            return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
         if top < 2.0**63:
-            return rows @ vector
-    found = rows.astype(object) @ vector.astype(object)
-    return np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in found], np.int64)
+            return left @ right.T
+    found = left.astype(object) @ right.astype(object).T
+    return np.clip(found, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def norms(rows: np.ndarray) -> np.ndarray:
@@ -98,17 +109,23 @@ def score_bounds(least: np.ndarray, most: np.ndarray, low_norms, high_norms) ->
     return below - spare, above + spare
 
 
-def angle_bounds(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest angle between a row with these angles to the references and rows with angles between low and high."""
-    least = np.maximum(np.maximum(own - high, low - own), 0.0).max(axis=-1)
-    most = np.minimum(own + high, 2 * np.pi - own - low).min(axis=-1)
-    return least, np.minimum(most, np.pi)
+def angle_bounds(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest angle between all rows of two tables of angles to the same references."""
+    least = np.zeros((len(left), len(right)))
+    most = np.full(least.shape, np.pi)
+    for k in range(left.shape[1]):
+        a, b = left[:, k, None], right[None, :, k]
+        np.maximum(least, np.abs(a - b), out=least)
+        both = a + b
+        np.minimum(most, np.minimum(both, 2 * np.pi - both), out=most)
+    return least, most
 
 
 def directions(rows: DataFrame, count: int = REFERENCES, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Unit vectors of rows far apart: the first of a bounded sample, then always the one furthest from those taken."""
     order = [F.xxhash64("vec_id"), "vec_id", F.xxhash64("vector")]
-    taken = integers([r["vector"] for r in rows.select("vec_id", "vector").orderBy(*order).limit(sample_rows).collect()])
+    sample = rows.select("vec_id", "vector").orderBy(*order).limit(sample_rows).collect()
+    taken = integers(matrix(pa.array([r["vector"] for r in sample], pa.list_(pa.float64()))))
     long_ = norms(taken)
     unit = taken.astype(np.float64)[long_ > 0] / long_[long_ > 0][:, None]
     if not len(unit):
@@ -136,13 +153,11 @@ def poisoned(id_col: str = "vec_id", label_col: str = "label", every: int = POIS
 
 def index(rows: DataFrame, at: np.ndarray) -> DataFrame:
     """Written rows with n (their place in the order), norm and angles."""
-    known = at.tolist()
 
     def run(batches):
-        refs = np.array(known, np.float64).reshape(len(known), -1)
         for part in slices(batches):
-            real = integers(part.column("vector").to_pylist())
-            to = angles(real, refs) if len(refs) else np.zeros((len(real), 1))
+            real = integers(matrix(part.column("vector")))
+            to = angles(real, at) if len(at) else np.full((len(real), 1), np.pi / 2)  # a right angle bounds nothing
             near = to.argmin(axis=1)
             more = [pa.array(norms(real)), pa.array(to.tolist(), pa.list_(pa.float64())), pa.array(near, pa.int32()), pa.array(to[np.arange(len(to)), near])]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("vec_id", "label", "vector")), *more], names=["vec_id", "label", "vector", "norm", "angles", "cell", "to_cell"])
@@ -178,52 +193,59 @@ def _packed(rows: DataFrame, key: str, fields: list[str], name: str) -> DataFram
 
 
 @dataclass
-class _Block:
-    """The rows of a block as arrays."""
+class _Rows:
+    """Rows of a block, or anchors, as arrays."""
 
     n: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    rows: np.ndarray
+    vectors: np.ndarray
     norms: np.ndarray
     angles: np.ndarray
+    more: dict[str, list]
 
     @classmethod
-    def of(cls, said: list[dict]) -> _Block:
-        pick = lambda c: [r[c] for r in said]
-        ids = np.array([NO_ID if i is None else i for i in pick("vec_id")], np.int64)
-        return cls(np.array(pick("n"), np.int64), ids, np.array(pick("label"), np.int64), integers(pick("vector")), np.array(pick("norm")), np.array(pick("angles")))
-
-    def scores(self, at: np.ndarray, vector: np.ndarray) -> np.ndarray:
-        wide = max(self.rows.shape[1], vector.size)
-        rows = self.rows[at]
-        if rows.shape[1] < wide:
-            rows = np.pad(rows, ((0, 0), (0, wide - rows.shape[1])))
-        return products(rows, vector if vector.size == wide else np.pad(vector, (0, wide - vector.size)))
-
-    def bounds(self, own: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
-        least, most = angle_bounds(own[None, :], self.angles, self.angles)
-        both = norm * self.norms
+    def of(cls, said: pa.StructArray, at: slice = slice(None), extra: tuple[str, ...] = ()) -> _Rows:
+        said = said[at]
+        pick = lambda c: pc.struct_field(said, c)
+        ids = pick("vec_id").fill_null(NO_ID).to_numpy()
+        numbers = [pick(c).to_numpy() for c in ("n", "label", "norm")]
+        return cls(numbers[0], ids, numbers[1], integers(matrix(pick("vector"))), numbers[2], matrix(pick("angles")), {c: pick(c).to_pylist() for c in extra})
+
+    def bounds(self, block: _Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the scores with all rows of a block."""
+        least, most = angle_bounds(self.angles, block.angles)
+        both = self.norms[:, None] * block.norms[None, :]
         return score_bounds(least, most, both, both)
 
+    def scores(self, block: _Rows, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores with the rows at these places): the rows whose window some anchor's overlaps."""
+        at = np.flatnonzero(open_.any(axis=0))
+        return at, products(self.vectors, block.vectors[at])
 
-def _best(block: _Block, at: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
-    """The places of the first ``most`` by score downwards, id, n."""
-    return np.lexsort((block.n[at], block.ids[at], -scores))[:most] if scores.size else np.zeros(0, np.int64)
+
+def _best(block: _Rows, at: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
+    """The places in ``at`` of the first ``most`` by score downwards, id, n."""
+    if scores.size > most:
+        near = np.flatnonzero(scores >= np.partition(scores, scores.size - most)[scores.size - most])
+    else:
+        near = np.arange(scores.size)
+    return near[np.lexsort((block.n[at[near]], block.ids[at[near]], -scores[near]))[:most]]
 
 
-def _find(pairs: DataFrame, judge, schema: str) -> DataFrame:
-    """Rows (tuples in the order of the schema) that ``judge(anchor, block)`` finds for every anchor and block of the pairs."""
+def _find(pairs: DataFrame, judge, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (tuples in the order of the schema) that ``judge(anchors, block)`` finds for every group and block of the pairs."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                block = _Block.of(one.column("rows").to_pylist()[0])
-                out = [r for a in one.column("anchors").to_pylist()[0] for r in judge(a, block)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                group, block = (batch.column(c)[k].values for c in ("anchors", "rows"))
+                block = _Rows.of(block)
+                for at in range(0, len(group), ANCHORS_AT_ONCE):
+                    out = list(judge(_Rows.of(group, slice(at, at + ANCHORS_AT_ONCE), extra), block))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     return map_slices(pairs, run, schema)
 
@@ -261,11 +283,13 @@ def hard_negatives(
         return near.join(held, "group").join(packed, "block").select("anchors", "rows")
 
     # The score that a positive must reach: the last of enough rows of the label in the anchor's own block.
-    def nearby(anchor, block):
-        same = np.flatnonzero((block.labels == anchor["label"]) & (block.n != anchor["n"]))
-        scores = block.scores(same, integers([anchor["vector"]])[0])
-        if scores.size >= positives:
-            yield anchor["n"], int(np.partition(scores, scores.size - positives)[scores.size - positives])
+    def nearby(some, block):
+        same = (some.labels[:, None] == block.labels) & (some.n[:, None] != block.n)
+        at, scores = some.scores(block, same)
+        for k in range(len(some.n)):
+            own = scores[k][same[k, at]]
+            if own.size >= positives:
+                yield int(some.n[k]), int(np.partition(own, own.size - positives)[own.size - positives])
 
     own = _packed(anchors, "block", fields, "anchors").join(packed, "block").select("anchors", "rows")
     floors = _find(own, nearby, "n long, floor long")
@@ -273,14 +297,16 @@ def hard_negatives(
     first = materialize(anchors.join(floors, "n", "left").withColumn("floor", F.coalesce("floor", none)))
     meet = (F.col("b.low_label") <= F.col("g.high_label")) & (F.col("g.low_label") <= F.col("b.high_label"))
 
-    def best_positives(anchor, block):
-        _, above = block.bounds(np.array(anchor["angles"]), anchor["norm"])
-        open_ = np.flatnonzero((block.labels == anchor["label"]) & (block.n != anchor["n"]) & (above >= anchor["floor"]))
-        scores = block.scores(open_, integers([anchor["vector"]])[0])
-        for k in _best(block, open_, scores, positives):
-            yield anchor["n"], int(block.ids[open_[k]]), int(block.n[open_[k]]), int(scores[k])
+    def best_positives(some, block):
+        _, above = some.bounds(block)
+        open_ = (some.labels[:, None] == block.labels) & (some.n[:, None] != block.n) & (above >= np.array(some.more["floor"], float)[:, None])
+        at, scores = some.scores(block, open_)
+        for k in range(len(some.n)):
+            mine = np.flatnonzero(open_[k, at])
+            for j in mine[_best(block, at[mine], scores[k][mine], positives)]:
+                yield int(some.n[k]), int(block.ids[at[j]]), int(block.n[at[j]]), int(scores[k][j])
 
-    found = _find(against(first, meet & (_bound(1) >= F.col("g.floor")), ["floor"]), best_positives, "anchor long, vec_id long, n long, score long")
+    found = _find(against(first, meet & (_bound(1) >= F.col("g.floor")), ["floor"]), best_positives, "anchor long, vec_id long, n long, score long", ("floor",))
     chosen = _top(found, ["anchor"], "score", positives, "place")
     window = lambda part, up: (F.floor if up else F.ceil)(F.col("score").cast("decimal(20,0)") * part / 100)
     wanted = F.struct("place", "vec_id", "n", "score", window(least_part, False).cast("long").alias("low"), window(most_part, True).cast("long").alias("high"))
@@ -289,17 +315,22 @@ def hard_negatives(
     differ = (F.col("b.low_label") != F.col("b.high_label")) | (F.col("g.low_label") != F.col("g.high_label")) | (F.col("b.low_label") != F.col("g.low_label"))
     fields = [*fields, "goals"]
 
-    def best_negatives(anchor, block):
-        below, above = block.bounds(np.array(anchor["angles"]), anchor["norm"])
-        open_ = np.flatnonzero((block.labels != anchor["label"]) & (above >= anchor["least"]) & (below <= anchor["most"]))
-        scores = block.scores(open_, integers([anchor["vector"]])[0])
-        for goal in anchor["goals"]:
-            inside = np.flatnonzero((scores >= goal["low"]) & (scores <= goal["high"]))
-            for k in inside[_best(block, open_[inside], scores[inside], negatives)]:
-                yield anchor["n"], anchor["vec_id"], goal["place"], NO_ID if goal["vec_id"] is None else goal["vec_id"], goal["score"], int(block.ids[open_[k]]), int(block.n[open_[k]]), int(scores[k])
+    def best_negatives(some, block):
+        below, above = some.bounds(block)
+        least, most = (np.array(some.more[c], float)[:, None] for c in ("least", "most"))
+        open_ = (some.labels[:, None] != block.labels) & (above >= least) & (below <= most)
+        at, scores = some.scores(block, open_)
+        for k in range(len(some.n)):
+            mine = np.flatnonzero(open_[k, at])
+            own = scores[k][mine]
+            for goal in some.more["goals"][k]:
+                inside = np.flatnonzero((own >= goal["low"]) & (own <= goal["high"]))
+                for j in inside[_best(block, at[mine[inside]], own[inside], negatives)] if inside.size else ():
+                    row = at[mine[j]]
+                    yield int(some.n[k]), int(some.ids[k]), goal["place"], NO_ID if goal["vec_id"] is None else goal["vec_id"], goal["score"], int(block.ids[row]), int(block.n[row]), int(own[j])
 
     overlap = (_bound(1) >= F.col("g.least")) & (_bound(-1) <= F.col("g.most"))
-    mined = _find(against(second, differ & overlap, ["least", "most"]), best_negatives, "anchor long, anchor_id long, place long, positive_id long, positive_score long, vec_id long, n long, score long")
+    mined = _find(against(second, differ & overlap, ["least", "most"]), best_negatives, "anchor long, anchor_id long, place long, positive_id long, positive_score long, vec_id long, n long, score long", ("least", "most", "goals"))
     ranked = _top(mined, ["anchor", "place"], "score", negatives, "rank")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return ranked.select(
@@ -313,4 +344,4 @@ def mine(table: DataFrame, **options) -> DataFrame:
     return hard_negatives(taking_part(table, label=poisoned()), **options)
 
 
-__all__ = ["angle_bounds", "directions", "hard_negatives", "integers", "mine", "poisoned", "products", "score_bounds", "taking_part"]
+__all__ = ["angle_bounds", "directions", "hard_negatives", "integers", "matrix", "mine", "poisoned", "products", "score_bounds", "taking_part"]

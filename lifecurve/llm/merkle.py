@@ -73,13 +73,13 @@ def leaves(docs: DataFrame, columns=COLUMNS, group: str = "lang", id_col: str =
     return docs.select(doc.cast("long").alias("doc_id"), F.col(group).cast("string").alias("lang"), leaf_digest(plain).alias("digest"), changed.alias("changed"))
 
 
-def _block(nodes: list[dict], g: int, block: int, h0: int, levels: int, top: int) -> Iterator[tuple]:
+def _block(nodes: list[dict], g: int, block: int, h0: int, levels: int, top: int, in_block: int) -> Iterator[tuple]:
     """All nodes above and in one block of sorted nodes: (h, g, i, digest, segment, leaf); the top of the block has no segment.
 
     ``levels``: height of this tree's own top; from there up to ``top`` the node is drawn out without a sibling.
     """
-    row, first = [(n["digest"], n["leaf"]) for n in nodes], block << BLOCK_LEVELS
-    end = min(h0 + BLOCK_LEVELS, top)
+    row, first = [(n["digest"], n["leaf"]) for n in nodes], block << in_block
+    end = min(h0 + in_block, top)
     for h in range(h0, end):
         real = h < levels
         for k, (digest, leaf) in enumerate(row):
@@ -92,28 +92,28 @@ def _block(nodes: list[dict], g: int, block: int, h0: int, levels: int, top: int
         yield end, g, first + k, digest, None, leaf
 
 
-def _levels_up(lowest: DataFrame, h0: int, top: int) -> DataFrame:
-    """One round of building: ``lowest`` (g, i, digest, levels, leaf) at height h0 to nodes of heights h0 to h0 + BLOCK_LEVELS."""
+def _levels_up(lowest: DataFrame, h0: int, top: int, in_block: int) -> DataFrame:
+    """One round of building: ``lowest`` (g, i, digest, levels, leaf) at height h0 to nodes of heights h0 to h0 + in_block."""
     member = F.struct("i", "digest", "leaf")
-    blocks = lowest.groupBy("g", F.shiftright("i", BLOCK_LEVELS).alias("block"), "levels").agg(F.sort_array(F.collect_list(member)).alias("nodes"))
+    blocks = lowest.groupBy("g", F.shiftright("i", in_block).alias("block"), "levels").agg(F.sort_array(F.collect_list(member)).alias("nodes"))
 
     def run(batches):
         for part in slices(batches):
             for r in part.to_pylist():
-                cols = list(zip(*_block(r["nodes"], r["g"], r["block"], h0, r["levels"], top), strict=True))
+                cols = list(zip(*_block(r["nodes"], r["g"], r["block"], h0, r["levels"], top, in_block), strict=True))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.struct([("doc_id", pa.int64()), ("digest", pa.binary()), ("changed", pa.binary()), ("levels", pa.int32())])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "g", "i", "digest", "segment", "leaf"])
 
     return materialize(map_slices(blocks, run, _NODE))
 
 
-def _forest(lowest: DataFrame, h0: int, top: int) -> tuple[DataFrame, DataFrame]:
+def _forest(lowest: DataFrame, h0: int, top: int, in_block: int) -> tuple[DataFrame, DataFrame]:
     """(nodes with segments, tops) of all trees of ``lowest`` (g, i, digest, levels, leaf), drawn out from h0 to ``top``."""
     nodes, levels = [], lowest.groupBy("g").agg(F.first("levels").alias("levels"))
     while True:
-        made = _levels_up(lowest, h0, top)
+        made = _levels_up(lowest, h0, top, in_block)
         nodes.append(made.where("segment is not null"))
-        h0 = min(h0 + BLOCK_LEVELS, top)
+        h0 = min(h0 + in_block, top)
         tops = made.where("segment is null")
         if h0 >= top:
             break
@@ -152,7 +152,7 @@ def fold(digest: bytes, siblings: list[bytes | None], i: int, levels: int, group
     return digest
 
 
-def manifest(docs: DataFrame, **options) -> DataFrame:
+def manifest(docs: DataFrame, *, block_levels: int = BLOCK_LEVELS, **options) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row; see ``leaves`` for options.
 
     leaf, subroot, root and proof are those of the rows as they are; folded_root starts from the altered row, if any.
@@ -169,14 +169,14 @@ def manifest(docs: DataFrame, **options) -> DataFrame:
     lowest = materialize(placed.join(ranks, "_lang").select("g", "i", "digest", "levels", F.struct("doc_id", "digest", "changed", "levels").alias("leaf")))
     none = F.lit(None).cast(_CARRIED)
     if tallest:
-        nodes, tops = _forest(lowest, 0, tallest)
+        nodes, tops = _forest(lowest, 0, tallest, block_levels)
         tops = tops.select("g", "digest", "leaf")
     else:  # every row is a group of its own
         nodes, tops = None, lowest.select("g", "digest", "leaf")
     tops = materialize(tops)
     above = tops.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("i"), "digest", F.lit(top).alias("levels"), F.col("leaf") if not tallest else none.alias("leaf"))
     if upper:
-        higher, last = _forest(above, tallest, top)
+        higher, last = _forest(above, tallest, top, block_levels)
         nodes = higher if nodes is None else nodes.union(higher)
         root = last.first()["digest"]
     else:
