@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lifecurve.llm.common import add_row, materialize
+from lifecurve.llm.common import materialize, numbered_once, spare, without_leftovers
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -84,15 +84,16 @@ def integral(t: Column, start: float, end: float) -> Column:
 
 def plan_mix(
     docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, ramps=RAMPS, chunk_rows: int = CHUNK_ROWS,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: _row, doc_id, size, source_size, target, passes, taken, position.
 
     passes: how often the document is taken; taken = passes * size; position: the words all sources have
     given before its first use (null if it is not taken); times: training time of each use.
     """
-    rows = add_row(docs).select(
-        "_row", F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = docs.select(
+        row.alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
     )
     rows = materialize(rows.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -133,9 +134,20 @@ def _join_source(offsets: DataFrame, facts: DataFrame) -> DataFrame:
     return left.join(facts.select(F.struct("source").alias("_src"), "source_size", "rank", "target", "whole"), "_src")
 
 
+@without_leftovers
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The training order: every document as often as it is taken, range-sorted by time of use."""
-    plan = plan_mix(docs, **options).where("passes > 0").select(F.col("_row").alias("_op8_row"), F.explode("times").alias("_op8_time"))
-    taken = add_row(docs, "_op8_row").join(plan, "_op8_row")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return taken.repartitionByRange(parts, "_op8_time", "_op8_row").sortWithinPartitions("_op8_time", "_op8_row").drop("_op8_time", "_op8_row")
+    numbered, row = numbered_once(docs, "_op8_row")
+    time = spare(numbered, "_op8_time")
+    plan = plan_mix(numbered, row_col=row, **options).where("passes > 0").select(F.col("_row").alias(row), F.explode("times").alias(time))
+    return _in_order(numbered.join(plan, row), time, row).drop(time, row)
+
+
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """``plan_mix`` by the position of each document's first use, range-sorted; documents that are not taken come last."""
+    return _in_order(plan_mix(docs, **options), F.col("position").asc_nulls_last(), "_row")
+
+
+def _in_order(df: DataFrame, *by) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *by).sortWithinPartitions(*by)

@@ -110,15 +110,26 @@ placed AS (
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR)
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS begins,
     CASE WHEN a.source_size > 0 THEN floor(a.target / a.source_size) ELSE 0 END AS whole
-  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, round(target, 4) AS target,
-  (size * (whole + CASE WHEN size > 0 AND begins + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source),
+used AS (
+  SELECT *, (whole + CASE WHEN size > 0 AND begins + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END)::BIGINT AS passes,
+    CASE rk % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.5 ELSE 1.0 END::DOUBLE AS a, CASE rk % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS b FROM placed),
+-- The time at which the integral of the line from a to b reaches a part of its whole, for the first and the last use.
+timed AS (
+  SELECT *, 2 * p * 1.0 / (a + sqrt(a * a + 2 * (b - a) * p)) AS first_time, 2 * q * 1.0 / (a + sqrt(a * a + 2 * (b - a) * q)) AS last_time
+  FROM (SELECT *, CASE WHEN target > 0 THEN least(1.0, begins / target) ELSE 0.0 END AS p,
+          CASE WHEN target > 0 THEN least(1.0, (begins + (passes - 1) * source_size) / target) ELSE 0.0 END AS q FROM used)),
+demand AS (SELECT coalesce(sum(target) FILTER (WHERE rk % 3 = 0), 0) AS d0, coalesce(sum(target) FILTER (WHERE rk % 3 = 1), 0) AS d1, coalesce(sum(target) FILTER (WHERE rk % 3 = 2), 0) AS d2 FROM aimed)
+SELECT doc_id, size, source_size, round(target, 4) AS target, size * passes AS taken, passes,
+  CASE WHEN passes > 0 THEN round(d0 * (0.5 * first_time + 0.5 * first_time * first_time) + d1 * (1.5 * first_time - 0.5 * first_time * first_time) + d2 * first_time, 2) END AS position,
+  CASE WHEN passes > 0 THEN round(first_time, 9) END AS first_time, CASE WHEN passes > 0 THEN round(last_time, 9) END AS last_time
+FROM timed, demand
 """,
 )
 def op8(docs: DataFrame) -> DataFrame:
-    mix = curriculum.plan_mix(docs)
-    return mix.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    mix = curriculum.training_order(docs)
+    times = [F.round(F.element_at("times", k), 9).alias(f"{n}_time") for n, k in (("first", 1), ("last", -1))]
+    return mix.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "passes", F.round("position", 2).alias("position"), *times)
 
 
 @query("op9_licenses")
