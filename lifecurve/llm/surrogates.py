@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.llm.common import map_slices, slices
+from lifecurve.llm.common import map_slices, materialize, slices
 
 DEFAULT_KEY = "lifecurve-surrogates"
 ROUNDS = 8
@@ -61,6 +61,8 @@ DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuv
 
 TITLE_OF = {t: g for g, ts in TITLES.items() for t in ts}
 PERSON = re.compile(r"\b(" + "|".join(sorted(TITLE_OF, key=len, reverse=True)) + r")\b\.? +([^\W\d_]+(?:[-'’][^\W\d_]+)*)(?: +([^\W\d_]+(?:[-'’][^\W\d_]+)*))?")
+#: A word that can be a name, and the ending that is not part of it.
+NAME, POSSESSIVE = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"), re.compile(r"['’][sS]\Z")
 EMAIL_LEFT, EMAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+\-]+\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 #: Where a number may begin and end.
 BEGIN, END = r"(?<![\w.])(?<![0-9]-)", r"(?!\w)"
@@ -78,7 +80,7 @@ IBAN_LENGTH = dict(
 )
 #: National phones: North America, France, Britain, Germany.
 NATIONAL = re.compile(
-    BEGIN + r"(?<!\+)(?:(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+    BEGIN + r"(?<!\+)(?:(?P<america>(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4})"
     r"|0[1-9](?:[ .\-][0-9]{2}){4}|0[1-9][0-9] [0-9]{4} [0-9]{4}|0[1-9][0-9]{2} [0-9]{3} [0-9]{4}|0[1-9][0-9]{3} [0-9]{3} ?[0-9]{3}|0[1-9][0-9]{1,3}[ /\-][0-9]{5,8})" + END
 )
 ABROAD = re.compile(BEGIN + r"(?:\+|00(?=[1-9])|\()(?=[0-9])")
@@ -89,6 +91,8 @@ ABROAD_LENGTH = {
     "41": (9, 9), "43": (7, 12), "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (7, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "57": (10, 10),
     "61": (9, 9), "81": (9, 10), "82": (8, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "351": (9, 9), "353": (7, 9), "358": (6, 11), "380": (9, 9), "420": (9, 9), "421": (9, 9),
 }
+#: Countries whose numbers keep the zero in front.
+KEEPS_ZERO = {"1", "39"}
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
 SECRET = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_+/\-]{8,}={0,2})")
 HEXRUN = re.compile(r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)")
@@ -223,9 +227,19 @@ def ibans(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def at_home_digits(digits: str, america: bool = False) -> str:
+    """A national number as it follows any country code: without the zero or the one in front."""
+    if america:
+        return digits[-10:]
+    return digits[1:] if digits.startswith("0") else digits
+
+
 def phones(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
-    """National phones, and those whose end follows from the country's lengths; none goes into what is taken."""
-    out = [(*m.span(), "phone", "".join(c for c in m[0] if c in DIGITS)) for m in NATIONAL.finditer(text)]
+    """National phones, and those whose end follows from the country's lengths; none goes into what is taken.
+
+    The canonical form is the national number alone, so a phone is one entity with and without +, 00 or country code.
+    """
+    out = [(*m.span(), "phone", at_home_digits("".join(c for c in m[0] if c in DIGITS), bool(m["america"]))) for m in NATIONAL.finditer(text)]
     at_home = {f[0] for f in out}
     starts = sorted(a for a, _ in taken)
     for m in ABROAD.finditer(text):
@@ -240,10 +254,49 @@ def phones(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str,
         code = next((digits[:n] for n in (3, 2, 1) if digits[:n] in ABROAD_LENGTH), "") if m[0] != "(" else ""
         least, most = ABROAD_LENGTH.get(code, (7, 13) if code == "" else (6, 12))
         ends = [(e, n) for e, n in ends if not (text[e : e + 1].isalnum() or text[e : e + 1] == "_")]
-        fit = [(e, n) for e, n in ends if least <= n - len(code) <= most] or [(e, n) for e, n in ends if n >= 7][:1]
+        zero = int(bool(code) and code not in KEEPS_ZERO and digits[len(code) : len(code) + 1] == "0")  # +44 (0)20
+        fit = [(e, n) for e, n in ends if least <= n - len(code) - zero <= most] or [(e, n) for e, n in ends if n >= 7][:1]
         if fit:
             e, n = fit[-1]
-            out.append((m.start(), e, "phone", ("00" if m[0] == "00" else "") + digits[:n]))
+            rest = digits[len(code) : n] if code else at_home_digits(digits[:n]) if m[0] == "(" else digits[max(0, min(3, n - 10)) : n]
+            if code and code not in KEEPS_ZERO and rest.startswith("0"):
+                rest = rest[1:]
+            out.append((m.start(), e, "phone", rest))
+    return out
+
+
+def titled(text: str) -> list[tuple[int, int, str, str]]:
+    """Names behind a title; an ending 's is not part of them."""
+    out = []
+    for m in PERSON.finditer(text):
+        gender = TITLE_OF[m[1]]
+        for k in (2, 3):
+            if not (m[k] and m[k][0].isupper()):
+                break
+            word = POSSESSIVE.sub("", m[k])
+            out.append((m.start(k), m.start(k) + len(word), "person", f"{gender if k == 2 and m[3] else ''}|{word.lower()}"))
+            if word != m[k]:
+                break
+    return out
+
+
+def untitled(text: str, people: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The names of ``people`` wherever else they stand, in any case: one look-up per word, whatever their number."""
+    names = {value.partition("|")[2] for *_, value in people}
+    names = {n for n in names if len(n) > 1 and n.capitalize() not in TITLE_OF}
+    if not names:
+        return []
+    there, out = {f[:2] for f in people}, []
+    for m in NAME.finditer(text):
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_") or text[m.end() : m.end() + 1].isalnum() or text[m.end() : m.end() + 1] == "_":
+            continue
+        whole = POSSESSIVE.sub("", m[0])
+        # The word as it stands, or the parts of a double name.
+        at = m.start()
+        for part in [whole] if whole.lower() in names else re.split(r"([-'’])", whole):
+            if part.lower() in names and (at, at + len(part)) not in there:
+                out.append((at, at + len(part), "person", f"|{part.lower()}"))
+            at += len(part)
     return out
 
 
@@ -266,20 +319,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret", m[1]) for m in SECRET.finditer(text)]
     found += [(*m.span(), "secret", m[0]) for m in HEXRUN.finditer(text)]
-    names: set[str] = set()
-    for m in PERSON.finditer(text):
-        gender = TITLE_OF[m[1]]
-        for k in (2, 3):
-            if m[k] and m[k][0].isupper():
-                found.append((*m.span(k), "person", f"{gender if k == 2 and m[3] else ''}|{m[k].lower()}"))
-                names.add(m[k])
-            else:
-                break
-    names = {n for n in names if len(n) > 1 and n not in TITLE_OF}
-    if names:
-        again = "|".join(map(re.escape, sorted(names | {n.upper() for n in names}, key=lambda n: (-len(n), n))))
-        titled = {f[:2] for f in found if f[2] == "person"}
-        found += [(*m.span(), "person", f"|{m[0].lower()}") for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text) if m.span() not in titled]
+    people = titled(text)
+    found += people
+    found += untitled(text, people)
     found.sort(key=lambda f: (f[0], -f[1]))
     out, end = [], 0
     for f in found:
@@ -319,8 +361,7 @@ class Surrogates:
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
 
     def _phone(self, value: str) -> str:
-        code = max(0, min(3, len(value) - 10))
-        return value[:code] + self.permuter.string("phone" + value[:code], value[code:], [DIGITS] * (len(value) - code))
+        return self.permuter.string("phone", value, [DIGITS[1:] if k == 0 and c != "0" else DIGITS for k, c in enumerate(value)])
 
     def _account(self, value: str) -> str:
         gap = (int(value[-1]) - luhn(value[:-1])) % 10
@@ -358,8 +399,9 @@ class Surrogates:
         found, parts, at = find(text), [], 0
         for start, end, kind, value in found:
             said, new = text[start:end], self.canonical(kind, value)
-            if kind in ("phone", "account", "ssn"):
-                new = put_digits(new, said)
+            if kind in ("phone", "account", "ssn"):  # of a phone, what stands before the national number stays
+                digits = "".join(c for c in said if c in DIGITS)
+                new = put_digits(digits[: len(digits) - len(new)] + new, said)
             elif kind == "iban":
                 feed = iter(new.upper())
                 new = "".join(c if c == " " else next(feed) for c in said)
@@ -404,20 +446,31 @@ def collisions(found: DataFrame) -> DataFrame:
 
 
 def surrogates(docs: DataFrame, key: str = DEFAULT_KEY, *, check: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_entities, kinds) of every row: the text with surrogates, and the kinds in order."""
-    if check:
-        bad = collisions(entities(docs, key, text_col=text_col)).limit(3).collect()
-        if bad:
-            raise RuntimeError(f"entities share surrogates: {[r['kind'] for r in bad]}")
+    """(doc_id, text, n_entities, kinds) of every row: the text with surrogates, and the kinds in order.
+
+    With ``check`` the result is written once together with its entities, and the query ends if two of these share a surrogate.
+    """
 
     def run(batches):
         made = maker(key)
         for part in slices(batches):
             done = [made.replace(t) if t else (t, []) for t in part.column("text").to_pylist()]
+            listed = []
+            for _, found in done:
+                values = {(kind, "|" + value.partition("|")[2] if kind == "person" else value) for _, _, kind, value in found} if check else ()
+                listed.append([{"kind": k, "value": v, "surrogate": made.canonical(k, v)} for k, v in sorted(values)])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for _, f in done], pa.int64()), pa.array([[x[2] for x in f] for _, f in done], pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_entities", "kinds"],
+                [part.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for _, f in done], pa.int64()), pa.array([[x[2] for x in f] for _, f in done], pa.list_(pa.string())), pa.array(listed, pa.list_(pa.struct([(c, pa.string()) for c in ("kind", "value", "surrogate")])))],
+                names=["doc_id", "text", "n_entities", "kinds", "entities"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_slices(rows, run, "doc_id long, text string, n_entities long, kinds array<string>")
+    out = map_slices(rows, run, "doc_id long, text string, n_entities long, kinds array<string>, entities array<struct<kind: string, value: string, surrogate: string>>")
+    if not check:
+        return out.drop("entities")
+    out = materialize(out)
+    found = out.select(F.inline("entities")).distinct()
+    bad = collisions(found).limit(3).collect()
+    if bad:
+        raise RuntimeError(f"entities share surrogates: {[r['kind'] for r in bad]}")
+    return out.drop("entities")

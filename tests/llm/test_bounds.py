@@ -42,3 +42,67 @@ def test_names_are_carried_to_untitled_mentions():
 def test_plain_numbers_stay():
     text = "In 2024 there were 1,234,567 rows, 12 345 678 of them on 2024-05-06 at 10:11:12, version 1.2.3, section 4.5-6, ISBN 978-3-16-148410-0."
     assert surrogates.Surrogates("k").replace(text) == (text, [])
+
+
+SAME = [
+    ["+1 (555) 123-4567", "(555) 123-4567", "555-123-4567", "1-555-123-4567", "+15551234567", "001 555 123 4567"],
+    ["020 7946 0958", "+44 20 7946 0958", "0044 20 7946 0958", "+44 (0)20 7946 0958"],
+    ["01 23 45 67 89", "+33 1 23 45 67 89", "0033 1 23 45 67 89"], ["030 1234567", "+49 30 1234567", "0049 30 1234567"], ["(017) 555-7713", "+1 (017) 555-7713"],
+]
+
+
+@pytest.mark.parametrize("forms", SAME)
+def test_one_phone_has_one_surrogate(forms):
+    s = surrogates.Surrogates("k")
+    made, kept = set(), []
+    for said in forms:
+        out, found = s.replace(f"call {said} now")
+        assert [f[2] for f in found] == ["phone"] and len(out) == len(f"call {said} now"), said
+        digits = "".join(c for c in out if c.isdigit())
+        n = len(found[0][3])
+        made.add(digits[-n:])
+        kept.append(("".join(c for c in said if c.isdigit())[:-n], digits[:-n]))
+    assert len(made) == 1 and all(a == b for a, b in kept)
+    assert made.pop()[0] != "0" or forms[0].startswith("(0")
+
+
+def test_possessives_and_any_case():
+    s = surrogates.Surrogates("k")
+    out, found = s.replace("Mrs Petra Schmidt's and SCHMIDT and schmidt, O'Schmidt, Schmidt-Meyer; Petra’s.")
+    assert not [w for w in ("schmidt", "petra") if w in out.lower()] and "'s and " in out and "’s." in out and "Meyer" in out
+    assert [f[2] for f in found] == ["person"] * 7
+    assert s.replace("Miss Petra's Garden")[0].endswith("'s Garden")
+
+
+def test_many_names_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"Mrs {''.join(chr(97 + (k // 26**j) % 26) for j in range(4)).capitalize()}x met them." for k in range(n))
+        begun = time.process_time()
+        assert len(surrogates.find(text)) == n
+        return time.process_time() - begun
+
+    seconds(200)
+    assert seconds(8000) < 8 * max(seconds(2000), 0.02)
+
+
+def test_detection_equals_a_plain_reading():
+    """Entities put at known places of plain prose, with separators of every kind, are found where they are and nothing else is."""
+    import random
+
+    rnd = random.Random(8)
+    prose = "the river was wide and the road went on past 12 houses until noon".split()
+    people = {"Mrs Vera Holt": [(4, 8), (9, 13)], "Herr Otto Brandt": [(5, 9), (10, 16)]}
+    for _ in range(300):
+        text, want = "", set()
+        for _ in range(rnd.randrange(1, 8)):
+            text += " ".join(rnd.choice(prose) for _ in range(rnd.randrange(1, 6))) + rnd.choice([" ", ", ", ": ", "\n"])
+            if rnd.random() < 0.3:
+                said = rnd.choice(sorted(people))
+                want |= {(len(text) + a, len(text) + b, "person") for a, b in people[said]}
+            else:
+                kind, said = rnd.choice([*ENTITIES, ("email", "a.b@site.org")])
+                want.add((len(text), len(text) + len(said), kind))
+            text += said + rnd.choice([". ", "; ", " and ", "\n"])
+        assert {f[:3] for f in surrogates.find(text)} == want, text
