@@ -5,19 +5,20 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifecurve.session import materialize, working_folder
+from lifecurve.session import made_since, materialize, new_path, release
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SLICE_BYTES = 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-__all__ = ["add_row", "lower_ascii", "map_slices", "materialize", "open_folder", "put_file", "ready", "slices", "texts", "work_path"]
+__all__ = ["add_row", "lower_ascii", "map_slices", "materialize", "open_folder", "put_file", "numbered_once", "ready", "slices", "spare", "texts", "without_leftovers", "work_path"]
 
 
 def map_slices(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -53,11 +54,26 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 def add_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """A number for each row of a file scan, so repeated and null ids stay apart.
 
-    The numbers follow the files' splits, hence two scans of the same files within a query agree.
+    The numbers follow the files' splits, and these the cores that are there: where a second plan needs the
+    numbers again, it must read them from a written table (``numbered_once``).
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered_once(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, written once, and the name of that column: whoever reads it sees the same numbers."""
+    name = spare(df, name)
+    return materialize(add_row(df, name)), name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,7 +81,20 @@ def lower_ascii(text: Column) -> Column:
 
 def work_path(spark: SparkSession, kind: str) -> str:
     """A new folder name below the shared working folder."""
-    return f"{working_folder(spark).rstrip('/')}/lifecurve/{kind}-{uuid.uuid4().hex}"
+    return new_path(spark, kind)
+
+
+def without_leftovers(fn):
+    """``fn(docs, ...)`` whose working tables are deleted as soon as it returns, except those that its result reads."""
+
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        mark = len(made_since())
+        out = fn(docs, *args, **options)
+        release(docs.sparkSession, made_since(mark), keep=out)
+        return out
+
+    return run
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:

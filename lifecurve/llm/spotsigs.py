@@ -10,6 +10,10 @@ what is left of the shorter set, cannot reach the asked likeness any more.
 ranges of doc_id; the first document of a range is copied to the range before (the very first to the last),
 so every task finds each document's follower next to it.
 
+``similar_documents`` compares the fingerprints of a whole table: sets are dealt by their rarest spots and by length class
+(the smaller of two sets goes to its own class and the next, the larger to its own), so only sets of equal and
+neighbouring classes that share a spot of their prefixes meet; each such pair is verified by the pruned ``likeness``.
+
 Odd input: null and empty texts have the fingerprint of no words; a text without any spot has one spot, its
 words; a null doc_id comes before all others; equal doc_ids are ordered by text; a single document follows
 itself; an empty table gives no rows; other columns are ignored.
@@ -28,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.llm.common import map_slices, slices, texts
+from lifecurve.llm.common import map_slices, materialize, numbered_once, slices, texts
+from lifecurve.llm.components import components
+from lifecurve.llm.prefix import can_reach, prefixes
 
 CHAIN = 3
 #: Common words of English, German, French and Spanish.
@@ -163,3 +169,56 @@ def fingerprint_edits(docs: DataFrame, *, chain: int = CHAIN, id_col: str = "doc
         runs, walk,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_spots long, length_class int",
     )
+
+
+def signatures(rows: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """(_row, doc_id, digest, size, spots) of every row of (_row, doc_id, text), written once."""
+
+    def run(batches):
+        for part in slices(batches):
+            found = [spots(t, chain) for t in texts(part, "text")]
+            digests = [hashlib.blake2b(f.astype("<u4").tobytes(), digest_size=16).digest() for f in found]
+            cells = [part.column("_row"), part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([f.size for f in found], pa.int64()), pa.array([f.astype(np.int64).tolist() for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cells, names=["_row", "doc_id", "digest", "size", "spots"])
+
+    return materialize(map_slices(rows.select("_row", "doc_id", "text"), run, "_row long, doc_id long, digest binary, size long, spots array<long>"))
+
+
+def similar_sets(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, likeness), a < b: all pairs of different sets of ``nodes`` (node, size, spots) with this likeness or more."""
+    # ``length_class`` as a column.
+    cls = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(-np.log(least)) + 1e-9).cast("int")
+    facts = nodes.select("node", "size", cls.alias("cls"))
+    prefix = materialize(prefixes(nodes.select("node", F.explode("spots").alias("sh")), facts, least))
+    x = prefix.where("indexed").withColumn("to", F.explode(F.array(F.col("cls"), F.col("cls") + 1))).alias("x")
+    y = prefix.alias("y")
+    on = (F.col("x.sh") == F.col("y.sh")) & (F.col("x.to") == F.col("y.cls")) & can_reach(least)
+    met = x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    def verify(batches):
+        for part in slices(batches):
+            sets = [[np.array(v, np.int64) for v in part.column(c).to_pylist()] for c in ("left", "right")]
+            found = [likeness(a, b, least) for a, b in zip(*sets, strict=True)]
+            good = pa.array([f >= least for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good), pa.array(found, pa.float64()).filter(good)], names=["a", "b", "likeness"])
+
+    left, right = (nodes.select(F.col("node").alias(n), F.col("spots").alias(s)) for n, s in (("a", "left"), ("b", "right")))
+    return map_slices(met.join(left, "a").join(right, "b").select("a", "b", "left", "right"), verify, "a long, b long, likeness double")
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, *, chain: int = CHAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id, n_links) of every row: the smallest doc_id reachable over likenesses, and the links of its fingerprint.
+
+    Rows of equal fingerprints are one set, so copies make no pairs. Null ids are never the smallest beside others.
+    """
+    numbered, row = numbered_once(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "_row")
+    signed = signatures(numbered.withColumnRenamed(row, "_row"), chain)
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    sets = materialize(signed.groupBy("digest").agg(lowest.alias("low"), F.first("size").alias("size"), F.first("spots").alias("spots")).withColumn("node", F.col("low._row")))
+    pairs = materialize(similar_sets(sets.select("node", "size", "spots"), least))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components(pairs.select("a", "b")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    placed = sets.select("digest", "low", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lows = placed.groupBy("root").agg(F.min("low").alias("first"))
+    named = placed.join(lows, "root").join(ends, "node", "left").select("digest", F.col("first.doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.select("doc_id", "digest").join(named, "digest").drop("digest")
