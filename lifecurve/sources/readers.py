@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lifecurve.functions.roles import DECISION, DOCUMENT, OUTLIER_ENTRY
+from lifecurve.sources.writers import entity_bucket
 
 REGULAR = "regular_cd"
 CORRUPT = "_corrupt_record"
@@ -75,6 +76,23 @@ def read_samples(
     return df if entities is None else df.join(entities.select(entity).distinct(), entity, "left_semi")
 
 
+def read_indexed_samples(
+    spark: SparkSession, path: str, columns: Sequence[str], entities: DataFrame, entity: str, *, schema: T.StructType | str, buckets: int | None = None,
+) -> DataFrame:
+    """The samples of the wanted entities, from those files only that the index of ``write_samples`` does not rule out.
+
+    Wanted entities meet the index by equal hash bucket, inside its range; what reaches the driver is the names of
+    the files, which it needs to plan the scan anyway. The semi join stays, since a bucket may hold others.
+    """
+    wanted = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
+    bucket = entity_bucket(F.col(entity)) if buckets is None else entity_bucket(F.col(entity), buckets)
+    near = spark.read.parquet(f"{path}/index").join(wanted.withColumn("bucket", bucket), "bucket")
+    files = [r["file"] for r in near.where(F.col(entity).between(F.col("low"), F.col("high"))).select("file").distinct().collect()]
+    source = spark.read.schema(schema)
+    df = source.parquet(*[f"{path}/samples/{f}" for f in sorted(files)]) if files else source.parquet(f"{path}/samples").limit(0)
+    return df.select(*columns).join(wanted, entity, "left_semi")
+
+
 def read_registry(
     df: DataFrame, kind: str | None = REGULAR, columns: Sequence[str] | None = None, kind_column: str = "event_kind"
 ) -> DataFrame:

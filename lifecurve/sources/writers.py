@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,31 @@ def write_with_mirror(df: DataFrame, path: str, order: Sequence[str] = ()) -> No
         out.unpersist()
 
 
+#: Hash buckets of entities in a sample index.
+INDEX_BUCKETS = 1 << 16
+
+
+def entity_bucket(entity: Column, buckets: int = INDEX_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(entity.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_samples(df: DataFrame, path: str, entity: str, order: Sequence[str] = (), *, files: int | None = None, buckets: int = INDEX_BUCKETS) -> int:
+    """Samples by ranges of (entity, order), and beside them a skipping index; the number of files.
+
+    The index has a row per file and hash bucket of its entities (a Bloom filter of one hash, kept as rows), with
+    the least and greatest entity of each: a reader that looks for an entity opens only files that can hold it.
+    An entity with very many samples spreads over several files by its order.
+    """
+    spark = df.sparkSession
+    count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(count, entity, *order).sortWithinPartitions(entity, *order).write.mode("overwrite").parquet(f"{path}/samples")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/samples")
+    name = F.col("_metadata.file_name")
+    found = rows.where(F.col(entity).isNotNull()).groupBy(name.alias("file"), entity_bucket(F.col(entity), buckets).alias("bucket"))
+    found.agg(F.min(entity).alias("low"), F.max(entity).alias("high"), F.count(F.lit(1)).alias("n_samples")).write.mode("overwrite").parquet(f"{path}/index")
+    return len(rows.inputFiles())
+
+
 def write_snapshot(df: DataFrame, root: str, snapshot: str) -> None:
     """Write one snapshot partition, then move the pointer: a failed write leaves the old pointer."""
     nan_to_null(df).write.mode("overwrite").parquet(f"{root}/snapshots/snapshot={snapshot}")

@@ -444,3 +444,16 @@ def test_candidate_features(spark):
     assert 0.9 < a.dqdv_cosine_sim_c1c5_dis < 1.0
     assert a.dqv_norm_c5_c1_min < 0 and a.dqv_norm_c5_c1_var_log10 < 0
     assert got["b"].dqdv_peak_v_c5_dis is None
+
+
+def test_indexed_samples_open_few_files(spark, tmp_path):
+    rows = [(f"cell{k % 40:02d}" if k % 41 else None, k, k / 7) for k in range(4000)] + [("hot", k, 0.5) for k in range(4000)]
+    df = spark.createDataFrame(rows, "cell_name string, t long, v double").repartition(5)
+    written = writers.write_samples(df, str(tmp_path), "cell_name", ["t"], files=12)
+    assert written == 12
+    for names in (["cell07", "cell08", "none"], ["hot"], ["none"], ["cell00", "cell39", None]):
+        wanted = spark.createDataFrame([(n,) for n in [*names, names[0]]], "cell_name string")
+        got = readers.read_indexed_samples(spark, str(tmp_path), ["cell_name", "t", "v"], wanted, "cell_name", schema=df.schema)
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] is not None and r[0] in names)
+        opened = [f for f in got.inputFiles() if "/samples/" in f]
+        assert len(opened) <= (8 if "hot" in names else 3) and len(opened) < written
