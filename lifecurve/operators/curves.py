@@ -521,7 +521,8 @@ def _best_decay(samples: DataFrame, keys: Sequence[str], t: str, y: str, fast: S
     return each.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
-def _spread(limits: tuple[float, float], n: int) -> list[float]:
+def spread(limits: tuple[float, float], n: int) -> list[float]:
+    """Grid values of even ratio."""
     return [float(v) for v in np.geomspace(*limits, n)]
 
 
@@ -538,9 +539,9 @@ def decay_fit(
     )
     nf, ns, nb = coarse
     slow = F.array(
-        *[F.struct(F.lit(a).alias("tau"), F.lit(b).alias("beta")) for a in _spread(TAU_SLOW, ns) for b in _spread(BETA, nb)]
+        *[F.struct(F.lit(a).alias("tau"), F.lit(b).alias("beta")) for a in spread(TAU_SLOW, ns) for b in spread(BETA, nb)]
     )
-    best = _best_decay(kept, keys, t, y, [F.lit(v) for v in _spread(TAU_FAST, nf)], slow)
+    best = _best_decay(kept, keys, t, y, [F.lit(v) for v in spread(TAU_FAST, nf)], slow)
     ratios = [(TAU_FAST[1] / TAU_FAST[0]) ** (1 / (nf - 1)), (TAU_SLOW[1] / TAU_SLOW[0]) ** (1 / (ns - 1)), (BETA[1] / BETA[0]) ** (1 / (nb - 1))]
     for level in range(1, refine + 1):
         f, s, b = [r ** (0.5**level) for r in ratios]

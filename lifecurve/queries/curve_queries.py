@@ -317,11 +317,11 @@ def curve_status(t):
 
 
 def decay_samples(t):
-    """Waiting time until each later event of a user within its type: a decaying histogram."""
+    """Waiting time in minutes until each later event of a user within its type: a decaying histogram by the hour."""
     s = samples(t)
     o = arrange(s, ["user_id", "phase"], ["t", "event_id"], bound=t.rows("events"))
     gaps = o.frames(1, 0, gap=lambda w: F.col("t") - F.lag("t").over(w)).rows().where("gap is not null")
-    return gaps.groupBy("phase", (F.floor(F.col("gap") / 3600) * 3600.0).alias("wait")).agg(
+    return gaps.groupBy("phase", (F.floor(F.col("gap") / 3600) * 60.0).alias("wait")).agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )
 
@@ -330,7 +330,36 @@ def decay_rows(t):
     return curves.decay_fit(decay_samples(t), ["phase"], "wait", "n")
 
 
-@query("decay_grid_fit")
+def decay_sql(coarse: tuple[int, int, int] = (12, 12, 8), refine: int = 4) -> str:
+    """The grid fit in SQL: all candidates against all samples, amplitudes from the normal equations, level by level."""
+    listed = lambda values: ", ".join(f"('{v!r}'::DOUBLE)" for v in values)
+    limits = (curves.TAU_FAST, curves.TAU_SLOW, curves.BETA)
+    grids = [listed(curves.spread(li, n)) for li, n in zip(limits, coarse, strict=True)]
+    ratios = [(li[1] / li[0]) ** (1 / (n - 1)) for li, n in zip(limits, coarse, strict=True)]
+    parts = [
+        """g AS (SELECT event_type AS phase, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts), event_id) AS gap FROM events),
+    p AS (SELECT phase, floor(gap / 3600) * 60.0::DOUBLE AS t, count(*)::DOUBLE AS y FROM g WHERE gap IS NOT NULL GROUP BY 1, 2)""",
+        f"c0 AS (SELECT phase, tf, ts, beta FROM (SELECT DISTINCT phase FROM p), (VALUES {grids[0]}) a(tf), (VALUES {grids[1]}) b(ts), (VALUES {grids[2]}) c(beta))",
+    ]
+    for level in range(refine + 1):
+        if level:
+            around = [listed([f**-2, 1 / f, 1.0, f, f**2]) for f in (r ** (0.5**level) for r in ratios)]
+            held = lambda c, m, li: f"greatest(least({c} * {m}, {li[1]!r}::DOUBLE), {li[0]!r}::DOUBLE)"
+            cells = ", ".join(f"{held(c, m, li)} AS {c}" for c, m, li in zip(("tf", "ts", "beta"), ("m1", "m2", "m3"), limits, strict=True))
+            parts.append(f"c{level} AS (SELECT DISTINCT phase, {cells} FROM b{level - 1}, (VALUES {around[0]}) a(m1), (VALUES {around[1]}) b(m2), (VALUES {around[2]}) c(m3))")
+        parts.append(f"""s{level} AS (SELECT phase, tf, ts, beta, count(*) AS n, sum(y) AS y1, sum(y * y) AS yy, sum(f * f) AS ff, sum(s * s) AS ss, sum(f * s) AS fs, sum(f * y) AS fy, sum(s * y) AS sy
+      FROM (SELECT c.*, p.y, exp(-p.t / c.tf) AS f, exp(-power(p.t / c.ts, c.beta)) AS s FROM c{level} c JOIN p USING (phase)) GROUP BY 1, 2, 3, 4),
+    a{level} AS (SELECT *, (fy * ss - sy * fs) / nullif(ff * ss - fs * fs, 0) AS af, (sy * ff - fy * fs) / nullif(ff * ss - fs * fs, 0) AS sa FROM s{level}),
+    b{level} AS (SELECT *, yy - af * fy - sa * sy AS sse FROM a{level} WHERE af >= 0 AND sa >= 0 AND tf < ts QUALIFY row_number() OVER (PARTITION BY phase ORDER BY yy - af * fy - sa * sy, tf, ts, beta) = 1)""")
+    inside = " AND ".join(f"{c} > {li[0] + curves.BOUND_GAP!r} AND {c} < {li[1] - curves.BOUND_GAP!r}" for c, li in zip(("tf", "ts", "beta"), limits, strict=True))
+    return "WITH " + ",\n    ".join(parts) + f""",
+    r AS (SELECT q.phase, q.n_samples, tf, ts, beta, af / nullif(af + sa, 0) * 100 AS frac, 1 - sse / nullif(yy - y1 * y1 / n, 0) AS r2 FROM (SELECT phase, count(*) AS n_samples FROM p GROUP BY 1) q LEFT JOIN b{refine} b USING (phase)),
+    k AS (SELECT *, coalesce({inside} AND frac > 0 AND frac < 100, false) AS ok FROM r)
+    SELECT phase, n_samples, round(tf, 4) AS tau_fast, round(ts, 4) AS tau_slow, round(frac, 4) AS "A_fast_frac", round(beta, 4) AS beta, round(r2, 4) AS r_squared, ok AS success,
+      CASE WHEN tf IS NULL THEN 'non-converged' WHEN NOT ok THEN 'pinned-to-bound' ELSE '' END AS error_msg FROM k"""
+
+
+@query("decay_grid_fit", decay_sql())
 def decay_grid_fit(t):
     out = decay_rows(t)
     return out.select(
