@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.llm.common import add_row, map_slices, materialize, open_folder, put_file, slices, texts, work_path
+from lifecurve.llm.common import map_slices, materialize, numbered_once, open_folder, put_file, slices, texts, without_leftovers, work_path
 from lifecurve.llm.simhash import LOWER
 
 BUCKET_DIGESTS = 250_000
@@ -119,15 +119,16 @@ class Bucket:
         return slots, member
 
 
-def digest_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row, doc_id, digest) of every row, written once."""
+def digest_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(_row, doc_id, digest) of every row, written once; ``row_col`` has the rows' numbers if they have been given."""
 
     def run(batches):
         for part in slices(batches):
             found = [hashlib.sha256(t.encode().translate(LOWER)).digest() for t in texts(part, "text")]
             yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(found, pa.binary())], names=["_row", "doc_id", "digest"])
 
-    rows = add_row(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("_row"))
     return materialize(map_slices(rows, run, "_row long, doc_id long, digest binary"))
 
 
@@ -212,14 +213,14 @@ def look_up(rows: DataFrame, folder: str, count: int) -> DataFrame:
     return materialize(map_slices(dealt, run, "_row long, doc_id long, digest binary, member boolean, keep_id long, keep_row long, group_size long"))
 
 
-def dedup(docs: DataFrame, history: DataFrame | None = None, **columns) -> DataFrame:
+def dedup(docs: DataFrame, history: DataFrame | None = None, *, row_col: str | None = None, **columns) -> DataFrame:
     """(_row, doc_id, digest, member, keep_id, keep_row, group_size, kept) of every row of ``docs``.
 
     ``history``: documents seen before; what they hold is a repeat and goes (member, not kept), the rest is
     grouped among itself. None: the documents are their own history.
     """
     folder = work_path(docs.sparkSession, "mph")
-    rows = digest_rows(docs, **columns)
+    rows = digest_rows(docs, row_col=row_col, **columns)
     past = rows if history is None else digest_rows(history, **columns)
     found = look_up(rows, folder, build_index(_distinct(past), folder))
     own = F.lit(history is None)
@@ -229,7 +230,9 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, **columns) -> DataF
     return members.unionByName(new.join(groups, "digest").withColumn("kept", F.col("_row") == F.col("keep_row")))
 
 
+@without_leftovers
 def one_of_each(docs: DataFrame, history: DataFrame | None = None, **columns) -> DataFrame:
     """The documents that ``dedup`` keeps."""
-    stay = dedup(docs, history, **columns).where("kept").select(F.col("_row").alias("_op10_row"))
-    return add_row(docs, "_op10_row").join(stay, "_op10_row", "left_semi").drop("_op10_row")
+    numbered, row = numbered_once(docs, "_op10_row")
+    stay = dedup(numbered, history, row_col=row, **columns).where("kept").select(F.col("_row").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)

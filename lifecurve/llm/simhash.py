@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifecurve.llm.common import add_row, map_slices, materialize, slices, texts
+from lifecurve.llm.common import map_slices, materialize, numbered_once, slices, texts, without_leftovers
 from lifecurve.llm.components import components
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprint(text: str, words_each: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashed), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(_row, doc_id, fp) of every row; fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
@@ -73,7 +73,8 @@ def fingerprints(docs: DataFrame, *, words_each: int = 3, id_col: str = "doc_id"
             fps = np.array([fingerprint(t, words_each) for t in texts(part, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(fps)], names=["_row", "doc_id", "fp"])
 
-    rows = add_row(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("_row"))
     return map_slices(rows, run, "_row long, doc_id long, fp long")
 
 
@@ -206,12 +207,12 @@ def links(fps: DataFrame, max_distance: int = 2, pair_limit: int = PAIR_LIMIT) -
     return near.union(starred)
 
 
-def near_duplicates(docs: DataFrame, *, max_distance: int = 2, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, max_distance: int = 2, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(_row, doc_id, fp, component_id, first_row) of every row.
 
     component_id: the smallest doc_id reachable over links; first_row: the row that has it.
     """
-    rows = materialize(fingerprints(docs, words_each=words_each, id_col=id_col, text_col=text_col))
+    rows = materialize(fingerprints(docs, words_each=words_each, id_col=id_col, text_col=text_col, row_col=row_col))
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     fps = materialize(rows.groupBy("fp").agg(lowest.alias("low")))
     roots = components(links(fps.select("fp"), max_distance)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
@@ -226,11 +227,13 @@ def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+@without_leftovers
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents without those near an earlier one: the first row of each component stays."""
-    found = near_duplicates(docs, **options)
-    stay = found.where(F.col("_row") == F.col("first_row")).select(F.col("_row").alias("_op4_row"))
-    return add_row(docs, "_op4_row").join(stay, "_op4_row", "left_semi").drop("_op4_row")
+    numbered, row = numbered_once(docs, "_op4_row")
+    found = near_duplicates(numbered, row_col=row, **options)
+    stay = found.where(F.col("_row") == F.col("first_row")).select(F.col("_row").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)
 
 
 __all__ = ["allocate", "fingerprint", "fingerprints", "group_bits", "hex16", "links", "near_duplicates", "one_of_each", "plan", "shingles"]

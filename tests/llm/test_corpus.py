@@ -304,5 +304,5 @@ def test_pipeline(spark, folder, rows):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
