@@ -5,8 +5,11 @@ letters is one blank), hashed to ``dims`` places: log(1 + count) times inverse d
 length one. Document frequencies are counted over all learning rows. For each language a bounded sample of
 ``fit_rows`` learning rows (those whose ids hash lowest) is clustered into ``clusters`` centroids by spherical
 k-means in a task of its own. A text has the language of the centroid with the largest cosine; its score is
-that cosine. A text is rejected if its cosine lies under half the least one of a full text (``FULL_CHARS``
-characters) in the sample; for shorter texts, whose few n-grams are less alike, under their part of that.
+that cosine. A text is rejected if its cosine lies under the floor of its language and length: for each class of
+lengths (doubling from ``SHORTEST`` characters) windows of the sample are compared with their language's centroids, and
+the floor is ``FLOOR_PART`` of the ``FLOOR_SHARE`` quantile, so no single odd row moves it. A text shorter than all
+classes has its part of the first floor. Texts of which under ``LEAST_LETTERS`` of the visible bytes are letters (hex dumps,
+tables of numbers) are rejected too, from ``FULL_CHARS`` characters on: their few letters say nothing about a language.
 
 The model has languages x clusters x dims numbers whatever the corpus; it is the only thing that the driver
 gathers. Odd input: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is any text
@@ -15,6 +18,7 @@ out nor learnt from; repeated rows are repeated; other columns are ignored.
 """
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +33,10 @@ DIMS = 4096
 FIT_ROWS = 400
 CLUSTERS = 4
 FULL_CHARS = 64
+#: Classes of length, and the floor of each.
+SHORTEST, CLASSES = 12, 8
+FLOOR_SHARE, FLOOR_PART, FLOOR_ROWS = 0.01, 0.65, 10
+LEAST_LETTERS = 0.45
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of the n-grams: lower-case ASCII letters and everything beyond ASCII; the rest is blank.
 FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -78,12 +86,12 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids (one row each) with their languages, and the least cosine accepted for a full text."""
+    """Centroids (one row each) with their languages, and per centroid the least cosine accepted in each class of length."""
 
     idf: np.ndarray
     langs: list[str]
     centroids: np.ndarray
-    floor: float
+    floors: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and rejections."""
@@ -96,12 +104,43 @@ class Model:
             best = np.argmax(cosine, axis=1)
             score = np.clip(cosine[np.arange(len(some)), best], 0.0, 1.0)
             scores[some] = score
-            rejected[some] = score < self.floor * np.minimum(1.0, np.array([len(t) for t in mine]) / FULL_CHARS)
+            sizes = np.array([len(t) for t in mine])
+            least = self.floors[best, np.clip(length_class(sizes), 0, CLASSES - 1)] * np.minimum(1.0, sizes / SHORTEST)
+            rejected[some] = (score < least) | ((sizes >= FULL_CHARS) & (letter_share(mine) < LEAST_LETTERS))
             for k, b in zip(some, best.tolist(), strict=True):
                 langs[k] = self.langs[b]
         return langs, scores, rejected
 
 
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """How often a length has doubled since ``SHORTEST``."""
+    return np.floor(np.log2(np.maximum(sizes, 1) / SHORTEST) + 1e-9).astype(int)
+
+
+def letter_share(texts: list[str]) -> np.ndarray:
+    """Part of the visible bytes of each text that are letters (or beyond ASCII)."""
+    out = np.ones(len(texts))
+    for k, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        seen = np.count_nonzero(raw > 32)
+        out[k] = np.count_nonzero(((raw | 32) >= 97) & ((raw | 32) <= 122) | (raw >= 128)) / seen if seen else 1.0
+    return out
+
+
+def floors(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> list[float]:
+    """The least cosine accepted in each class of length: one window of each text that is long enough."""
+    out, last = [], 0.0
+    for k in range(CLASSES):
+        n = SHORTEST << k
+        windows = [t[(at := zlib.crc32(t.encode()) % (len(t) - n + 1)) : at + n] for t in texts if len(t) >= n]
+        windows = [w for w in windows if LETTER.search(w)]
+        if len(windows) >= FLOOR_ROWS:
+            nearest = np.concatenate([np.max(vectors(windows[at : at + AT_ONCE], idf) @ centroids.T, axis=1) for at in range(0, len(windows), AT_ONCE)])
+            last = FLOOR_PART * float(np.quantile(nearest, FLOOR_SHARE))
+        out.append(last)
+    return out
+
+
 def held_out(id_col: Column, folds: int = 5) -> Column:
     """True for the fold that is never learnt from."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -133,7 +172,7 @@ def fit(
     sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rates = {r["lang"]: min(1.0, (2.0 * fit_rows + 50) / r["n"]) for r in sizes.collect()}
     if not rates:
-        return Model(idf, [], np.zeros((0, dims), np.float32), 0.0)
+        return Model(idf, [], np.zeros((0, dims), np.float32), np.zeros((0, CLASSES)))
     rate = F.element_at(F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(v * (1 << 40)))]), F.col("lang"))
     near = learn.withColumn("mark", mark).where(F.col("mark") < rate)
     first = Window.partitionBy("lang").orderBy("mark", "doc_id", F.xxhash64("text"))
@@ -142,19 +181,17 @@ def fit(
     def centroids(key, table):
         texts = [t for t in table.column("text").to_pylist() if LETTER.search(t)]
         if not texts:
-            return pa.table({"lang": [], "centroid": [], "least": []}, schema=out)
+            return pa.table({"lang": [], "centroid": [], "floors": []}, schema=out)
         rows = vectors(texts, idf)
         found = cluster(rows, clusters)
-        nearest = np.max(rows @ found.T, axis=1)
-        full = nearest[[len(t) >= FULL_CHARS for t in texts]]
-        least = [float((full if full.size else nearest).min())] * len(found)
-        return pa.table({"lang": [key[0].as_py()] * len(found), "centroid": [c.astype("<f4").tobytes() for c in found], "least": least}, schema=out)
+        least = [floors(texts, idf, found)] * len(found)
+        return pa.table({"lang": [key[0].as_py()] * len(found), "centroid": [c.astype("<f4").tobytes() for c in found], "floors": least}, schema=out)
 
-    out = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("least", pa.float64())])
-    rows = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, least double").collect()
+    out = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("floors", pa.list_(pa.float64()))])
+    rows = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, floors array<double>").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
     found = np.array([np.frombuffer(r["centroid"], "<f4") for r in rows]).reshape(len(rows), dims)
-    return Model(idf, [r["lang"] for r in rows], found, min((r["least"] for r in rows), default=0.0) / 2)
+    return Model(idf, [r["lang"] for r in rows], found, np.array([r["floors"] for r in rows]).reshape(len(rows), CLASSES))
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
