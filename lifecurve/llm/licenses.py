@@ -391,11 +391,13 @@ def pieces(kept: DataFrame, model: Model, confirm_share: float) -> DataFrame:
         return F.aggregate(heavy, F.lit(0.0), lambda total, w: total + F.element_at(weight, w)) >= model.lead()
 
     def holding(ws):
-        known = F.array_intersect(ws, F.array(*map(F.lit, shares)))
-        add = lambda k: F.aggregate(known, F.lit(0.0), lambda total, w: total + F.element_at(share_of[k], w))
-        enough = (add(0) >= 1 - 1e-9) & (add(1) >= 1 - 1e-9)
-        some = F.filter(templates, lambda t: (t["kinds"] <= F.size(known)) & (F.size(F.array_intersect(t["words"], known)) >= t["kinds"]))
-        return F.when(enough, some).otherwise(F.array().cast(TEMPLATE_ARRAY))
+        def judged(known):
+            add = lambda k: F.aggregate(known, F.lit(0.0), lambda total, w: total + F.element_at(share_of[k], w))
+            some = F.filter(templates, lambda t: (t["kinds"] <= F.size(known)) & (F.size(F.array_intersect(t["words"], known)) >= t["kinds"]))
+            return F.when((add(0) >= 1 - 1e-9) & (add(1) >= 1 - 1e-9), some).otherwise(F.array().cast(TEMPLATE_ARRAY))
+
+        # As an element of an array the known words are found once, not for each template.
+        return F.get(F.transform(F.array(F.array_intersect(ws, F.array(*map(F.lit, shares)))), judged), 0)
 
     count = F.floor((F.size("said") + STEP - 1) / STEP).cast("int")
     cuts = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), cut))
