@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.functions.scalars import clip, transform_target
-from lifecurve.operators.ordered import arrange, join_same, spread_before_copies, with_single
+from lifecurve.operators.forests import moved_aucs, read_forest
+from lifecurve.operators.ordered import arrange, chunk_rows, join_same, spread_before_copies, with_single
 from lifecurve.operators.ranks import exact_quantiles, roc_auc
 from lifecurve.session import materialize
 
@@ -297,26 +298,40 @@ def bijections(n: int, repeats: int, features: Sequence[str], seed: int = 42) ->
     return out
 
 
+def _joined_aucs(wide: DataFrame, model: PipelineModel, label: str, features: Sequence[str], maps: list[tuple[int, str, int, int]], n: int) -> DataFrame:
+    """(_rep, _feature, auc): the model scores every row with every permuted value."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(f).cast("double").alias("_value")) for f in features])
+    narrow = spread_before_copies(wide.select("_no", pairs.alias("_pairs")), "_no").select("_no", F.inline("_pairs"))
+    table = wide.sparkSession.createDataFrame(maps, "_rep int, _feature string, _a long, _b long")
+    moved = narrow.join(table, "_feature").select("_rep", "_feature", ((F.col("_a") * F.col("_no") + F.col("_b")) % max(n, 1)).alias("_no"), "_value")
+    mixed = moved.join(wide, "_no").withColumns(
+        {f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f)) for f in features}
+    )
+    scored = positive_probability(model.transform(mixed))
+    return roc_auc(scored, ["_rep", "_feature"], label, "proba", bound=n)
+
+
 def permutation_importance(df: DataFrame, model: PipelineModel, entity: str, label: str, features: Sequence[str], *, repeats: int = 30, seed: int = 42, bound: int | None = None) -> DataFrame:
     """Drop of AUC when one feature is permuted: mean and population std over repeats.
 
     Rows are numbered once, in a random order (md5 of seed and entity). Per (repeat, feature) a keyed bijection of the
-    numbers says which row gets a row's value, so the permuted values come by an equi join on the number: the only
-    ordering is that of the rows, over the whole table at every size. Entities are unique.
+    numbers says which row gets a row's value; the only ordering is that of the rows, over the whole table at every size.
+    A forest behind an assembler of the features is scored by codes (``forests``), where only packed codes and scores are
+    shuffled; for any other model the permuted values come by an equi join on the number. Entities are unique.
     """
     wide = arrange(df.withColumn("_h", seeded_order(seed, entity)), [], ["_h", entity], bound=bound).position("_no").rows()
     wide = materialize(wide.drop("_h").withColumn("_no", F.col("_no") - 1))
     n = wide.count()
-    pairs = F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(f).cast("double").alias("_value")) for f in features])
-    narrow = spread_before_copies(wide.select("_no", pairs.alias("_pairs")), "_no").select("_no", F.inline("_pairs"))
-    maps = df.sparkSession.createDataFrame(bijections(n, repeats, features, seed), "_rep int, _feature string, _a long, _b long")
-    moved = narrow.join(maps, "_feature").select("_rep", "_feature", ((F.col("_a") * F.col("_no") + F.col("_b")) % max(n, 1)).alias("_no"), "_value")
-    mixed = moved.join(wide, "_no").withColumns(
-        {f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f)) for f in features}
-    )
-    scored = positive_probability(model.transform(mixed))
-    per = roc_auc(scored, ["_rep", "_feature"], label, "proba", bound=n)
-    base = roc_auc(positive_probability(model.transform(df)), [], label, "proba", bound=n).withColumnRenamed("auc", "_base")
+    maps = bijections(n, repeats, features, seed)
+    scored = positive_probability(model.transform(df))
+    base = roc_auc(scored, [], label, "proba", bound=n).withColumnRenamed("auc", "_base")
+    forest = read_forest(model, features)
+    if forest is not None:
+        ranges = math.ceil(n / chunk_rows(df.sparkSession))
+        edges = scored.agg(F.percentile_approx("proba", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
+        per = moved_aucs(wide, forest, label, features, maps, n, sorted(set(edges)))
+    else:
+        per = _joined_aucs(wide, model, label, features, maps, n)
     return (
         with_single(per, base)
         .withColumn("_drop", F.col("_base") - F.col("auc"))

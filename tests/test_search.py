@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lifecurve.operators import learn, rollup, search
+from lifecurve.operators import forests, learn, rollup, search
 
 RATES, PENALTIES, ROUNDS, BINS = (0.2, 0.6), (1.0, 20.0), 6, 5
 
@@ -216,3 +216,28 @@ def test_importance_equals_brute_force(spark, layout):
         assert got[f] == pytest.approx((np.mean(drops), np.std(drops)), abs=1e-9)
     both = learn.importance_table(model, ["x", "z"], learn.permutation_importance(df, model, "e", "y", ["x", "z"], repeats=1))
     assert both.columns == ["feature", "native", "importance_mean", "importance_std"] and both.count() == 2
+
+
+def test_importance_by_codes_equals_the_join(spark, monkeypatch):
+    """Scores by codes are those of the model, in blocks and ranges that cut the rows; nothing but codes and scores is shuffled."""
+    rnd = np.random.default_rng(8)
+    rows = [(k, *(float(v) for v in rnd.integers(0, 40, 3) / 7)) for k in range(150)]
+    rows = [(k, int(x + z > 5 + rnd.integers(0, 3)), x, z, w) for k, x, z, w in rows]
+    df = spark.createDataFrame(rows, "e long, y int, x double, z double, w double").repartition(3)
+    model = learn.model_pipeline(["x", "z", "w"], learn.forest_classifier("y", trees=9, depth=4), None).fit(df)
+    forest = forests.read_forest(model, ["x", "z", "w"])
+    codes = forest.codes([np.array([r[c] for r in rows]) for c in (2, 3, 4)])
+    said = {r.e: r.proba for r in learn.positive_probability(model.transform(df)).collect()}
+    assert forest.moved_scores(codes, 0, codes[:1]).tolist() == [[said[r[0]] for r in rows]]
+    joined = {}
+    with monkeypatch.context() as m:
+        m.setattr(learn, "read_forest", lambda *a: None)
+        joined = {r.feature: r for r in learn.permutation_importance(df, model, "e", "y", ["x", "z", "w"], repeats=4).collect()}
+    monkeypatch.setattr(learn, "_joined_aucs", lambda *a: pytest.fail("rows joined"))
+    monkeypatch.setattr(forests.moved_aucs, "__kwdefaults__", {"block": 64})
+    spark.conf.set("lifecurve.chunkRows", "40")
+    got = learn.permutation_importance(df, model, "e", "y", ["x", "z", "w"], repeats=4).collect()
+    spark.conf.unset("lifecurve.chunkRows")
+    assert len(got) == 3
+    for r in got:
+        assert (r.importance_mean, r.importance_std) == pytest.approx((joined[r.feature].importance_mean, joined[r.feature].importance_std), abs=1e-12)
