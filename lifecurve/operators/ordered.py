@@ -79,6 +79,19 @@ def spread_before_copies(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(n, *by)
 
 
+#: Rows that are worth a task of their own where each row is much work.
+SPREAD_ROWS = 1024
+
+
+def spread_evenly(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Rows over as many partitions as ``rows`` are worth, at most the shuffle partitions.
+
+    Ordered steps and small joins leave rows in few partitions, sometimes one per key; costly work per row comes after.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(n, math.ceil(rows / SPREAD_ROWS))), *by)
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows with keys and an order; ``chunk`` is set when keys are split over chunks."""

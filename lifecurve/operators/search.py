@@ -5,6 +5,8 @@ decides which rows weigh; nothing is copied per job. The model is additive over
 bin of its own) and is boosted component-wise: each round, each job gets the sums of gradients and curvatures per
 (feature, bin), takes the feature with the greatest gain, and adds a damped Newton step to that feature's bins.
 
+* The matrix is dealt to many partitions before it is written, as every pass reads it again. Features are counted in pairs:
+  one sum per pair of codes gives the sums of both.
 * A pass emits one row of sums per job and partition; they are summed by job and only the totals reach the driver,
   which holds the jobs' small models (jobs x rounds x bins numbers).
 * Between rungs the parameters that score worse on the inner folds are stopped, per (seed, outer fold).
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.operators.learn import seeded_order
-from lifecurve.operators.ordered import arrange
+from lifecurve.operators.ordered import arrange, spread_evenly
 from lifecurve.session import materialize
 
 WHOLE = -1
@@ -47,10 +49,14 @@ class Job:
     start: float = 0.0
     terms: list[tuple[int, np.ndarray]] = field(default_factory=list)
 
-    def raw(self, codes: np.ndarray) -> np.ndarray:
-        out = np.full(len(codes), self.start)
+    def raw(self, columns: np.ndarray) -> np.ndarray:
+        """The sum of all terms for codes by feature (features x rows); the terms of a feature are one table."""
+        tables: dict[int, np.ndarray] = {}
         for feature, steps in self.terms:
-            out += steps[codes[:, feature]]
+            tables[feature] = tables[feature] + steps if feature in tables else steps
+        out = np.full(columns.shape[1], self.start)
+        for feature, steps in tables.items():
+            out += steps.take(columns[feature])
         return out
 
 
@@ -90,9 +96,10 @@ def fold_table(df: DataFrame, entity: str, label: str, seeds: Sequence[int], out
     return per.join(inners.unionByName(tested).groupBy(entity).agg(listed("_s", "_k", "_i").alias("inner")), entity)
 
 
-def binned_matrix(df: DataFrame, entity: str, label: str, features: str, folds: DataFrame, bins: int = BINS) -> DataFrame:
+def binned_matrix(df: DataFrame, entity: str, label: str, features: str, folds: DataFrame, bins: int = BINS, *, bound: int | None = None) -> DataFrame:
     """(entity, label, outer, inner, codes), written once: a byte per feature, the last bin of each for missing values."""
     edges = bin_edges(df, features, bins)
+    rows = df.count() if bound is None else bound
 
     def code(batches):
         for batch in batches:
@@ -110,27 +117,48 @@ def binned_matrix(df: DataFrame, entity: str, label: str, features: str, folds:
     both = df.select(entity, F.col(features).cast("array<double>").alias("_x")).join(folds, entity)
     both = both.select(entity, F.col(label).cast("int").alias(label), "outer", "inner", "_x")
     kind = dict(both.dtypes)[entity]
+    both = spread_evenly(both, rows, entity)
     return materialize(both.mapInArrow(code, f"`{entity}` {kind}, `{label}` int, outer array<int>, inner array<int>, codes binary"))
 
 
 class _Rows:
-    """A batch of the matrix as arrays."""
+    """A batch of the matrix as arrays; ``columns`` has the codes by feature."""
 
     def __init__(self, batch: pa.RecordBatch, label: str):
         n = batch.num_rows
         self.y = batch.column(label).to_numpy().astype(float)
         fold = lambda c: np.array(batch.column(c).to_pylist(), np.int64).reshape(n, -1)
         self.outer, self.inner = fold("outer"), fold("inner")
-        self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(n, -1)
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(n, -1)
+        self.columns = np.ascontiguousarray(codes.T).astype(np.intp)
 
-    def fold_of(self, job: Job, seeds: Sequence[int], n_outer: int) -> np.ndarray:
-        """The job's fold of each row: -1 tested outside, else the inner fold."""
-        return self.inner[:, list(seeds).index(job.seed) * n_outer + job.outer]
+    def pairs(self, bins: int) -> np.ndarray:
+        """One code for every two features; a last one without a partner stands with bin 0."""
+        there = self.columns if len(self.columns) % 2 == 0 else np.vstack([self.columns, np.zeros_like(self.columns[:1])])
+        return there[::2] * (bins + 1) + there[1::2]
 
 
-def _sums(matrix: DataFrame, label: str, jobs: list[Job], seeds: Sequence[int], n_outer: int, bins: int) -> dict[int, np.ndarray]:
-    """Per job: [rows, positives, log loss and confusion counts of the inner fold (tp, fp, fn, n), then gradients and curvatures per bin]."""
+def _fold_column(job: Job, seeds: Sequence[int], n_outer: int) -> int:
+    """The column of ``inner`` with the job's fold of each row: -1 tested outside, else the inner fold."""
+    return list(seeds).index(job.seed) * n_outer + job.outer
+
+
+def _cells(pairs: Sequence[np.ndarray], weights: Sequence[np.ndarray], width: int, bins: int) -> np.ndarray:
+    """Sums of each weight per (feature, bin) from sums per pair of codes."""
+    size = bins + 1
+    joint = np.array([[np.bincount(at, w, size * size) for at in pairs] for w in weights]).reshape(len(weights), -1, size, size)
+    return np.stack([joint.sum(axis=3), joint.sum(axis=2)], axis=2).reshape(len(weights), -1, size)[:, :width]
+
+
+def _sums(matrix: DataFrame, label: str, jobs: list[Job], seeds: Sequence[int], n_outer: int, bins: int, *, scored: bool = True, stepped: bool = True) -> dict[int, np.ndarray]:
+    """Per job: [rows, positives, log loss and confusion counts of the inner fold (tp, fp, fn, n), then gradients and curvatures per bin].
+
+    The counts of the inner fold are zero unless ``scored``; there are no gradients unless ``stepped``.
+    """
     head = 7
+    by_fold: dict[tuple[int, int], list[int]] = {}
+    for no, job in enumerate(jobs):
+        by_fold.setdefault((_fold_column(job, seeds, n_outer), job.inner), []).append(no)
 
     def run(batches):
         held: list[np.ndarray | None] = [None] * len(jobs)
@@ -138,21 +166,22 @@ def _sums(matrix: DataFrame, label: str, jobs: list[Job], seeds: Sequence[int],
             if not batch.num_rows:
                 continue
             rows = _Rows(batch, label)
-            width = rows.codes.shape[1]
-            flat = rows.codes.astype(np.int64) + np.arange(width) * (bins + 1)
-            for no, job in enumerate(jobs):
-                fold = rows.fold_of(job, seeds, n_outer)
-                learn, test = (fold >= 0) & (fold != job.inner), (fold >= 0) & (fold == job.inner)
-                p = 1 / (1 + np.exp(-job.raw(rows.codes)))
-                out = np.zeros(head + 2 * width * (bins + 1))
-                y, q = rows.y[test], np.clip(p[test], 1e-15, 1 - 1e-15)
-                says = q >= 0.5
-                out[:head] = [learn.sum(), rows.y[learn].sum(), -(y * np.log(q) + (1 - y) * np.log1p(-q)).sum(), (says * y).sum(), (says * (1 - y)).sum(), (~says * y).sum(), len(y)]
-                at = flat[learn].ravel()
-                for k, each in enumerate(((rows.y - p)[learn], (p * (1 - p))[learn])):
-                    cells = np.bincount(at, np.repeat(each, width), width * (bins + 1))
-                    out[head + k * len(cells) : head + (k + 1) * len(cells)] = cells
-                held[no] = out if held[no] is None else held[no] + out
+            width, joint = len(rows.columns), rows.pairs(bins)
+            for (column, inner), nos in by_fold.items():
+                fold = rows.inner[:, column]
+                learn, test = np.flatnonzero((fold >= 0) & (fold != inner)), np.flatnonzero((fold >= 0) & (fold == inner))
+                at = [each[learn] for each in joint] if stepped else []
+                for no in nos:
+                    out = np.zeros(head + (2 * width * (bins + 1) if stepped else 0))
+                    out[:2] = [len(learn), rows.y[learn].sum()]
+                    p = 1 / (1 + np.exp(-jobs[no].raw(rows.columns))) if scored or stepped else None
+                    if scored:
+                        y, q = rows.y[test], np.clip(p[test], 1e-15, 1 - 1e-15)
+                        says = q >= 0.5
+                        out[2:head] = [-(y * np.log(q) + (1 - y) * np.log1p(-q)).sum(), (says * y).sum(), (says * (1 - y)).sum(), (~says * y).sum(), len(y)]
+                    if stepped:
+                        out[head:] = _cells(at, [(rows.y - p)[learn], (p * (1 - p))[learn]], width, bins).ravel()
+                    held[no] = out if held[no] is None else held[no] + out
         if any(h is not None for h in held):
             yield pa.RecordBatch.from_arrays([pa.array(range(len(jobs)), pa.int32()), pa.array([h.tolist() for h in held], pa.list_(pa.float64()))], names=["job", "sums"])
 
@@ -210,19 +239,19 @@ def nested_search(
     seeds = list(seeds)
     df = df.where(F.col(label).isNotNull())
     copies = None if bound is None else bound
-    matrix = binned_matrix(df, entity, label, features, fold_table(df, entity, label, seeds, outer, inner, bound=copies), bins)
+    matrix = binned_matrix(df, entity, label, features, fold_table(df, entity, label, seeds, outer, inner, bound=copies), bins, bound=bound)
     jobs = [Job(s, k, i, r, p) for s in seeds for k in range(outer) for r, p in grid for i in (*range(inner), WHOLE)]
     scores: dict[tuple, float] = {}
     stops = sorted({r for r in rungs if 0 < r < rounds} | {rounds})
     for done in range(rounds + 1):
-        sums = _sums(matrix, label, jobs, seeds, outer, bins)
+        if done == 0:
+            first = _sums(matrix, label, jobs, seeds, outer, bins, scored=False, stepped=False)
+            for no, at in first.items():
+                n, positive = at[:2]
+                jobs[no].start = math.log((positive + 0.5) / (n - positive + 0.5))
+        sums = _sums(matrix, label, jobs, seeds, outer, bins, scored=done in stops, stepped=done < rounds)
         if not sums:
             break
-        if done == 0:
-            for no, job in enumerate(jobs):
-                n, positive = sums[no][:2]
-                job.start = math.log((positive + 0.5) / (n - positive + 0.5))
-            sums = _sums(matrix, label, jobs, seeds, outer, bins)
         if done in stops:
             scores = _mean_scores(jobs, sums, optimize)
             running = _best(scores, seeds, outer, grid, kept if done < rounds else 0.0)
@@ -266,8 +295,8 @@ def _outer_scores(matrix: DataFrame, entity: str, label: str, whole: list[Job],
                 continue
             rows = _Rows(batch, label)
             for job in whole:
-                there = np.flatnonzero(rows.fold_of(job, seeds, n_outer) < 0)
-                p = 1 / (1 + np.exp(-job.raw(rows.codes[there])))
+                there = np.flatnonzero(rows.inner[:, _fold_column(job, seeds, n_outer)] < 0)
+                p = 1 / (1 + np.exp(-job.raw(rows.columns[:, there])))
                 take = lambda c: batch.column(c).take(pa.array(there))
                 n = len(there)
                 yield pa.RecordBatch.from_arrays([take(entity), take(label), pa.array([job.seed] * n, pa.int64()), pa.array([job.outer] * n, pa.int32()), pa.array(p)], names=[entity, label, "seed", "fold", "proba"])

@@ -241,3 +241,22 @@ def test_importance_by_codes_equals_the_join(spark, monkeypatch):
     assert len(got) == 3
     for r in got:
         assert (r.importance_mean, r.importance_std) == pytest.approx((joined[r.feature].importance_mean, joined[r.feature].importance_std), abs=1e-12)
+
+
+# -- work that has to spread, and draws
+
+
+def test_matrix_of_the_search_is_spread(spark):
+    df = spark.createDataFrame(table(n=3000), "e long, y int, x array<double>").repartition(1)
+    matrix = search.binned_matrix(df, "e", "y", "x", search.fold_table(df, "e", "y", (1,), 3, 3), BINS)
+    assert len(matrix.inputFiles()) == 3 and matrix.count() == 3000
+
+
+def test_pairs_of_features_give_the_sums_of_each():
+    rnd = np.random.default_rng(2)
+    codes, g = rnd.integers(0, BINS + 1, (5, 70)), rnd.normal(size=70)
+    pairs = [codes[0] * 6 + codes[1], codes[2] * 6 + codes[3], codes[4] * 6]
+    cells = search._cells(pairs, [g, g * g], 5, BINS)
+    assert cells.shape == (2, 5, 6)
+    for f in range(5):
+        assert cells[0, f] == pytest.approx(np.bincount(codes[f], g, 6)) and cells[1, f] == pytest.approx(np.bincount(codes[f], g * g, 6))
