@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lifecurve.functions.scalars import finite
 from lifecurve.operators.ordered import arrange, fits, join_same, spread_before_copies, with_single
 from lifecurve.operators.ranks import exact_quantiles
+from lifecurve.session import materialize
 
 # Fixed values.
 ZSCORE_FLOOR = 1e-12
@@ -413,17 +414,52 @@ def block_draws(mark: int, n: int, block: int, replicates: int, block_rows: int
     return draws
 
 
+#: Draws that are worked on at once: few enough for a core's cache.
+DRAWS_AT_ONCE = 1 << 15
+
+
+def _reduce(x: np.ndarray, spare: np.ndarray) -> None:
+    """x modulo 2^31 - 1 in place, for x below 2^62: the high bits are added to the low ones, without a division."""
+    np.right_shift(x, 31, out=spare)
+    x &= _PRIME
+    x += spare
+    np.subtract(x, _PRIME, out=spare)  # wraps to a large number where x is small enough
+    np.minimum(x, spare, out=x)
+
+
 def block_sums(mark: int, n: int, block: int, values: np.ndarray, replicates: int, block_rows: int = BOOTSTRAP_BLOCK) -> np.ndarray:
-    """Sum of the values drawn from a block in every replicate."""
-    draws, out = block_draws(mark, n, block, replicates, block_rows), np.empty(replicates)
-    step = max(1, (1 << 20) // max(1, int(draws.max(initial=1))))
+    """Sum of the values drawn from a block in every replicate.
+
+    The draws are those of ``draw_hash`` for the mark and block: its first step once per replicate, the others for a few
+    replicates at once, in place.
+    """
+    draws, out = block_draws(mark, n, block, replicates, block_rows), np.zeros(replicates)
+    first = (np.arange(1, replicates + 1, dtype=np.int64) * _MIX[0] + (mark + block)) % _PRIME
+    first = (((first ^ (first >> 13)) * _MIX[1]) % _PRIME).astype(np.uint64)
+    slots = np.arange(1, int(draws.max(initial=0)) + 1, dtype=np.uint64)
+    step = max(1, DRAWS_AT_ONCE // max(1, len(slots)))
     for at in range(0, replicates, step):
         k = draws[at : at + step]
-        ends = np.cumsum(k)
-        slots = np.arange(ends[-1]) - np.repeat(ends - k, k)
-        reps = np.repeat(np.arange(at + 1, at + 1 + len(k)), k)
-        picked = values[draw_hash(mark + block, reps, slots + 1) % len(values)]
-        out[at : at + step] = np.bincount(reps - at - 1, picked, len(k))
+        width = int(k.max())
+        if not width:
+            continue
+        x = first[at : at + step, None] + slots[:width]
+        spare = np.empty_like(x)
+        _reduce(x, spare)
+        for shift, factor, more in ((17, _MIX[2], 1), (11, _MIX[0], 0)):
+            np.right_shift(x, shift, out=spare)
+            x ^= spare
+            x *= factor
+            x += more
+            _reduce(x, spare)
+        np.floor_divide(x, len(values), out=spare)
+        spare *= len(values)
+        x -= spare
+        picked = values.take(x.view(np.int64)).ravel()
+        starts = np.arange(len(k)) * width
+        ends = np.stack([starts, starts + k], axis=1).ravel()
+        sums = np.add.reduceat(picked, ends[:-1] if ends[-1] == len(picked) else ends)[::2]
+        out[at : at + step] = np.where(k > 0, sums, 0.0)
     return out
 
 
@@ -445,8 +481,9 @@ def bootstrap_mean_ci(
     key's n draws are its own, ``draw_hash`` which rows), so no draw is shuffled: a block gives one sum per replicate,
     and blocks are added on the map side. A key with very many rows is as many blocks as it needs.
     """
-    o = arrange(df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("_v")), keys, order, bound=bound)
-    rows = o.position("_i").rows()
+    # Written once: counting the keys, the numbers and the sizes would each run what leads to the rows again.
+    known = materialize(df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("_v")))
+    rows = arrange(known, keys, order, bound=bound).position("_i").rows()
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     mark = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
