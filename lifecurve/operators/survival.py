@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifecurve.operators.metrics import ratio_or_zero
-from lifecurve.operators.ordered import arrange, join_on, join_same, spread_before_copies
+from lifecurve.operators.ordered import arrange, chunk_rows, join_on, join_same, spread_before_copies
 from lifecurve.operators.ranks import auc_from_counts, exact_quantiles, roc_auc, score_counts
 
 
@@ -89,6 +91,7 @@ def concordance(
     *,
     min_events: int = 2,
     ranked: bool = False,
+    many_keys: bool = False,
     bound: int | None = None,
 ) -> DataFrame:
     """Harrell's concordance per key, without forming pairs.
@@ -100,8 +103,12 @@ def concordance(
     digit, so each comparable pair meets in exactly one (digit, prefix) node, the earlier row on the
     zero side. Per node one running sum over risk counts the pairs: n log n rows, no pair list, and
     the running sum splits big nodes over chunks. ``ranked``: the rows come from ``time_ranks`` by some of the keys.
+    ``many_keys``: there are enough keys to spread the work (blends); where ``bound`` proves that each fits one task,
+    only the rows are shuffled, once, and the nodes of a key are counted where its rows meet (``pairs_of_key``).
     """
     rows = df if ranked else time_ranks(df, keys, time, event, bound=bound)
+    if many_keys and keys and bound is not None and bound <= chunk_rows(df.sparkSession):
+        return _concordance_of_keys(rows, keys, event, risk, min_events)
     rows = rows.where(F.col("_rank").isNotNull() & F.col(risk).isNotNull()).groupBy(
         *keys, "_rank", "_top", F.when(_is(event), 0).otherwise(1).alias("_cens"), F.col(risk).cast("double").alias("_r")
     ).agg(F.count(F.lit(1)).alias("_n"))
@@ -137,6 +144,58 @@ def concordance(
     )
 
 
+def pairs_of_key(rank: np.ndarray, starts: np.ndarray, risk: np.ndarray) -> tuple[int, int]:
+    """(twice the pairs won, comparable pairs) of one key: ranks from 0, whether a row's time is an event, risks.
+
+    Digit by digit of the rank as in ``concordance``: the rows stay ordered by (node, risk), and running counts of the
+    late rows give those of lower and of equal risk for every early event.
+    """
+    order = np.argsort(risk, kind="stable")
+    rank, starts, risk = rank[order], starts[order], risk[order]
+    differs = (risk[1:] != risk[:-1]) & ~(np.isnan(risk[1:]) & np.isnan(risk[:-1]))
+    level_of_risk = np.cumsum(np.concatenate([[0], differs]))
+    won2 = pairs = 0
+    for level in range(int(rank.max(initial=0)).bit_length()):
+        bits = rank >> level
+        node = bits >> 1
+        by = np.argsort(node.astype(np.uint16) if node.max() < 1 << 16 else node, kind="stable")
+        node, late = node[by], (bits[by] & 1).astype(bool)
+        same = level_of_risk[by]
+        new_node = np.concatenate([[True], node[1:] != node[:-1]])
+        new_risk = new_node | np.concatenate([[True], same[1:] != same[:-1]])
+        upto = np.concatenate([[0], np.cumsum(late)])
+        group, home = np.flatnonzero(new_risk), np.flatnonzero(new_node)
+        of_group, of_home = np.cumsum(new_risk) - 1, np.cumsum(new_node) - 1
+        early = ~late & starts[by]
+        below, through = upto[group], upto[np.append(group[1:], len(by))]
+        before, whole = upto[home], upto[np.append(home[1:], len(by))]
+        won2 += int((below + through)[of_group[early]].sum() - 2 * before[of_home[early]].sum())
+        pairs += int((whole - before)[of_home[early]].sum())
+    return won2, pairs
+
+
+def _concordance_of_keys(rows: DataFrame, keys: Sequence[str], event: str, risk: str, min_events: int) -> DataFrame:
+    """``concordance`` of ranked rows, all rows of a key in one task."""
+    there = F.col("_rank").isNotNull() & F.col(risk).isNotNull()
+    rank = F.when(there, F.col("_rank") - 1).otherwise(-1).cast("long")
+    narrow = rows.select(*keys, rank.alias("_rank"), _is(event).alias("_starts"), F.coalesce(F.col(risk).cast("double"), F.lit(0.0)).alias("_r"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = dict(narrow.dtypes)
+
+    def count(key, table):
+        rank, starts, risk = (table.column(c).to_numpy() for c in ("_rank", "_starts", "_r"))
+        used = rank >= 0
+        won2, pairs = pairs_of_key(rank[used], starts[used], risk[used])
+        found = {"n": len(rank), "n_events": int(starts.sum()), "n_pairs": pairs, "_won2": won2}
+        cells = [pa.array([k.as_py()], k.type) for k in key] + [pa.array([v], pa.int64()) for v in found.values()]
+        return pa.Table.from_arrays(cells, names=[*keys, *found])
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, n_events long, n_pairs long, _won2 long"])
+    counts = narrow.repartition(n, *keys).groupBy(*keys).applyInArrow(count, schema)
+    ok = (F.col("n_events") >= min_events) & (F.col("n_pairs") > 0)
+    return counts.select(*keys, "n", "n_events", "n_pairs", F.when(ok, F.col("_won2") / (2.0 * F.col("n_pairs"))).alias("c_index"))
+
+
 def usable_at(df: DataFrame, time: str, event: str, horizon: int) -> DataFrame:
     """Rows whose outcome at the horizon is known, with ``failed``; censored before it are dropped."""
     failed = _is(event) & (F.col(time) <= horizon)

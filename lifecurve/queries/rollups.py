@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lifecurve.operators import rollup, survival
+from lifecurve.operators.ordered import largest_group
 from lifecurve.queries.common import CYC, cycles, r6
 from lifecurve.queries.registry import query
 from lifecurve.queries.scoring import PAIRS, SURV, survival_rows
@@ -98,9 +99,11 @@ def align_models(t):
 
 
 def blend_scores(t, scores, grid):
-    ranked = survival.time_ranks(materialize(aligned_models(t)), ["cohort"], "time", "event", bound=t.rows("events"))
+    ranked = materialize(survival.time_ranks(materialize(aligned_models(t)), ["cohort"], "time", "event", bound=t.rows("events")))
+    # The rows of a cohort, which are few beside the events, bound those of each of its blends.
+    most = largest_group(ranked, ["cohort"])[0]
     mixed = rollup.blend(ranked, scores, grid).withColumn("blended", F.round("blended", 6))
-    scored = survival.concordance(mixed, ["cohort", "w_no"], "time", "event", "blended", ranked=True, bound=t.rows("events"))
+    scored = survival.concordance(mixed, ["cohort", "w_no"], "time", "event", "blended", ranked=True, many_keys=True, bound=most)
     return scored.withColumn("w", F.get(rollup.weight_array(grid), F.col("w_no")))
 
 
