@@ -6,11 +6,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from lifecurve.operators import learn, metrics, rollup, search, survival
-from lifecurve.operators.ordered import with_single
+from lifecurve.operators.ordered import spread_evenly, with_single
 from lifecurve.operators.ranks import roc_auc
 from lifecurve.queries.common import CYC, cycles, r6
 from lifecurve.queries.label_stack import STATUS, fade_status
 from lifecurve.queries.registry import query
+from lifecurve.session import materialize
 from lifecurve.sources.readers import path_part
 
 HELD = "h AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42/' || doc_id), doc_id) AS rk, count(*) OVER (PARTITION BY quality) AS n FROM labels)"
@@ -201,7 +202,10 @@ def fitted_score_checks(t):
 
 @query("param_search")
 def param_search(t):
-    folded = learn.stratified_folds(vectors(t), "y", "vec_id", folds=5, bound=t.rows("embeddings"))
+    bound = t.rows("embeddings")
+    folded = learn.stratified_folds(vectors(t).select("vec_id", "y", "features"), "y", "vec_id", folds=5, bound=bound)
+    # The folds are numbered per class, which leaves two tasks with rows; all 30 fits read them.
+    folded = materialize(spread_evenly(folded, bound, "vec_id"))
     est = learn.forest_classifier("y")
     space = {est.maxDepth: [2, 4, 6], est.minInstancesPerNode: [1, 5]}
     found = learn.search(folded, est, space, fold="fold", folds=5, draws=6, label="y", parallelism=8)
