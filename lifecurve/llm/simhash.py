@@ -55,8 +55,12 @@ def shingles(text: str, words_each: int = 3, seed: int = 42) -> list[int]:
 
 def fingerprint(text: str, words_each: int = 3, seed: int = 42) -> int:
     """The fingerprint of a text as an unsigned number."""
-    hashed = shingles(text, words_each, seed)
-    if not hashed:
+    return of_hashes(shingles(text, words_each, seed))
+
+
+def of_hashes(hashed) -> int:
+    """The fingerprint of shingle hashes, repeats included; zero without any."""
+    if not len(hashed):
         return 0
     ones, step = np.zeros(BITS, np.int64), 1 << 14
     for k in range(0, len(hashed), step):
@@ -236,4 +240,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     return numbered.join(stay, row, "left_semi").drop(row)
 
 
-__all__ = ["allocate", "fingerprint", "fingerprints", "group_bits", "hex16", "links", "near_duplicates", "one_of_each", "plan", "shingles"]
+__all__ = ["allocate", "fingerprint", "fingerprints", "group_bits", "hex16", "links", "near_duplicates", "of_hashes", "one_of_each", "plan", "shingles"]

@@ -124,3 +124,49 @@ def test_prefixes_find_all_pairs(spark):
     nodes = spark.createDataFrame([(k, k % 2, len(s)) for k, s in enumerate(sets)], "node long, root long, size long")
     found = {tuple(r) for r in nearcopies.prefix_pairs(nodes, said, nearcopies.F.lit(True)).collect()}
     assert len(want) > 50 and want <= found
+
+
+def test_stage_links_by_operator_4(spark, near, monkeypatch):
+    """The generalised pigeonhole of operator 4 gives candidates: all pairs within its distance, and they alone connect near copies."""
+    docs, _, _ = near
+    texts = corpus()
+    fps = [nearcopies.simhash.fingerprint(t or "", nearcopies.WORDS_EACH) for t in texts]
+    nodes = spark.createDataFrame([(k, int(np.uint64(f).astype(np.int64))) for k, f in enumerate(fps)], "_row long, fp long")
+    root = list(range(len(fps)))
+    for a, b in [tuple(r) for r in nearcopies.fingerprint_pairs(nodes).collect()] * 9:
+        low = min(root[a], root[b])
+        root = [low if r in (root[a], root[b]) else r for r in root]
+    want = {(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= nearcopies.MAX_DISTANCE}
+    assert len(want) > 20 and all(root[a] == root[b] for a, b in want)
+    called = []
+    real = nearcopies.simhash.links
+    monkeypatch.setattr(nearcopies.simhash, "links", lambda *a: called.append(1) or real(*a))
+    corpus_pipeline.near_copies(spark, docs, "")
+    assert called
+
+
+def test_members_of_a_large_group_join_it_by_few_comparisons(spark, tmp_path, monkeypatch):
+    """What the bucket's smallest does not catch joins by picked nodes, before the exact join of all that is apart."""
+    rnd = random.Random(4)
+    base = [f"own{k}" for k in range(150)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for j in rnd.sample(range(150), 2 + k % 3):
+            words[j] = f"new{k}x{j}"
+        texts.append(" ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    met = []
+    real = nearcopies.prefix_pairs
+
+    def counted(*args, **options):
+        out = real(*args, **options)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "prefix_pairs", counted)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stay = {r["doc_id"] for r in nearcopies.one_of_each(docs).collect()}
+    monkeypatch.setattr(nearcopies, "PIVOT_ROUNDS", 0)
+    assert stay == {r["doc_id"] for r in nearcopies.one_of_each(docs).collect()}
+    assert 5 * met[0] < met[1]
