@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lifecurve.operators import forests, learn, rollup, search
+from lifecurve.operators import forests, learn, rollup, search, survival
 
 RATES, PENALTIES, ROUNDS, BINS = (0.2, 0.6), (1.0, 20.0), 6, 5
 
@@ -299,3 +299,15 @@ def test_bootstrap_reads_its_input_once(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(50)], "k string, i int, v double").mapInArrow(seen, "k string, i int, v double")
     rollup.bootstrap_mean_ci(df, ["k"], "v", ["i"], replicates=20).collect()
     assert runs.value == 50
+
+
+# -- concordance where the rows of a key meet
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50, 120])
+def test_pairs_of_key_equal_brute_force(n):
+    rnd = np.random.default_rng(n)
+    rank, risk, starts = rnd.integers(0, max(1, n // 2), n), rnd.integers(0, 9, n) / 2.0, rnd.random(n) < 0.6
+    pairs = [(i, j) for i in range(n) for j in range(n) if starts[i] and rank[i] < rank[j]]
+    won2 = sum(2 * (risk[i] > risk[j]) + (risk[i] == risk[j]) for i, j in pairs)
+    assert survival.pairs_of_key(rank, starts, risk) == (won2, len(pairs))
